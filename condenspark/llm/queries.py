@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from condenspark.llm.common import table
 from condenspark.llm.decontamination import decontaminate
+from condenspark.llm.jaccard_join import jaccard_components
 from condenspark.llm.packing import pack
 from condenspark.llm.sharding import interleave
 
@@ -31,4 +32,8 @@ def op6_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_decontamination, op6_packing)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_decontamination, op6_packing, op9_jaccard_join)}
