@@ -7,9 +7,11 @@ component is the smallest doc_id that it reaches by links.
 2. Shingles are ordered rarest first (by sketch, then by hash; any order is right, the sketch only saves work). A node's prefix for
    ``m`` matches holds all but ``ceil(percent * n) - m`` of its shingles, and two linked nodes share at least m of them. Each node
    takes the m of least estimated cost: a longer prefix has more postings, but fewer candidates that share m of them.
-3. Postings meet by shingle. A small group gives its pairs, with counts. In a group above ``small`` each node meets the group's most
-   typical node only; nodes that link with it are in one component, whatever pairs they form. Each node that doesn't meets the whole
-   group. So no pair that could link two components is left out, and large groups of copies don't give all their pairs.
+3. Postings meet by shingle. A small group gives its pairs, with counts; a pair whose nodes also have postings in large groups, where
+   nothing is counted, needs one shared shingle only. In a group above ``small`` each node meets the group's most typical node only;
+   nodes that link with it are in one component, whatever pairs they form. Each node that doesn't meets the whole group, as far as the
+   places of the shingle leave room for a link. So no pair that could link two components is left out, and large groups of copies
+   don't give all their pairs.
 4. Candidates that share enough are verified on whole sets. Components come from the verified links by rounds of least labels.
 
 Null and empty texts have no shingles; their component is their own doc_id. With fewer than ``width`` words the whole sequence is one
@@ -283,11 +285,10 @@ def _fields(prefix: str) -> tuple[str, str, str]:
 
 
 def _may_link(percent: int, x: str, y: str) -> str:
-    """SQL: is the shingle in both prefixes for the m matches that the pair needs, and may it be one of the first m shared?"""
-    (n1, p1, m1), (n2, p2, m2) = _fields(x), _fields(y)
-    low = lambda n, p: f"greatest(1, {p} - ({n} - ceil({percent} * {n} / 100.0) + 1) + 2)"
-    fits = f"least({n1} - {p1}, {n2} - {p2}) + least({m1}, {m2}) - 1 >= ceil({percent} * ({n1} + {n2}) / {100 + percent}.0)"
-    return f"greatest({low(n1, p1)}, {low(n2, p2)}) <= least({m1}, {m2}) and 100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {fits}"
+    """SQL: may the shingle be the first that two sets share, and may they then link?"""
+    (n1, p1, _), (n2, p2, _) = _fields(x), _fields(y)
+    fits = f"least({n1} - {p1}, {n2} - {p2}) >= ceil({percent} * ({n1} + {n2}) / {100 + percent}.0)"
+    return f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {fits}"
 
 
 PAIR = ["a1", "b1", "a2", "b2"]
@@ -356,7 +357,7 @@ def _in_bitmap(values: DataFrame, column: str, bits_log2: int = 23):
     return has(F.pmod(F.xxhash64(column), F.lit(1 << bits_log2)))
 
 
-def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 24, cells_log2: int = 18) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 18) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, n, a, b), classes of equal sets (a, b, node, least doc_id), and links between classes (x, y: node ids). The links
     span every component; in large groups not every link between members of one component is listed."""
     signed = materialise(signatures(docs, width, cells_log2), "signed")
@@ -372,8 +373,11 @@ def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_match
     one = met.where("token is null").select(*(F.col(c) for c in PAIR), "shared", "need", "fits")
     swapped = F.expr("struct(a1, b1) > struct(a2, b2)")
     one = one.select(*(F.when(swapped, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(PAIR, ["a2", "b2", "a1", "b1"], strict=True)), "shared", "need", "fits")
-    enough = one.groupBy(*PAIR).agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.max("fits").alias("fits")).where("fits and shared >= need").select(*PAIR)
-    candidates = materialise(enough.union(star).distinct(), "candidates")
+    counted = materialise(one.groupBy(*PAIR).agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.max("fits").alias("fits")).where("fits"), "counted")
+    hot_nodes = headed.select("a", "b").distinct()
+    short = counted.where("shared < need").join(hot_nodes.toDF("a1", "b1"), ["a1", "b1"], "left_semi").join(hot_nodes.toDF("a2", "b2"), ["a2", "b2"], "left_semi")
+    candidates = counted.where("shared >= need").select(*PAIR).union(short.select(*PAIR)).union(star)
+    candidates = materialise(candidates.distinct(), "candidates")
 
     nodes = candidates.select("a1", "b1").union(candidates.select("a2", "b2")).union(headed.select("a", "b")).distinct().toDF("a", "b")
     wanted = materialise(nodes.join(classes, ["a", "b"]).select("a", "b", "node", "example.*"), "wanted")
@@ -393,7 +397,7 @@ def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_match
     return rows, classes, links
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 24, cells_log2: int = 18) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 18) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     rows, classes, links = jaccard_links(docs, width, percent, most_matches, small, cells_log2)
     labels = components(links)
