@@ -23,14 +23,14 @@ _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 blank, 5 line en
 _KIND[33:127] = 7
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[9, 32]], _KIND[[10, 13]], _KIND[128:] = 1, 2, 3, 4, 5, 8
 _KIND[[ord(c) for c in ".,;:?'\"()-"]] = 6
-LABELLERS = ("symbols", "shouting", "repeated_words", "repeated_lines", "sentences", "word_length", "digits", "exclamation")
+LABELLERS = ("symbols", "shouting", "repeated_words", "repeated_lines", "sentences", "word_length", "digits", "exclamation", "tables")
 
 
 def votes(text: bytes | None) -> tuple[int, ...]:
     """One vote for each of LABELLERS."""
     raw = np.frombuffer(text or b"", np.uint8)
     if not len(raw):
-        return (0, 0, 0, 0, -1, -1, 0, 0)
+        return (0, 0, 0, 0, -1, -1, 0, 0, 0)
     kind = np.bincount(_KIND[raw], minlength=9).astype(float)
     words = (text or b"").split()
     letters = kind[1] + kind[2] + kind[8]
@@ -42,17 +42,18 @@ def votes(text: bytes | None) -> tuple[int, ...]:
     new_lines = len(set(lines)) / max(1, len(lines))
     ends = kind[6] / n
     mean = letters / n
-    bangs = int((raw == 33).sum()) / n
+    bangs, pipes = int((raw == 33).sum()) / n, int((raw == 124).sum()) / n
     vote = lambda good, bad: 1 if good else -1 if bad else 0
     return (
-        vote(symbols < 0.05, symbols > 0.25),
-        vote(shout < 0.15, shout > 0.5),
-        vote(twins < 0.02, twins > 0.1 or (n > 100 and distinct < 0.25)),
-        vote(len(lines) > 2 and new_lines > 0.95, len(lines) > 2 and new_lines < 0.7),
+        vote(symbols < 0.02, symbols > 0.08),
+        vote(shout < 0.1, shout > 0.2),
+        vote(twins < 0.01, twins > 0.03 or (n > 100 and distinct < 0.25)),
+        vote(len(lines) > 2 and new_lines > 0.95, len(lines) > 2 and new_lines < 0.8),
         vote(0.03 < ends < 0.4, ends < 0.01 or ends > 1),
         vote(3 < mean < 9, mean < 2 or mean > 14),
         vote(False, kind[3] > 0.2 * len(raw)),
-        vote(False, bangs > 0.3),
+        vote(False, bangs > 0.08),
+        vote(False, pipes > 0.08),
     )
 
 
