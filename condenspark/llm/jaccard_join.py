@@ -7,8 +7,8 @@ component is the smallest doc_id that it reaches by links.
 2. Shingles are ordered rarest first (by sketch, then by hash; any order is right, the sketch only saves work). A node's prefix for
    ``m`` matches holds all but ``ceil(percent * n) - m`` of its shingles, and two linked nodes share at least m of them. Each node
    takes the m of least estimated cost: a longer prefix has more postings, but fewer candidates that share m of them.
-3. Postings meet by shingle. A small group gives its pairs, with counts; a pair whose nodes also have postings in large groups, where
-   nothing is counted, needs one shared shingle only. In a group above ``small`` each node meets the group's most typical node only;
+3. Postings meet by shingle. A small group gives its pairs, with counts. A pair is a candidate if what it shares in the prefixes and
+   what it can share beyond them are enough for a link; postings in large groups, where nothing is counted, are taken as shared. In a group above ``small`` each node meets one node only, that with the fewest rarer shingles of its own (among copies, the least changed);
    nodes that link with it are in one component, whatever pairs they form. Each node that doesn't meets the whole group, as far as the
    places of the shingle leave room for a link. So no pair that could link two components is left out, and large groups of copies
    don't give all their pairs.
@@ -92,7 +92,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 SIGNED = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("n", pa.int64()), ("cell", pa.int32()), ("counts", pa.binary())])
 
 
-def signatures(docs: DataFrame, width: int, cells_log2: int, chunk: int = 4096) -> DataFrame:
+def signatures(docs: DataFrame, width: int, cells_log2: int, chunk: int = 16384) -> DataFrame:
     """doc_id, text_hash, a, b, n of each row; and, with a cell, each task's part of the sketch."""
     kept = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     spark_schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, a long, b int, n long, cell int, counts binary"
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, width: int, cells_log2: int, chunk: int = 4096)
         if kind is not None:
             k = len(sketch) // chunk
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), none, none, pa.nulls(k, pa.int32()), none, pa.array(range(k), pa.int32()), pa.array([sketch[i * chunk : (i + 1) * chunk].astype("<i4").tobytes() for i in range(k)], pa.binary())], names=["doc_id", "text_hash", *SIGNED.names])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), none, none, pa.nulls(k, pa.int32()), none, pa.array(range(k), pa.int32()), pa.array([np.minimum(sketch[i * chunk : (i + 1) * chunk], 65535).astype("<u2").tobytes() for i in range(k)], pa.binary())], names=["doc_id", "text_hash", *SIGNED.names])
 
     return kept.mapInArrow(sign, spark_schema)
 
@@ -131,7 +131,7 @@ def sketch_of(signed: DataFrame) -> np.ndarray:
 
     # in two levels, so that no task gathers the parts of all tasks
     once = signed.where("cell is not null").select("cell", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("part"))
-    half = once.groupBy("cell", "part").applyInPandas(summed("<i4"), "cell int, counts binary")
+    half = once.groupBy("cell", "part").applyInPandas(summed("<u2"), "cell int, counts binary")
     rows = half.groupBy("cell").applyInPandas(summed("<i8"), "cell int, counts binary").orderBy("cell").collect()
     return np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows]) if rows else np.zeros(1, np.int64)
 
@@ -206,8 +206,8 @@ def _allowed(n1, p1, n2, p2, percent: int):
     return (np.minimum(n1 - p1, n2 - p2) >= need) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
 
 
-MET = pa.schema([("a1", pa.int64()), ("b1", pa.int32()), ("a2", pa.int64()), ("b2", pa.int32()), ("shared", pa.int64()), ("need", pa.int32()), ("fits", pa.bool_()), ("token", pa.int64()), ("pack", pa.int64())])
-MET_SQL = "a1 long, b1 int, a2 long, b2 int, shared long, need int, fits boolean, token long, pack long"
+MET = pa.schema([("a1", pa.int64()), ("b1", pa.int32()), ("a2", pa.int64()), ("b2", pa.int32()), ("shared", pa.int64()), ("room", pa.int32()), ("fits", pa.bool_()), ("token", pa.int64()), ("pack", pa.int64())])
+MET_SQL = "a1 long, b1 int, a2 long, b2 int, shared long, room int, fits boolean, token long, pack long"
 
 
 def meet(posted: DataFrame, percent: int, small: int) -> DataFrame:
@@ -226,17 +226,18 @@ def meet(posted: DataFrame, percent: int, small: int) -> DataFrame:
             j = i + d
             need = np.minimum(m[i], m[j])
             fits = _allowed(n[i], p[i], n[j], p[j], percent)
-            ok = (np.maximum(level[i], level[j]) <= need) & (fits | (need > 1)) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            got.append(np.stack([a[i[ok]], b[i[ok]], a[j[ok]], b[j[ok]], need[ok], fits[ok]]))
+            ok = (np.maximum(level[i], level[j]) <= need) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            room = np.maximum(least(n[i], percent), least(n[j], percent)) - need - -(-percent * (n[i] + n[j]) // (100 + percent))
+            got.append(np.stack([a[i[ok]], b[i[ok]], a[j[ok]], b[j[ok]], room[ok], fits[ok]]))
         if not got or not sum(g.shape[1] for g in got):
             return None
         x, first, times = np.unique(np.concatenate(got, axis=1)[:4], axis=1, return_inverse=True, return_counts=True)
         every = np.concatenate(got, axis=1)
-        need, fits = np.full(x.shape[1], 9), np.zeros(x.shape[1], bool)
-        np.minimum.at(need, first.ravel(), every[4])
+        room, fits = np.zeros(x.shape[1], np.int64), np.zeros(x.shape[1], bool)
+        room[first.ravel()] = every[4]  # the same in all of a pair's rows
         np.logical_or.at(fits, first.ravel(), every[5].astype(bool))
         none = pa.nulls(x.shape[1], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1].astype(np.int32)), pa.array(x[2], pa.int64()), pa.array(x[3].astype(np.int32)), pa.array(times.astype(np.int64)), pa.array(need.astype(np.int32)), pa.array(fits), none, none], schema=MET)
+        return pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1].astype(np.int32)), pa.array(x[2], pa.int64()), pa.array(x[3].astype(np.int32)), pa.array(times.astype(np.int64)), pa.array(room.astype(np.int32)), pa.array(fits), none, none], schema=MET)
 
     def large(t, a, b, pack) -> pa.RecordBatch:
         k = len(t)
@@ -291,6 +292,13 @@ def _may_link(percent: int, x: str, y: str) -> str:
     return f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {fits}"
 
 
+def _room(percent: int, x: str, y: str) -> str:
+    """SQL: the shingles that two sets can share beyond those of their prefixes, less those that they need to link."""
+    (n1, _, m1), (n2, _, m2) = _fields(x), _fields(y)
+    low = lambda n: f"ceil({percent} * {n} / 100.0)"
+    return f"cast(greatest({low(n1)}, {low(n2)}) - least({m1}, {m2}) - ceil({percent} * ({n1} + {n2}) / {100 + percent}.0) as int)"
+
+
 PAIR = ["a1", "b1", "a2", "b2"]
 
 
@@ -357,7 +365,7 @@ def _in_bitmap(values: DataFrame, column: str, bits_log2: int = 23):
     return has(F.pmod(F.xxhash64(column), F.lit(1 << bits_log2)))
 
 
-def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 18) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, n, a, b), classes of equal sets (a, b, node, least doc_id), and links between classes (x, y: node ids). The links
     span every component; in large groups not every link between members of one component is listed."""
     signed = materialise(signatures(docs, width, cells_log2), "signed")
@@ -367,16 +375,25 @@ def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_match
     met = materialise(meet(postings(docs, excess(sketch_of(signed)), width, percent, most_matches), percent, small), "met")
 
     hot = met.where("token is not null").select("token", F.col("a1").alias("a"), F.col("b1").alias("b"), "pack").dropDuplicates(["token", "a", "b"])
-    heads = hot.groupBy("token").agg(F.max(F.struct((F.col("pack") % 256).alias("typical"), "a", "b", "pack")).alias("h"))
-    headed = materialise(hot.join(heads.select("token", F.col("h.a").alias("h_a"), F.col("h.b").alias("h_b"), F.col("h.pack").alias("h_pack")), "token"), "hot")
-    star = headed.where("a != h_a or b != h_b").where(_may_link(percent, "", "h_")).select(*_ordered("", "h_")).distinct()
-    one = met.where("token is null").select(*(F.col(c) for c in PAIR), "shared", "need", "fits")
+    heads = hot.groupBy("token").agg(F.max(F.struct(F.expr(f"-{_fields('')[1]}").alias("few"), (F.col("pack") % 256).alias("typical"), "a", "b", "pack")).alias("h"))
+    headed = hot.join(heads.select("token", F.col("h.a").alias("h_a"), F.col("h.b").alias("h_b"), F.col("h.pack").alias("h_pack")), "token")
+    headed = materialise(headed, "hot").withColumn("is_head", F.expr("a = h_a and b = h_b"))
+    times = materialise(hot.groupBy("a", "b").agg(F.count("*").alias("times")), "times")  # postings in large groups
+    one = met.where("token is null").select(*(F.col(c) for c in PAIR), "shared", "room", "fits")
     swapped = F.expr("struct(a1, b1) > struct(a2, b2)")
-    one = one.select(*(F.when(swapped, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(PAIR, ["a2", "b2", "a1", "b1"], strict=True)), "shared", "need", "fits")
-    counted = materialise(one.groupBy(*PAIR).agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.max("fits").alias("fits")).where("fits"), "counted")
-    hot_nodes = headed.select("a", "b").distinct()
-    short = counted.where("shared < need").join(hot_nodes.toDF("a1", "b1"), ["a1", "b1"], "left_semi").join(hot_nodes.toDF("a2", "b2"), ["a2", "b2"], "left_semi")
-    candidates = counted.where("shared >= need").select(*PAIR).union(short.select(*PAIR)).union(star)
+    one = one.select(*(F.when(swapped, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(PAIR, ["a2", "b2", "a1", "b1"], strict=True)), "shared", "room", "fits")
+    counted = materialise(one.groupBy(*PAIR).agg(F.sum("shared").alias("shared"), F.max("room").alias("room"), F.max("fits").alias("fits")), "counted")
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs that share enough in their prefixes, if they share all that isn't counted."""
+        t1, t2 = (times.select(F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"), F.col("times").alias(f"times{k}")) for k in (1, 2))
+        return pairs.join(t1, ["a1", "b1"]).join(t2, ["a2", "b2"]).where("shared + room + least(times1, times2) >= 0").select(*PAIR)
+
+    def of_large(pairs: DataFrame) -> DataFrame:
+        return enough(pairs.groupBy(*PAIR).agg(F.max("room").alias("room")).join(counted.select(*PAIR, "shared"), PAIR, "left").withColumn("shared", F.coalesce("shared", F.lit(0))))
+
+    star = headed.where("not is_head").where(_may_link(percent, "", "h_")).select(*_ordered("", "h_"), F.expr(_room(percent, "", "h_")).alias("room"))
+    candidates = counted.where("fits and shared + room >= 0").select(*PAIR).union(enough(counted.where("fits and shared + room < 0"))).union(of_large(star))
     candidates = materialise(candidates.distinct(), "candidates")
 
     nodes = candidates.select("a1", "b1").union(candidates.select("a2", "b2")).union(headed.select("a", "b")).distinct().toDF("a", "b")
@@ -389,15 +406,16 @@ def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_match
 
     # the postings of a large group that its most typical node doesn't link with meet the whole group
     linked = links.select(*PAIR, F.lit(True).alias("linked"))
-    away = headed.where("a != h_a or b != h_b").select("token", "a", "b", "pack", "h_a", "h_b", *_ordered("", "h_")).join(linked, PAIR, "left").where("linked is null")
+    away = headed.where("not is_head").select("token", "a", "b", "pack", *_ordered("", "h_")).join(linked, PAIR, "left").where("linked is null")
     away = away.select("token", F.col("a").alias("u_a"), F.col("b").alias("u_b"), F.col("pack").alias("u_pack"))
-    left = headed.where("a != h_a or b != h_b").join(away, "token").where("a != u_a or b != u_b").where(_may_link(percent, "", "u_"))
-    left = materialise(left.select(*_ordered("", "u_")).distinct().join(candidates, PAIR, "left_anti"), "left")
+    left = headed.where("not is_head").join(away, "token").where("a != u_a or b != u_b").where(_may_link(percent, "", "u_"))
+    left = left.select(*_ordered("", "u_"), F.expr(_room(percent, "", "u_")).alias("room"))
+    left = materialise(of_large(left).join(candidates, PAIR, "left_anti"), "left")
     links = links.select("x", "y").union(verify(left, texts, width, percent).select("x", "y"))
     return rows, classes, links
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 18) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 20) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     rows, classes, links = jaccard_links(docs, width, percent, most_matches, small, cells_log2)
     labels = components(links)
