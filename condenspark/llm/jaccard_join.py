@@ -8,7 +8,8 @@ component is the smallest doc_id that it reaches by links.
    ``m`` matches holds all but ``ceil(percent * n) - m`` of its shingles, and two linked nodes share at least m of them. Each node
    takes the m of least estimated cost: a longer prefix has more postings, but fewer candidates that share m of them.
 3. Postings meet by shingle. A small group gives its pairs, with counts. A pair is a candidate if what it shares in the prefixes and
-   what it can share beyond them are enough for a link; postings in large groups, where nothing is counted, are taken as shared. In a group above ``small`` each node meets one node only, that with the fewest rarer shingles of its own (among copies, the least changed);
+   what it can share beyond them are enough for a link; postings in large groups, where nothing is counted, are taken as shared. In a
+   group above ``small`` each node meets one node only, that with the fewest rarer shingles of its own (among copies, the least changed);
    nodes that link with it are in one component, whatever pairs they form. Each node that doesn't meets the whole group, as far as the
    places of the shingle leave room for a link. So no pair that could link two components is left out, and large groups of copies
    don't give all their pairs.
@@ -89,10 +90,17 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts and hashes are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 SIGNED = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("n", pa.int64()), ("cell", pa.int32()), ("counts", pa.binary())])
 
 
-def signatures(docs: DataFrame, width: int, cells_log2: int, chunk: int = 16384) -> DataFrame:
+def signatures(docs: DataFrame, width: int, cells_log2: int, chunk: int = 4096) -> DataFrame:
     """doc_id, text_hash, a, b, n of each row; and, with a cell, each task's part of the sketch."""
     kept = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     spark_schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, a long, b int, n long, cell int, counts binary"
@@ -100,7 +108,7 @@ def signatures(docs: DataFrame, width: int, cells_log2: int, chunk: int = 16384)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kind = np.zeros(1 << cells_log2, np.int64), None
-        for batch in batches:
+        for batch in _slices(batches):
             kind = batch.schema.field("doc_id").type
             a, b, n = [], [], []
             for text in _texts(batch):
@@ -171,7 +179,7 @@ def postings(docs: DataFrame, above: np.ndarray, width: int, percent: int, most:
         estimate = shared.value
         rank = np.ceil(np.log2(estimate + 1)).astype(np.uint8)
         seen: set[tuple[int, int]] = set()  # of this task's rows: copies are left out here, others where groups meet
-        for batch in batches:
+        for batch in _slices(batches):
             token, a, b, pack = [], [], [], []
             for text in _texts(batch):
                 found = shingles(text, width)
@@ -318,7 +326,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, one = None, None
-        for batch in batches:
+        for batch in _slices(batches):
             t1, t2 = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("t1", "t2"))
             keep = []
             for s, t in zip(t1, t2, strict=True):
@@ -365,7 +373,7 @@ def _in_bitmap(values: DataFrame, column: str, bits_log2: int = 23):
     return has(F.pmod(F.xxhash64(column), F.lit(1 << bits_log2)))
 
 
-def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 18) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, n, a, b), classes of equal sets (a, b, node, least doc_id), and links between classes (x, y: node ids). The links
     span every component; in large groups not every link between members of one component is listed."""
     signed = materialise(signatures(docs, width, cells_log2), "signed")
@@ -415,7 +423,7 @@ def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_match
     return rows, classes, links
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 18) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     rows, classes, links = jaccard_links(docs, width, percent, most_matches, small, cells_log2)
     labels = components(links)
