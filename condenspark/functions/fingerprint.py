@@ -10,7 +10,8 @@ def fingerprint(level: Column, template: Column) -> Column:
     """FNV-1a over the level's byte, a zero byte and the UTF-8 template, in two 32-bit halves, as longs don't wrap. Use it on distinct
     templates."""
     digits = F.concat(F.lpad(F.hex(level.cast("long")), 2, "0"), F.lit("00"), F.hex(F.encode(template, "UTF-8")))
-    octets = F.transform(F.sequence(F.lit(0), F.length(digits) / 2 - 1), lambda i: F.conv(F.substring(digits, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    places = F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int"))
+    octets = F.transform(F.array(digits), lambda d: F.transform(places, lambda i: F.conv(F.substring(d, 2 * i + 1, F.lit(2)), 16, 10).cast("long")))[0]
     start = F.struct(F.lit(3421674724).cast("long").alias("hi"), F.lit(2216829733).cast("long").alias("lo"))
 
     def step(acc: Column, octet: Column) -> Column:

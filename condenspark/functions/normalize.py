@@ -33,7 +33,7 @@ CLASSES = (
 DURATIONS = "seconds|minutes|hours|secs|mins|hrs|sec|min|hr|ms|us|ns|s|m|h"
 SIZES = "KiB|MiB|GiB|TiB|KB|MB|GB|TB|B"
 MIN_ID = 6
-ON, OFF = "", ""
+ON, OFF = "\ue000", "\ue001"
 
 
 def java(pattern: str) -> str:
@@ -64,7 +64,8 @@ def template(message: Column) -> Column:
     clean = F.translate(message, ON + OFF, "")
     marked = F.regexp_replace(clean, "|".join(f"(?:{java(p)})" for _, p, _ in CLASSES), f"{ON}$0{OFF}")
     tokens = F.regexp_extract_all(marked, F.lit(TOKENS), F.lit(1))
-    return F.array_join(_classified(tokens), "")
+    # the outer transform names the tokens, so that they are found once
+    return F.transform(F.array(tokens), lambda found: F.array_join(_classified(found), ""))[0]
 
 
 def _classified(tokens: Column) -> Column:

@@ -58,7 +58,7 @@ class History:
 
 def spikes(events: DataFrame, config: Config, time: str = "ts", order: str = "event_no") -> DataFrame:
     """events (severity, template, time, order) with is_spike, baseline_per_min, current_per_min, bootstrap."""
-    plain = events.select(*KEY, order, F.unix_micros(time).alias("us"))
+    plain = events.select(*KEY, order, F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
     dealt = plain.repartition(*KEY).sortWithinPartitions(*KEY, "us", order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +78,7 @@ def spikes(events: DataFrame, config: Config, time: str = "ts", order: str = "ev
 
 def bucket_counts(events: DataFrame, seconds: int, time: str = "ts", keys: tuple[str, ...] = tuple(KEY)) -> DataFrame:
     """keys, bucket (seconds from the epoch), n."""
-    bucket = F.floor(F.unix_seconds(F.col(time)) / seconds) * seconds
+    bucket = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / seconds) * seconds
     return events.groupBy(*keys, bucket.cast("long").alias("bucket")).agg(F.count("*").alias("n"))
 
 
