@@ -10,10 +10,12 @@ in exactly one piece. A group leaves about one window partly filled, so padding
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -22,69 +24,86 @@ PIECES = "piece_group long, doc_id {id}, start long, length long, doc_tokens lon
 PACKED = "doc_id {id}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
+#: Byte -> the printable character that stands for it in the vocabulary of byte-level tokenizers.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+LATIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
 class ChunkCache(dict):
     """Blank-delimited chunk -> ids as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in turn; most chunks repeat.
-    Missing chunks are encoded together, parted by a special token. Chunks that may hold such a token's text are encoded alone."""
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in turn; most chunks repeat. A
+    chunk of Latin letters, digits and ASCII marks is lower-cased and split into words here, and each new word goes to the tokenizer's
+    model; any other chunk, and one that may hold a special token, goes through the whole tokenizer. Both caches start anew when full."""
 
     def __init__(self, path: str, most: int):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.mark, self.mark_id = "<|startoftext|>", self.tokenizer.token_to_id("<|startoftext|>")
+        self.model, self.words = self.tokenizer.model, {}
         self[""] = b""
 
     def _alone(self, chunk: str) -> bytes:
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "<|" not in c and "|>" not in c]
-        self.update((c, self._alone(c)) for c in chunks if "<|" in c or "|>" in c)
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.asarray(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id).tolist() if self.mark_id is not None else []
-            if len(cuts) != len(part) - 1:
-                self.update((c, self._alone(c)) for c in part)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for c, end in zip(part, [*cuts, len(ids)], strict=True):
-                self[c] = raw[4 * begin : 4 * end]
-                begin = end + 1
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            shown = word if word.isascii() else "".join(map(BYTES.__getitem__, word.encode()))
+            found = self.words[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return found
+
+    def __missing__(self, chunk: str) -> bytes:
+        if LATIN.fullmatch(chunk) and "<|" not in chunk and "|>" not in chunk:
+            low = chunk.lower()
+            if low.isalpha():
+                found = self._word(low)
+            elif low[-1] in ",." and low[:-1].isalpha():
+                found = self._word(low[:-1]) + self._word(low[-1])
+            else:
+                found = b"".join(map(self._word, WORDS.findall(low)))
+        else:
+            found = self._alone(chunk)
+        self[chunk] = found
+        return found
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self) > self.most:
-            self.clear()
-            self[""] = b""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.learn(list({c for s in split for c in s if c not in self}))
-        for s in split:
-            yield b"".join(map(self.__getitem__, s))
+        for text in texts:
+            if len(self) > self.most:
+                self.clear()
+                self[""] = b""
+            if len(self.words) > self.most:
+                self.words.clear()
+            yield b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 _caches: dict[str, ChunkCache] = {}
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, n_groups: int, cache_chunks: int, slice_chars: int = 2_000_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, n_groups: int, cache_chunks: int, slice_rows: int = 256) -> DataFrame:
     """Documents cut into pieces of at most one window."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _caches.setdefault(tokenizer_path, ChunkCache(tokenizer_path, cache_chunks))
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            sizes = batch["text"].str.len().fillna(0).cumsum()
-            for _, part in batch.groupby((sizes // slice_chars).to_numpy(), sort=False):
-                out = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "ids")}
-                for doc_id, raw in zip(part["doc_id"], cache.encode([None if pd.isna(t) else t for t in part["text"]]), strict=True):
+            for at in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(at, slice_rows)
+                own, out = [], {k: [] for k in ("start", "length", "doc_tokens", "ids")}
+                for row, raw in enumerate(cache.encode(part.column("text").to_pylist())):
                     raw += end
                     n = len(raw) // 4
                     for start in range(0, n, window):
-                        for k, v in zip(out, (doc_id, start, min(window, n - start), n, raw[4 * start : 4 * (start + window)]), strict=True):
+                        own.append(row)
+                        for k, v in zip(out, (start, min(window, n - start), n, raw[4 * start : 4 * (start + window)]), strict=True):
                             out[k].append(v)
-                yield pd.DataFrame(out)
+                doc_id = part.column("doc_id").take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items())], names=["doc_id", *out])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut_up = docs.select("doc_id", "text").mapInPandas(cut, PIECES.format(id=kind).replace("piece_group long, ", ""))
+    cut_up = docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(id=kind).replace("piece_group long, ", ""))
     group = F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(n_groups))
     return cut_up.select(group.alias("piece_group"), "*")
 
@@ -129,7 +148,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return where, offset, n
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, group_docs: int = 2048, cache_chunks: int = 600_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, group_docs: int = 1024, cache_chunks: int = 400_000) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian 32-bit), sequence_id, offset.
     group_docs: mean documents in a group; a group's ids fit in one task (at most window ids a piece, before whole windows)."""
     n_groups = max(1, -(-docs.count() // group_docs))
