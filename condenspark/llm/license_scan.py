@@ -137,15 +137,18 @@ class Scanner:
                     continue
                 lo, hi = max(0, places[begin] - reach), min(len(words), i + reach)
                 begin = k + 1
-                window = words[lo:hi]
-                while sum((Counter(window) & self.counts[name]).values()) >= need:
+                todo = [(lo, hi)]
+                while todo:
+                    lo, hi = todo.pop()
+                    window = words[lo:hi]
+                    if sum((Counter(window) & self.counts[name]).values()) < need:
+                        continue
                     pairs = patience(window, template)
                     if len(pairs) < need:
-                        break
+                        continue
                     first, last = lo + pairs[0][0], lo + pairs[-1][0]
                     found.append((name, len(pairs) / len(template), len(pairs), spans[first][0], spans[last][1]))
-                    lo = last + 1  # the rest of the window may hold the notice again
-                    window = words[lo:hi]
+                    todo += [(lo, first), (last + 1, hi)]  # what is left may hold the notice again
         kept: list[tuple[str, float, int, int, int]] = []
         for f in sorted(found, key=lambda f: (-f[2], -f[1], f[3], f[0])):
             if all(f[4] <= k[3] or f[3] >= k[4] for k in kept):

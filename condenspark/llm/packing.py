@@ -100,6 +100,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, n_gro
                         for k, v in zip(out, (start, min(window, n - start), n, raw[4 * start : 4 * (start + window)]), strict=True):
                             out[k].append(v)
                 doc_id = part.column("doc_id").take(pa.array(own, pa.int64()))
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items())], names=["doc_id", *out])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,15 +212,17 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5
     """docs with each secret of text replaced by mark."""
     model = forest or train()
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series, paths: pd.Series) -> pd.Series:
-        out = []
-        texts = _none(texts)
-        for text, own in zip(texts, _scored(texts, _none(paths), model), strict=True):
-            for begin, end, score in reversed(own):
-                if score >= threshold:
-                    text = text[:begin] + mark + text[end:]
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    return docs.withColumn("text", clean(F.col("text"), F.col(path).cast("string")))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts, paths = part.column("text").to_pylist(), [None if x is None else str(x) for x in part.column(path).to_pylist()]
+                for row, own in enumerate(_scored(texts, paths, model)):
+                    for begin, end, score in reversed(own):
+                        if score >= threshold:
+                            texts[row] = texts[row][:begin] + mark + texts[row][end:]
+                k = part.schema.get_field_index("text")
+                yield part.set_column(k, part.schema.field(k), pa.array(texts, part.schema.field(k).type))
+        pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -7,7 +7,8 @@ quotation marks or after a word of reporting it counts less, beside direct addre
 scores gives the document's score.
 
 The model learns from at most ``max_rows`` labelled rows, chosen by hash. Without labelled rows of both kinds, the seed list and default weights are
-used. Null and empty texts have no match and get the score of such texts. Every row gets a row; repeated rows alike. Only the text is read.
+used. Null and empty texts have no match and get the score of such texts. Every row gets a row; repeated rows alike. Only the text is read; a column
+named toxicity or toxic is replaced.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Seed terms, words of reporting, and words of direct address.
 SEED_TERMS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -220,16 +223,25 @@ def _trie(terms: tuple) -> FuzzyTrie:
     return _tries[terms]
 
 
-def scorer(terms: tuple, weights: tuple):
-    """Column of text -> score."""
+class Scorer:
+    """Adds a column of scores to documents, a few hundred texts at a time."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        trie, w = _trie(terms), np.asarray(weights)
-        x = np.array([features(t, trie) for t in texts]).reshape(-1, 4)
-        return pd.Series(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))
+    def __init__(self, terms: tuple, weights: tuple):
+        self.terms, self.weights = terms, weights
 
-    return score
+    def __call__(self, docs: DataFrame, text: str, name: str) -> DataFrame:
+        terms, weights = self.terms, self.weights
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie, w = _trie(terms), np.asarray(weights)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    x = np.array([features(t, trie) for t in part.column(text).to_pylist()])
+                    yield part.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))))
+            pa.default_memory_pool().release_unused()
+
+        return docs.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in docs.schema.fields), StructField(name, DoubleType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, min_docs: int = 3, min_gain: float = 16.0, max_terms: int = 5000):
@@ -250,10 +262,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, min_docs: in
     rows = sample.select("toxic", of("text").alias("x")).collect()
     y = np.array([r["toxic"] for r in rows], float)
     weights = fit_logistic(np.array([r["x"] for r in rows]), y) if 0 < y.sum() < len(y) else np.array(DEFAULT)
-    return scorer(terms, tuple(float(v) for v in weights))
+    return Scorer(terms, tuple(float(v) for v in weights))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """docs with toxicity (0 to 1) and toxic (toxicity >= threshold)."""
-    score = train(docs, labels, **options)
-    return docs.withColumn("toxicity", score(F.col("text"))).withColumn("toxic", F.col("toxicity") >= threshold)
+    scored = train(docs, labels, **options)(docs.drop("toxicity"), "text", "toxicity")
+    return scored.withColumn("toxic", F.col("toxicity") >= threshold)
