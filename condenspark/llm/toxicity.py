@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, min_docs: in
     rank = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20))
     chosen = usable.where(rank < int((1 << 20) * min(1.0, max_rows / max(1, n))))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # a row count bounded by max_rows
-    sample = sample.select("text", "toxic").repartition(16, F.xxhash64("text"))
+    sample = sample.select("text", "toxic").repartition(96, F.xxhash64("text"))
     learned = learn_lexicon(sample, min_docs, min_gain, max_terms)
     terms = tuple(learned + [(t, False) for t in SEED_TERMS if (t, False) not in learned])
 
