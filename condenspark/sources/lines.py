@@ -12,7 +12,7 @@ MARKER = " ...[truncated]"
 def clean_line(value: Column, max_bytes: int = MAX_BYTES, marker: str = MARKER) -> Column:
     """Without one trailing carriage return; cut at max_bytes, with a marker. A character that the cut halves goes."""
     line = F.regexp_replace(value, "\\r\\z", "")
-    head = F.regexp_replace(F.decode(F.substring(F.encode(line, "UTF-8"), 1, max_bytes), "UTF-8"), "\ufffd\\z", "")
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(line, "UTF-8"), 1, max_bytes).cast("string")), "\ufffd\\z", "")
     return F.when(F.octet_length(line) > max_bytes, F.concat(head, F.lit(marker))).otherwise(line)
 
 
