@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Byte tables for the two normalisations used here. Bytes of 0x80 and above (all non-ASCII text) stay as they are.
@@ -33,3 +36,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Spark's setting for the size of an Arrow batch, and its default.
+BATCH_BYTES, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession, most: int = 2 << 20) -> None:
+    """From now on this session's Arrow batches end at ``most`` bytes, not only at a number of rows: JVM and Python hold a batch of texts
+    several times over. A bound that the session has been given stays."""
+    if spark.conf.get(BATCH_BYTES) == UNSET:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+
+def give_back() -> None:
+    """Python workers live on after their task; what a task no longer needs goes back to the system, for the next stage to use."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from condenspark.llm.common import ALNUM
+from condenspark.llm.common import ALNUM, bound_batches
 
 HITS = "n_words long, spans array<struct<first:long,last:long,begin:long,end:long>>, items array<string>"
 _built: dict[str, tuple[ahocorasick.Automaton, list[tuple[int, list[str]]]]] = {}
@@ -105,6 +105,7 @@ def blocks(benchmark: DataFrame, window: int, max_bytes: int) -> list[dict[str,
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, max_bytes: int = 4 << 20, text: str = "text") -> DataFrame:
     """docs with a column ``contamination``: n_words, n_hit, spans (words first..last, characters begin..end), items, contaminated.
     A document is contaminated if it has a hit word and hit words are at least one in ``share``. Other columns stay."""
+    bound_batches(docs.sparkSession)
     parts = [scanner(found)(F.col(text)) for found in blocks(benchmark, window, max_bytes)]
     names = [f"__part{k}" for k in range(len(parts))]
     out = docs.select("*", *(p.alias(n) for p, n in zip(parts, names, strict=True)))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from condenspark.llm.common import materialise
+from condenspark.llm.common import bound_batches, give_back, materialise
 
 U = np.uint64
 _rng = np.random.default_rng(20240501)
@@ -95,7 +95,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 SIGNED = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("n", pa.int64()), ("cell", pa.int32()), ("counts", pa.binary())])
@@ -281,7 +281,7 @@ def meet(posted: DataFrame, percent: int, small: int) -> DataFrame:
             if mid.any() and (out := small_pairs(*(c[mid] for c in (t, a, b, pack)))) is not None:
                 yield out
 
-        for batch in batches:
+        for batch in _slices(batches, 2048):  # a posting has up to ``small`` pairs
             new = [batch.column(k).to_numpy() for k in range(4)]
             yield from split([np.concatenate(x) for x in zip(held, new, strict=True)], False)
         yield from split(held, True)
@@ -377,6 +377,7 @@ def _in_bitmap(values: DataFrame, column: str, bits_log2: int = 23):
 def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 18) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, n, a, b), classes of equal sets (a, b, node, least doc_id), and links between classes (x, y: node ids). The links
     span every component; in large groups not every link between members of one component is listed."""
+    bound_batches(docs.sparkSession)
     signed = materialise(signatures(docs, width, cells_log2), "signed")
     rows = signed.where("cell is null").drop("cell", "counts")
     classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("example"))

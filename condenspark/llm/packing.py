@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from condenspark.llm.common import bound_batches, give_back
+
 PIECES = "piece_group long, doc_id {id}, start long, length long, doc_tokens long, ids binary"
 PACKED = "doc_id {id}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
@@ -100,8 +102,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, n_gro
                         for k, v in zip(out, (start, min(window, n - start), n, raw[4 * start : 4 * (start + window)]), strict=True):
                             out[k].append(v)
                 doc_id = part.column("doc_id").take(pa.array(own, pa.int64()))
-                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items())], names=["doc_id", *out])
+            give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut_up = docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(id=kind).replace("piece_group long, ", ""))
@@ -152,6 +154,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, group_docs: int = 1024, cache_chunks: int = 400_000) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian 32-bit), sequence_id, offset.
     group_docs: mean documents in a group; a group's ids fit in one task (at most window ids a piece, before whole windows)."""
+    bound_batches(docs.sparkSession)
     n_groups = max(1, -(-docs.count() // group_docs))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from condenspark.llm.common import bound_batches
 from condenspark.llm.jaccard_join import shingles
 
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 blank, 5 line end, 6 mark of a sentence, 7 other ASCII, 8 beyond ASCII
@@ -133,6 +134,7 @@ def label_model(docs: DataFrame) -> dict[int, float]:
 
 def classify_quality(docs: DataFrame, threshold: float = 0.5, max_rows: int = 6000, bits: int = 18) -> DataFrame:
     """doc_id, weak_label (the posterior of the votes), score (of the linear scorer, 0 to 1), keep (score >= threshold)."""
+    bound_batches(docs.sparkSession)
     model = label_model(docs)
     n = docs.count()
     rank = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 24))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from condenspark.llm.common import bound_batches, give_back
+
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}")
 #: Words of a secret's neighbourhood, of other long values, of test files, and a small dictionary.
 SECRET_WORDS = frozenset("api apikey auth authorization aws bearer client_secret credential credentials key passphrase passwd password private pwd secret token".split())
@@ -196,6 +198,7 @@ def _none(values: pd.Series) -> list:
 
 def scan_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, path: str = "source") -> DataFrame:
     """doc_id, begin, end (characters), score, secret (score >= threshold) for every candidate."""
+    bound_batches(docs.sparkSession)
     model = forest or train()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,6 +213,7 @@ def scan_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, path: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret of text replaced by mark."""
+    bound_batches(docs.sparkSession)
     model = forest or train()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +227,6 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5
                             texts[row] = texts[row][:begin] + mark + texts[row][end:]
                 k = part.schema.get_field_index("text")
                 yield part.set_column(k, part.schema.field(k), pa.array(texts, part.schema.field(k).type))
-        pa.default_memory_pool().release_unused()
+            give_back()
 
     return docs.mapInArrow(clean, docs.schema)

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from condenspark.llm.common import bound_batches, give_back
+
 #: Seed terms, words of reporting, and words of direct address.
 SEED_TERMS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 REPORTING = frozenset("said says wrote quoted quote quotes reported called term word dit sagte dijo".split())
@@ -239,7 +241,7 @@ class Scorer:
                     part = batch.slice(at, 512)
                     x = np.array([features(t, trie) for t in part.column(text).to_pylist()])
                     yield part.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))))
-            pa.default_memory_pool().release_unused()
+                give_back()
 
         return docs.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in docs.schema.fields), StructField(name, DoubleType())]))
 
@@ -267,5 +269,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, min_docs: in
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """docs with toxicity (0 to 1) and toxic (toxicity >= threshold)."""
+    bound_batches(docs.sparkSession)
     scored = train(docs, labels, **options)(docs.drop("toxicity"), "text", "toxicity")
     return scored.withColumn("toxic", F.col("toxicity") >= threshold)
