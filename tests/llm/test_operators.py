@@ -203,3 +203,43 @@ def test_pipeline_stages(spark):
         kept = spark.createDataFrame(out.collect(), kept.schema)
     ids = {r.doc_id for r in p.STAGES[-1][1](spark, kept, dir_).select("doc_id").collect()}
     assert ids == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def odd_rows(spark):
+    """Nulls in every column, repeated rows, an empty and a very long text, and columns with clashing names."""
+    rows = [(None, None, None, None, None), (None, None, None, None, None), (1, "", None, "s", 0), (2, "tie of one two three four", "en", None, None), (2, "tie of one two three four", "en", None, None), (3, "long text " * 30000, None, "s", 1), (4, None, "en", "s", None)]
+    clash = {c: F.lit("x") for c in ("label", "n", "a", "b", "node", "score", "size", "shard", "slot", "toxicity", "contamination", "count", "start", "length", "ids", "token", "stratum", "position", "x", "y")}
+    return spark.createDataFrame(rows, DOCS).withColumns(clash)
+
+
+def test_odd_rows_keep_their_number(spark):
+    rows = odd_rows(spark)
+    labels = spark.createDataFrame([(None, 1), (1, None), (2, 0), (3, 1)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    bench = spark.createDataFrame([(None, None), (None, "tie of one"), (1, "")], "item_id long, text string").withColumn("n", F.lit(1))
+    for found in (sharding.interleave(rows), toxicity.score_toxicity(rows, labels), decontamination.decontaminate(rows, bench), quality.classify_quality(rows), secret_scan.redact(rows), jaccard_join.jaccard_components(rows)):
+        ids = sorted((r.doc_id for r in found.select("doc_id").collect()), key=str)
+        assert ids == [1, 2, 2, 3, 4, None, None], found.columns
+    hit = {r.doc_id: r.contamination.n_hit for r in decontamination.decontaminate(rows, bench).collect()}
+    assert hit == {None: 0, 1: 0, 2: 3, 3: 0, 4: 0}
+    assert license_scan.scan_licenses(rows).count() == secret_scan.scan_secrets(rows).count() == 0
+
+
+def test_odd_rows_are_packed_whole(spark):
+    import public_tokenizers
+
+    rows = packing.pack(odd_rows(spark), public_tokenizers.path("word_bpe_49k.json")).collect()
+    total = Counter()
+    for r in rows:
+        total[r.doc_id] += r.length
+    assert total[None] == 2 and total[1] == total[4] == 1 and total[2] % 2 == 0 and total[3] == max(r.doc_tokens for r in rows) > 4096
+
+
+def test_pipeline_stages_on_odd_and_on_no_rows(spark):
+    import corpus_pipeline as p
+
+    dir_ = "/root/testdata/sf0.001"
+    want = {"toxicity": [1, 2, 2, 3, 4, None, None], "near_duplicates": [1, 2, 3, 4, None, None]}
+    for name, stage in p.STAGES[:-1]:
+        ids = sorted((r.doc_id for r in stage(spark, odd_rows(spark), dir_).select("doc_id").collect()), key=str)
+        assert ids == want.get(name, [1, 2, 2, 3, 4, None, None]), name
+        assert stage(spark, odd_rows(spark).where("false"), dir_).count() == 0, name
