@@ -42,7 +42,7 @@ SELECT event_type, round(arg_max(b, i), 6) AS baseline_per_min, arg_max(k, i) AS
     "lru_novelty": """WITH a AS (SELECT event_id AS i, user_id AS k, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
 s AS (SELECT a.i, a.k, a.p, (SELECT count(DISTINCT b.user_id) FROM events b WHERE b.event_id > a.p AND b.event_id < a.i AND b.event_id > a.i - 5000) AS others FROM a)
 SELECT k AS user_id, count(*) AS accesses, count(*) FILTER (p IS NULL OR others >= 50) AS generations FROM s GROUP BY k""",
-    "retention": "SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(substring(b.text, 1, 40)))) AS retained FROM benchmark b",
+    "retention": "SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(b.text))) AS retained FROM benchmark b",
     "order_patterns": "SELECT o_orderpriority AS severity, o_orderstatus AS template, count(*) AS total_count, min(o_orderkey) AS first_no, max(o_orderkey) AS last_no FROM orders GROUP BY ALL",
     "lineitem_patterns": "SELECT l_returnflag AS severity, l_linestatus AS template, count(*) AS total_count, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY ALL",
 }

@@ -149,7 +149,7 @@ def lru_novelty(spark, sf_dir):
 
 
 def retention(spark, sf_dir):
-    needles = _table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("needle"))
+    needles = _table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle"))
     docs = _table(spark, sf_dir, "documents").select(F.lower("text").alias("text"))
     kept = patterns.retention(docs, needles.select("needle").distinct(), "text", "needle")
     return needles.join(kept, "needle").select("item_id", "retained")
