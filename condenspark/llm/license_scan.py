@@ -5,8 +5,7 @@ subsequence of them is kept, and the gaps between anchors are aligned in the sam
 subsequence if it is small. Coverage is the share of the template's words that are aligned.
 
 Texts are scanned whole. A template can only be covered where its distinctive words are, so alignment runs on windows around them; a
-window that shares too few words for the coverage is skipped, which cannot lose a match. Of overlapping matches the one with
-most aligned words stays. Null and empty texts have no match. Repeated rows each give their matches. Extra columns are not read.
+window that shares too few words for the coverage is skipped, which cannot lose a match. Of overlapping matches the one with most aligned words stays. Null and empty texts have no match. Repeated rows each give their matches. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -15,11 +14,12 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Short notices of well-known licenses, as they are commonly printed.
+#: Short notices of well-known licenses, as they are commonly printed, and two whole licenses that are short.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -30,7 +30,41 @@ TEMPLATES = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "reserved": "All rights reserved.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "ISC": "Released under the ISC License.",
+    "BSD-line": "Released under the BSD License.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 }
+_MIT = ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+TEMPLATES |= {
+    "MIT-text": TEMPLATES["MIT-grant"] + _MIT,
+    "BSD-2-Clause-text": TEMPLATES["BSD"] + _BSD + _BSD_END,
+    "BSD-3-Clause-text": TEMPLATES["BSD"] + _BSD + _BSD_3 + _BSD_END,
+}
+#: The Creative Commons licenses by their short and long names.
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+TEMPLATES |= {f"CC-{k}-4.0-line": f"Licensed under CC {k} 4.0." for k in _CC}
+TEMPLATES |= {f"CC-{k}-4.0": f"This work is licensed under a Creative Commons {v} 4.0 International License." for k, v in _CC.items()}
+TEMPLATES |= {"CC0-1.0-line": "Licensed under CC0 1.0.", "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."}
+#: Whole licenses in the folder licenses, without the appendix on how to apply them.
+WHOLE = ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0")
+
+
+def all_templates() -> dict[str, str]:
+    """TEMPLATES and the whole licenses. Only the driver reads the folder."""
+    return TEMPLATES | {f"{k}-text": (files("condenspark.llm") / "licenses" / f"{k}.txt").read_text() for k in WHOLE}
+
+
 WORD = re.compile(r"\w+")
 FOUND = "license string, coverage double, aligned int, begin long, end long"
 
@@ -158,7 +192,7 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.85) -> DataFrame:
     """doc_id, license, coverage, aligned, begin, end (characters) for each notice found."""
-    scanner = Scanner(templates or TEMPLATES, coverage)
+    scanner = Scanner(templates or all_templates(), coverage)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

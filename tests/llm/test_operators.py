@@ -160,6 +160,24 @@ def test_licenses(spark):
     assert len(pairs) == 3 and pairs == sorted(pairs)
 
 
+def test_every_license_line_of_the_tables_is_found(spark):
+    lines = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", "Licensed under CC BY-NC 4.0."]
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(" or ".join(f"contains(text, '{x}')" for x in lines)).select("doc_id", "text").collect()
+    got = {(r.doc_id, r.begin, r.end) for r in license_scan.scan_licenses(spark.createDataFrame(rows)).collect()}
+    want = {(r.doc_id, r.text.index(x), r.text.index(x) + len(x) - 1) for r in rows for x in lines if x in r.text}
+    assert len(want) >= len(rows) > 40 and want <= got
+
+
+def test_each_license_is_found_by_its_name():
+    texts = license_scan.all_templates()
+    scanner = license_scan.Scanner(texts, 0.85)
+    for name, text in texts.items():
+        assert [f[:2] for f in scanner.scan(f"some words {text} and more")] == [(name, 1.0)], name
+    for kind in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC"):
+        assert f"{kind}-text" in texts
+    assert scanner.scan("Licensed under CC BY 4.0.")[0][0] == "CC-BY-4.0-line" and scanner.scan("Licensed under CC BY-NC-SA 4.0.")[0][0] == "CC-BY-NC-SA-4.0-line"
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = [". ".join(" ".join(rng.choice(["river", "stone", "light", "garden"]) + str(i) for i in range(8)).capitalize() for _ in range(4)) + "." for _ in range(60)]
