@@ -1,15 +1,18 @@
 """Operator 3: license scans by patience alignment.
 
 A text is aligned with a license template at the level of words: words that are unique to both sides are anchors, the longest increasing
-subsequence of them is kept, and the gaps between anchors are aligned in the same way; a gap without anchors takes its longest common
-subsequence if it is small. Coverage is the share of the template's words that are aligned.
+subsequence of them is kept, and the gaps between anchors are aligned in the same way; a gap without anchors, of any size, takes its
+longest common subsequence. Coverage is the share of the template's words that are aligned.
 
 Texts are scanned whole. A template can only be covered where its distinctive words are, so alignment runs on windows around them; a
-window that shares too few words for the coverage is skipped, which cannot lose a match. Of overlapping matches the one with most aligned words stays. Null and empty texts have no match. Repeated rows each give their matches. Extra columns are not read.
+window that shares too few words for the coverage is skipped, which cannot lose a match. A window is cut into occurrences first: each ends
+where enough of the template's words have come in order, so copies that follow each other are told apart. Templates are short notices
+and whole license texts. Of overlapping matches the one with most aligned words stays. Null and empty texts have no match. Repeated rows each give their matches. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -69,7 +72,7 @@ WORD = re.compile(r"\w+")
 FOUND = "license string, coverage double, aligned int, begin long, end long"
 
 
-def patience(a: list[str], b: list[str], small: int = 4096) -> list[tuple[int, int]]:
+def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Aligned places of a and b."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -90,7 +93,7 @@ def patience(a: list[str], b: list[str], small: int = 4096) -> list[tuple[int, i
             out += anchors
             edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
             todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:], strict=False)]
-        elif (a1 - a0) * (b1 - b0) <= small:
+        else:
             out += common(a, b, a0, a1, b0, b1)
     return sorted(out)
 
@@ -115,22 +118,79 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common(a, b, a0, a1, b0, b1) -> list[tuple[int, int]]:
-    """Longest common subsequence of a small gap."""
-    n, m = a1 - a0, b1 - b0
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[a0 + i] == b[b0 + j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[a0 + i] == b[b0 + j]:
-            out.append((a0 + i, b0 + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+def masks_of(words: list[str]) -> dict[str, int]:
+    """The places of each word, as bits."""
+    masks: dict[str, int] = {}
+    for j, w in enumerate(words):
+        masks[w] = masks.get(w, 0) | 1 << j
+    return masks
+
+
+def rows_of(a: list[str], b: list[str]) -> Iterator[int]:
+    """After each word of a: bit j is 0 where the longest common subsequence with b[: j + 1] is longer than with b[:j]."""
+    masks, full = masks_of(b), (1 << len(b)) - 1
+    v = full
+    for w in a:
+        if u := v & masks.get(w, 0):
+            v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def lengths(v: int, m: int) -> list[int]:
+    out = [0]
+    for c in reversed(f"{v:0{m}b}"):
+        out.append(out[-1] + (c == "0"))
+    return out
+
+
+def common(a, b, a0, a1, b0, b1, cells: int = 1 << 26) -> list[tuple[int, int]]:
+    """Longest common subsequence of a gap. One of more cells is halved first, so memory is bounded."""
+    out, todo = [], [(a0, a1, b0, b1)]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        n, m = a1 - a0, b1 - b0
+        if not n or not m:
+            continue
+        if n * m > cells and n > 1:
+            mid, v, r = a0 + n // 2, 0, 0
+            for v in rows_of(a[a0:mid], b[b0:b1]):
+                pass
+            for r in rows_of(a[mid:a1][::-1], b[b0:b1][::-1]):
+                pass
+            left, right = lengths(v, m), lengths(r, m)
+            cut = b0 + max(range(m + 1), key=lambda j: left[j] + right[m - j])
+            todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+            continue
+        rows, i, j = list(rows_of(a[a0:a1], b[b0:b1])), n, m
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if not i or rows[i - 1] >> (j - 1) & 1:
+                    j -= 1
+                    out.append((a0 + i, b0 + j))
+    return out
+
+
+def occurrences(a: list[str], m: int, need: int, ahead: dict[str, int], back: dict[str, int]) -> list[tuple[int, int]]:
+    """The most disjoint stretches of a that hold need words of a template of m words in order: each ends as early and begins as late as
+    it can. ahead and back: masks of the template and of the template backwards."""
+    full, out = (1 << m) - 1, []
+    v = full
+    for i, w in enumerate(a):
+        if not (u := v & ahead.get(w, 0)):
+            continue
+        v = ((v + u) | (v - u)) & full
+        if m - v.bit_count() < need:
+            continue
+        r, k = full, i + 1
+        while m - r.bit_count() < need:
+            k -= 1
+            u = r & back.get(a[k], 0)
+            r = ((r + u) | (r - u)) & full
+        out.append((k, i + 1))
+        v = full
     return out
 
 
@@ -140,6 +200,7 @@ class Scanner:
         self.templates = {k: [w.lower() for w in WORD.findall(v)] for k, v in templates.items()}
         counts = {k: Counter(v) for k, v in self.templates.items()}
         self.counts = counts
+        self.masks: dict[str, tuple[dict[str, int], dict[str, int]]] = {}  # made where they are used
         # a match lacks at most (1 - coverage) of the words: so many of the longest ones and one more always include a word of it
         self.marks: dict[str, set[str]] = {}
         for name, words in self.templates.items():
@@ -164,25 +225,30 @@ class Scanner:
         found = []
         for name, places in at.items():
             template, reach = self.templates[name], 2 * len(self.templates[name])
-            need = self.coverage * len(template)
+            need = math.ceil(self.coverage * len(template))
+            if len(words) < need:
+                continue
+            if name not in self.masks:
+                self.masks[name] = masks_of(template), masks_of(template[::-1])
             begin = 0
             for k, i in enumerate(places):
-                if k + 1 < len(places) and places[k + 1] - i <= reach and places[k + 1] - places[begin] <= 4 * reach:
+                if k + 1 < len(places) and places[k + 1] - i <= reach:
                     continue
                 lo, hi = max(0, places[begin] - reach), min(len(words), i + reach)
                 begin = k + 1
-                todo = [(lo, hi)]
-                while todo:
-                    lo, hi = todo.pop()
-                    window = words[lo:hi]
-                    if sum((Counter(window) & self.counts[name]).values()) < need:
-                        continue
-                    pairs = patience(window, template)
+                window, has = words[lo:hi], self.counts[name]
+                own = Counter(w for w in window if w in has)
+                if sum((own & has).values()) < need:
+                    continue
+                spots = occurrences(window, len(template), need, *self.masks[name])
+                more, end = 2 * (len(template) - need), 0  # words of the notice that may stand around the least stretch
+                for (b, e), (after, _) in zip(spots, [*spots[1:], (len(window), 0)], strict=False):
+                    b, e = max(end, b - more), min(after, e + more)
+                    pairs = patience(window[b:e], template)
                     if len(pairs) < need:
-                        continue
-                    first, last = lo + pairs[0][0], lo + pairs[-1][0]
-                    found.append((name, len(pairs) / len(template), len(pairs), spans[first][0], spans[last][1]))
-                    todo += [(lo, first), (last + 1, hi)]  # what is left may hold the notice again
+                        pairs = sorted(common(window[b:e], template, 0, e - b, 0, len(template)))
+                    first, end = lo + b + pairs[0][0], b + pairs[-1][0] + 1
+                    found.append((name, len(pairs) / len(template), len(pairs), spans[first][0], spans[lo + end - 1][1]))
         kept: list[tuple[str, float, int, int, int]] = []
         for f in sorted(found, key=lambda f: (-f[2], -f[1], f[3], f[0])):
             if all(f[4] <= k[3] or f[3] >= k[4] for k in kept):

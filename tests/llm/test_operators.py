@@ -178,6 +178,35 @@ def test_each_license_is_found_by_its_name():
     assert scanner.scan("Licensed under CC BY 4.0.")[0][0] == "CC-BY-4.0-line" and scanner.scan("Licensed under CC BY-NC-SA 4.0.")[0][0] == "CC-BY-NC-SA-4.0-line"
 
 
+def test_licenses_that_repeat_are_all_found():
+    texts = license_scan.all_templates()
+    scanner = license_scan.Scanner(texts, 0.85)
+    for name, text in texts.items():
+        words = license_scan.WORD.findall(text)
+        if len(words) >= 25:
+            less = " ".join(w for i, w in enumerate(words) if i % 20 != 7)
+            joined = f"{'pre ' * 40}{text} mid dle {text} {less} {'post ' * 40}"
+            got = scanner.scan(joined)
+            assert [f[0] for f in got] == [name] * 3 and all(f[1] == 1.0 for f in got[:2]), name
+            assert all(a[4] <= b[3] for a, b in zip(got, got[1:], strict=False)) and len(" ".join(joined[got[0][3] : got[0][4]].split())) <= len(text)
+
+
+def test_common_subsequence_of_any_size():
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(30))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        for cells in (1, 40, 1 << 26):
+            pairs = sorted(license_scan.common(a, b, 0, len(a), 0, len(b), cells))
+            assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    twice = "x y z w".split() * 2000
+    assert len(license_scan.patience(twice, "z w y x".split() * 20)) > 0
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = [". ".join(" ".join(rng.choice(["river", "stone", "light", "garden"]) + str(i) for i in range(8)).capitalize() for _ in range(4)) + "." for _ in range(60)]
