@@ -1,7 +1,8 @@
 """A bound on tracked patterns: the least recently used goes. Exact and parallel.
 
 The ordered stream is cut into blocks. What is tracked at a block's start is the ``bound`` last used keys before it, so each block gives its own
-last used keys (at most bound), one pass over only these gives every block's start, and all blocks are then replayed at once.
+last used keys (at most bound). These are merged in a tree: groups of blocks, and groups of groups, keep their last ``bound`` keys; from the
+top down each group's start gives its members' starts, and all blocks are then replayed at once.
 """
 
 from __future__ import annotations
@@ -25,28 +26,39 @@ def replay(keys: list, tracked: list, bound: int) -> list[bool]:
     return novel
 
 
-def novelty(accesses: DataFrame, key: str, order: str, bound: int, block_rows: int = 1 << 16) -> DataFrame:
-    """key, order, novel. order is a unique whole number."""
-    rows = accesses.select(F.col(key).alias("key"), F.col(order).alias("at")).withColumn("block", F.floor(F.col("at") / block_rows))
+def latest(used: DataFrame, bound: int) -> DataFrame:
+    """The bound last used keys of each block. used: block, key, last."""
     recent = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("last")))
-    last = rows.groupBy("block", "key").agg(F.max("at").alias("last")).withColumn("r", recent).where(F.col("r") <= bound)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return used.groupBy("block", "key").agg(F.max("last").alias("last")).withColumn("r", recent).where(F.col("r") <= bound).drop("r")
+
+
+def starts(last: DataFrame, bound: int, fan: int, levels: int = 2) -> DataFrame:
+    """block, key, nth: the keys that are tracked at each block's start, from the least recently used. last: as from latest()."""
+    out = f"block long, key {last.schema['key'].dataType.simpleString()}, nth long"
 
-    def starts(batches):
-        tracked, block, seen = OrderedDict(), None, []
-        for batch in batches:
-            for b, k in zip(batch["block"], batch["key"], strict=True):
-                if b != block:
-                    if seen:
-                        yield pd.DataFrame({"block": b, "key": list(tracked), "nth": range(len(tracked))})
-                    block = b
-                seen = [True]
+    def fold(own: pd.DataFrame, start: pd.DataFrame | None = None) -> pd.DataFrame:
+        tracked, parts = OrderedDict.fromkeys([] if start is None else start.sort_values("nth")["key"].tolist()), []
+        for block, used in own.sort_values(["block", "last"]).groupby("block"):
+            parts.append(pd.DataFrame({"block": block, "key": list(tracked), "nth": range(len(tracked))}))
+            for k in used["key"].tolist():
                 tracked[k] = None
                 tracked.move_to_end(k)
-                if len(tracked) > bound:
-                    tracked.popitem(last=False)
+            while len(tracked) > bound:
+                tracked.popitem(last=False)
+        return pd.concat([p for p in parts if len(p)] or parts[:1])
 
-    state = last.repartition(1).sortWithinPartitions("block", "last").select("block", "key").mapInPandas(starts, f"block long, key {kinds['key']}, nth long")
+    if not levels:
+        return last.withColumn("above", F.col("block") * 0).groupBy("above").applyInPandas(lambda own: fold(own), out)
+    own = last.withColumn("above", F.floor(F.col("block") / fan))
+    above = starts(latest(own.select(F.col("above").alias("block"), "key", "last"), bound), bound, fan, levels - 1)
+    return own.groupBy("above").cogroup(above.groupBy("block")).applyInPandas(fold, out)
+
+
+def novelty(accesses: DataFrame, key: str, order: str, bound: int, block_rows: int = 1 << 16, fan: int | None = None) -> DataFrame:
+    """key, order, novel. order is a unique whole number. fan: how many blocks a group has; as a rule about a million keys."""
+    rows = accesses.select(F.col(key).alias("key"), F.col(order).alias("at")).withColumn("block", F.floor(F.col("at") / block_rows))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    state = starts(latest(rows.select("block", "key", F.col("at").alias("last")), bound), bound, fan or max(2, min(64, (1 << 20) // bound)))
 
     def run(own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("at")

@@ -91,6 +91,18 @@ def test_lru_equals_replay(spark):
         assert got == lru.replay(keys, [], bound)
 
 
+def test_lru_merges_blocks_in_a_tree(spark):
+    rng = random.Random(9)
+    keys = [rng.randrange(40) if i % 90 < 60 else i % 7 for i in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "at long, k long")
+    for bound in (25,):
+        found = lru.novelty(rows, "k", "at", bound, 16, fan=3)
+        assert [r.novel for r in found.orderBy("at").collect()] == lru.replay(keys, [], bound)
+    last = lru.latest(rows.select((F.col("at") / 16).cast("long").alias("block"), F.col("k").alias("key"), F.col("at").alias("last")), 25)
+    groups = lru.latest(last.withColumn("block", F.floor(F.col("block") / 3)), 25)
+    assert groups.count() < last.count() and groups.groupBy("block").count().agg(F.max("count")).first()[0] <= 25
+
+
 def test_lines(spark):
     rows = spark.createDataFrame([("a\r",), ("x" * 30,), ("",), ("é" * 6,)], "v string")
     assert [r[0] for r in rows.select(clean_line(F.col("v"), 11, "!")).collect()] == ["a", "x" * 11 + "!", "", "é" * 5 + "!"]
