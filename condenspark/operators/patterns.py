@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from condenspark.functions import fingerprint as fp
 from condenspark.functions import normalize, severity
+from condenspark.operators import lru
 from condenspark.plans.config import Config
 
 KEY = ["severity", "template"]
@@ -41,13 +42,42 @@ def with_fingerprints(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("fingerprint", fp.fingerprint(F.col("severity"), F.col("template")))
 
 
-def decide(events: DataFrame, config: Config, order: tuple[str, ...] = ("source", "event_no")) -> DataFrame:
+def bounded_nth(keys: DataFrame, order: tuple[str, ...], bound: int, at: int, block_rows: int) -> DataFrame:
+    """order and nth (1 or at) of the events that are the first or the at-th of their pattern since it was last tracked. At most bound
+    patterns are tracked; one that comes back after the least recently used went starts anew. Positions are counted in blocks of events
+    and then carried from block to block, so a common pattern spreads over tasks."""
+    from condenspark.llm.common import materialise
+
+    ordered = keys.select(*order, F.xxhash64(*KEY).alias("key")).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialise(ordered.withColumn("id", F.monotonically_increasing_id()), "patterns").withColumn("part", F.shiftright("id", 33))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select(*order, "key", (F.col("before") + F.col("id") % (1 << 33)).alias("at"))
+    found = lru.novelty(rows.select("key", "at"), "key", "at", bound, block_rows).withColumn("block", F.floor(F.col("at") / block_rows))
+    own = Window.partitionBy("key", "block").orderBy("at")
+    found = found.withColumn("started", F.sum(F.col("novel").cast("int")).over(own))
+    found = found.withColumn("own", F.row_number().over(Window.partitionBy("key", "block", "started").orderBy("at")))
+    tails = found.groupBy("key", "block").agg(F.max("started").alias("started"), F.max_by("own", "at").alias("tail"))
+    by_key = Window.partitionBy("key").orderBy("block")
+    tails = tails.withColumn("since", F.sum((F.col("started") > 0).cast("int")).over(by_key))
+    tails = tails.withColumn("total", F.sum("tail").over(Window.partitionBy("key", "since").orderBy("block")))
+    carried = tails.select("key", "block", F.coalesce(F.lag("total").over(by_key), F.lit(0)).alias("carried"))
+    nth = F.col("own") + F.when(F.col("started") > 0, 0).otherwise(F.col("carried"))
+    marked = found.where(F.col("own") <= at).join(carried, ["key", "block"]).select("at", nth.alias("nth")).where(F.col("nth").isin(1, at))
+    return rows.join(marked, "at").select(*order, "nth")
+
+
+def decide(events: DataFrame, config: Config, order: tuple[str, ...] = ("source", "event_no"), block_rows: int = 1 << 16) -> DataFrame:
     """decision: anomaly, event (a pattern's first) or repeat, as if all events came at one time. Then a protected pattern alerts once, at
-    the occurrence that reaches every limit, and nothing else does. Only so many rows of a pattern are ranked."""
+    the occurrence that reaches every limit, and nothing else does. Only so many rows of a pattern are ranked. Of more patterns than
+    max_patterns the least recently used goes, and is new when it comes back; to know, the patterns are counted here."""
     at = max(config.min_bootstrap_events, config.min_window_events, -(-int(config.assumed_per_minute * config.protect_multiplier * config.window_seconds) // 60))
-    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
-    first = events.select(*KEY, *order).withColumn("nth", nth).where(F.col("nth") <= at)
-    marked = first.where(F.col("nth").isin(1, at)).select(*order, "nth")
+    if events.select(*KEY).distinct().limit(config.max_patterns + 1).count() > config.max_patterns:
+        marked = bounded_nth(events, order, config.max_patterns, at, block_rows)
+    else:
+        nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
+        first = events.select(*KEY, *order).withColumn("nth", nth).where(F.col("nth") <= at)
+        marked = first.where(F.col("nth").isin(1, at)).select(*order, "nth")
     spike = F.coalesce(F.col("nth") == at, F.lit(False)) & (severity.rank(F.col("severity")) >= config.protect_rank)
     out = events.join(marked, list(order), "left").withColumns({"is_spike": spike, "is_new": F.coalesce(F.col("nth") == 1, F.lit(False))}).drop("nth")
     return out.withColumn("decision", F.when(F.col("is_spike"), "anomaly").when(F.col("is_new"), "event").otherwise("repeat"))
@@ -58,8 +88,8 @@ def repeat_summaries(decided: DataFrame) -> DataFrame:
     return decided.where("decision = 'repeat'").groupBy(*KEY).agg(F.count("*").alias("count"))
 
 
-def report(decided: DataFrame) -> DataFrame:
-    """One row of counters: logical events, raw lines, patterns, warnings, errors and suppression percentages."""
+def report(decided: DataFrame, config: Config = Config()) -> DataFrame:
+    """One row of counters: logical events, raw lines, patterns tracked at the end, warnings, errors and suppression percentages."""
     shown = F.col("decision") != "repeat"
     n, rank = F.col("n_lines"), severity.rank(F.col("severity"))
     total = decided.groupBy(*KEY).agg(
@@ -68,7 +98,7 @@ def report(decided: DataFrame) -> DataFrame:
         F.count_if(F.col("severity") == 5).alias("warning_events"), F.count_if(rank >= 6).alias("error_events"), F.count_if(F.col("decision") == "anomaly").alias("anomaly_events"),
     )
     names = [c for c in total.columns if c not in KEY]
-    one = total.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), F.count("*").alias("structural_patterns"))
+    one = total.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), F.least(F.count("*"), F.lit(config.max_patterns).cast("long")).alias("structural_patterns"))
     events = F.col("displayed_events") + F.col("suppressed_events")
     return one.withColumns({"logical_event_suppression_percentage": fp.percent(F.col("suppressed_events"), events), "raw_line_suppression_percentage": fp.percent(F.col("suppressed_raw_lines"), F.col("raw_lines"))})
 

@@ -1,4 +1,5 @@
-"""The whole plan: lines -> events -> templates -> decisions. Each step is a DataFrame; nothing runs until the caller asks."""
+"""The whole plan: lines -> events -> templates -> decisions. Each step is a DataFrame; before the caller asks only the patterns are
+counted, up to the bound, and the events' order is written if there are more."""
 
 from __future__ import annotations
 

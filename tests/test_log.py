@@ -103,6 +103,27 @@ def test_lru_merges_blocks_in_a_tree(spark):
     assert groups.count() < last.count() and groups.groupBy("block").count().agg(F.max("count")).first()[0] <= 25
 
 
+def test_decisions_equal_a_replay_of_the_bounded_store(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma", "theta"]
+    rows = [(f"s{i // 250}", i % 250, f"[{rng.choice(['ERROR', 'INFO'])}] {rng.choice(words[:2]) if i % 60 < 40 else rng.choice(words)}") for i in range(600)]
+    lines = spark.createDataFrame(rows, "source string, line_no long, raw string").repartition(5)
+    for bound in (4,):
+        want, seen = {}, {}
+        for source, no, raw in rows:
+            n = seen.pop(raw, 0) + 1
+            seen[raw] = n
+            if len(seen) > bound:
+                seen.pop(next(iter(seen)))
+            want[source, no] = "anomaly" if n == 10 and "ERROR" in raw else "event" if n == 1 else "repeat"
+        config = Config(max_patterns=bound)
+        events = condense(lines, config, multi_line=False).drop("is_spike", "is_new", "decision")
+        for block in (16, 1 << 16):
+            decided = patterns.decide(events, config, block_rows=block)
+            assert {(r.source, r.event_no): r.decision for r in decided.select("source", "event_no", "decision").collect()} == want
+        assert patterns.report(decided, config).first().structural_patterns == bound
+
+
 def test_lines(spark):
     rows = spark.createDataFrame([("a\r",), ("x" * 30,), ("",), ("é" * 6,)], "v string")
     assert [r[0] for r in rows.select(clean_line(F.col("v"), 11, "!")).collect()] == ["a", "x" * 11 + "!", "", "é" * 5 + "!"]
