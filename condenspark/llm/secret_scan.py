@@ -1,10 +1,11 @@
 """Operator 7: secret scans; a random forest removes false positives.
 
-Candidates are runs of 12 or more characters of keys and hashes that aren't plain words. The forest reads each candidate's length,
+Candidates are runs of 12 or more characters of keys and hashes that aren't plain words, and, at any length and of any characters, the
+values that follow a secret word and = or : or stand in a URL's credentials. The forest reads each candidate's length,
 character classes and transitions, dictionary coverage, the path (or source) and the neighbouring words. It is trained from labelled
 findings: pass your own, or use ``labelled_findings``, which writes them by rule from a seed.
 
-Texts are scanned whole; a longer run is one candidate. Null and empty texts have no candidate; a null path has no words. Repeated rows
+Texts are scanned whole; a longer run is one candidate. Candidates may overlap: a value and a run inside it are both judged. Null and empty texts have no candidate; a null path has no words. Repeated rows
 each give their findings. Extra columns stay in ``redact`` and are not read in ``scan_secrets``.
 """
 
@@ -38,6 +39,14 @@ DICTIONARY = frozenset(
     "user value variable vector version view visible warning width window with word work write your".split()
 )
 TRAINED_ON = 3000
+_WORDS = "|".join(sorted(SECRET_WORDS - {"api", "aws"}, key=len, reverse=True))
+#: A secret word (also the last part of a longer name) and its value, in quotes or up to a blank; and the credentials of a URL.
+ASSIGNED = re.compile(rf"(?:(?<![A-Za-z])(?i:{_WORDS})|(?<=[a-z])(?:Key|Token|Secret|Password|Passwd|Passphrase|Pwd))[\"'`\])]{{0,2}}[ \t]{{0,8}}(?::=|=>|==?|:)[ \t]{{0,8}}(?:(?i:bearer|basic)[ \t]+)?(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|[\"'`]*([^\s\"'`]\S*))")
+IN_URL = re.compile(r"://[^\s:/@\"'<>]*:([^\s/\"'<>]+)@")
+PASS_WORDS = frozenset("passphrase passwd password pwd secret".split())
+#: What stands where a secret would.
+PLACEHOLDERS = frozenset("changeme default dummy empty example false hidden int masked nil none null optional redacted required sample str string test todo true undefined unknown unset xxx your".split())
+STANDS_FOR = re.compile(r"[$%]?[{(<\[].*|\$\w+|%\w{1,2}|([*.x\-#•])\1*|(?:os|process|self|config|settings|env)\.\S*|\w+\(.*", re.I | re.S)
 
 
 def classes(s: str) -> str:
@@ -67,6 +76,9 @@ def describe(candidate: str, before: str, after: str, path: str | None) -> list[
     vowels = sum(c in "aeiouAEIOU" for c in candidate) / n
     parts = set(re.findall(r"[a-z]+", (path or "").lower()))
     tail = before.rstrip(" \"'`")
+    last = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", before)[-1:]
+    low = candidate.lower()
+    consonants = max(map(len, re.findall(r"[bcdfghjklmnpqrstvwxz]+", low)), default=0)
     return [
         n, turns / max(1, n - 1), entropy, kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("s") / n,
         (pairs["d", "l"] + pairs["l", "d"]) / n, (pairs["u", "l"] + pairs["l", "u"]) / n, (pairs["u", "d"] + pairs["d", "u"]) / n,
@@ -74,18 +86,30 @@ def describe(candidate: str, before: str, after: str, path: str | None) -> list[
         float(bool(SECRET_WORDS & set(near))), float(bool(OTHER_WORDS & set(near))), float(bool(near) and near[-1] in SECRET_WORDS),
         float(tail[-1:] in ("=", ":")), float(before[-1:] in "\"'`" and before != ""), float(bool(TEST_WORDS & parts)),
         float(candidate[:4] in ("AKIA", "ASIA") or candidate[:4] in ("ghp_", "xoxb", "glpa")), float(n in (32, 40, 64)), float(after[:1] in ("@", ".", "/")),
+        float(bool(last) and last[0].lower() in SECRET_WORDS), float(bool(last) and last[0].lower() in PASS_WORDS), float(low.strip("_-.") in PLACEHOLDERS or low in DICTIONARY), float(STANDS_FOR.fullmatch(candidate) is not None),
+        float("://" in before[-40:] and before[-1:] == ":" and after[:1] == "@"), float(" " in candidate), consonants,
     ]
 
 
 def candidates(text: str | None, path: str | None) -> list[tuple[int, int, list[float]]]:
-    out = []
-    for m in CANDIDATE.finditer(text or ""):
+    text, spans = text or "", set()
+    for m in CANDIDATE.finditer(text):
         s = m.group()
         if s.isalpha() and (s.islower() or s[1:].islower() or (s.isupper() and len(s) < 20)):
             continue  # a plain word
-        begin, end = m.span()
-        out.append((begin, end, describe(s, text[max(0, begin - 60) : begin], text[end : end + 8], path)))
-    return out
+        spans.add(m.span())
+    at = 0
+    while m := ASSIGNED.search(text, at):
+        begin, end = m.span(m.lastindex)
+        at = begin  # what stands in a value may be a secret word with its own value
+        if m.lastindex == 4:
+            if more := re.search(r"&(?=\w+=)|[\"'`](?=[,;)\]}>]|$)", text[begin:end]):
+                end = begin + more.start()
+            end = begin + len(text[begin:end].rstrip(".,;)]}>")) or end
+        if end > begin:
+            spans.add((begin, end))
+    spans.update(m.span(1) for m in IN_URL.finditer(text))
+    return [(b, e, describe(text[b:e], text[max(0, b - 60) : b], text[e : e + 8], path)) for b, e in sorted(spans)]
 
 
 def labelled_findings(n: int = TRAINED_ON, seed: int = 23) -> list[tuple[str, str, str, str | None, int]]:
@@ -94,12 +118,13 @@ def labelled_findings(n: int = TRAINED_ON, seed: int = 23) -> list[tuple[str, st
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     run = lambda k, chars: "".join(pick(chars) for _ in range(k))
     hexa, up, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    prose = ["the text of the", "and here is", "for that we have", "from one to the other", "der die und", "le la et un"]
+    prose = ["the text of the", "and here is", "for that we have", "from one to the other", "der die und", "le la et un", "write to a@mail6.example.com", "by order and id"]
     words = sorted(DICTIONARY)
     out = []
     for k in range(n):
         lead, path = f"{pick(prose)} ", pick([None, "src1", "src7", "app/main.py", "config/prod.yaml"])
-        kind = k % 12
+        kind, quote, marks = k % 20, pick(["\"", "'", ""]), "!#$%&*@+-_.^?"
+        named = f"{lead}{pick(['password', 'passwd', 'pwd', 'secret', 'token', 'api_key', 'key', 'auth'])}{pick(['=', ': ', ' = '])}{quote}"
         if kind == 0:
             row = (run(int(pick([40, 32, 64])), hexa), f"{lead}{pick(['token', 'secret', 'api_key', 'auth', 'key'])}{pick([' = ', '=', ': '])}{pick(['\"', ''])}", "\"", path, 1)
         elif kind == 1:
@@ -122,8 +147,26 @@ def labelled_findings(n: int = TRAINED_ON, seed: int = 23) -> list[tuple[str, st
             row = (f"{run(8, hexa)}-{run(4, hexa)}-{run(4, hexa)}-{run(4, hexa)}-{run(12, hexa)}", lead + pick(["", "id ", "uuid: ", "trace "]), " ", path, 0)
         elif kind == 10:
             row = (run(int(pick([20, 32, 40])), hexa), f"{pick(['password', 'token', 'secret'])} = \"", "\"", f"{pick(['tests', 'docs', 'fixtures'])}/{pick(words)}.py", 0)
-        else:
+        elif kind == 11:
             row = (pick(["x" * 16, "0" * 20, "your_token_here", "aaaa-bbbb-cccc", "changeme_changeme", "http//www/index", "2024-01-02_10-20"]) + run(int(rng.integers(0, 3)), "0123456789"), f"{lead}{pick(['token', 'password', 'key', ''])} = ", " ", path, 0)
+        elif kind == 14:
+            row = (run(int(rng.integers(4, 16)), alnum + "!#$%&*@+-_."), f"{lead}{pick(['https', 'postgres', 'ftp', 'amqp'])}://{pick(['user', 'admin', 'root', pick(words)])}:", f"@{pick(words)}", path, 1)
+        elif kind == 15:
+            row = (pick([pick(words), pick(words).title(), pick(sorted(PLACEHOLDERS))]), named, quote, path, 0)
+        elif kind == 16:
+            row = (pick(["${%s}", "{{%s}}", "<%s>", "$%s", "os.environ[%s]", "get_%s()", "{%s}", "[%s]"]) % pick([str.lower, str.upper])(pick(words)) if rng.integers(3) else pick("*x.-") * int(rng.integers(3, 12)), named, quote, path, 0)
+        elif kind == 18:
+            row = ("".join(pick(["er", "en", "the", "in", "de", "la", "re", "on", "is", "ou", "men", "to", "al", "que"]) for _ in range(int(rng.integers(1, 5)))), f"{lead}{pick(['key', 'token', 'auth', 'private', 'credentials', 'secret'])}: ", " ", path, 0)
+        elif kind == 19:
+            row = (" ".join(pick(words) for _ in range(int(rng.integers(2, 6)))), named, quote, path, 0)
+        else:
+            name = f"{lead}{pick(['password', 'passwd', 'pwd', 'secret', 'db_password', 'passphrase', 'token', 'api_key'])}{pick(['=', ': ', ' = ', ':'])}"
+            value = run(int(rng.integers(5, 17)), alnum) + pick(marks) + run(int(rng.integers(0, 5)), alnum + marks)
+            if kind == 13:
+                value = run(int(rng.integers(10, 22)), "abcdefghijklmnopqrstuvwxyz")
+            elif kind == 17:
+                value = "".join({"o": "0", "a": "4", "e": "3", "i": "1"}.get(c, c) if rng.integers(2) else c for c in pick(words).title()) + pick([*marks, ""]) + run(int(rng.integers(1, 4)), "0123456789")
+            row = (value, name + quote, quote, path, 1)
         out.append(row)
     return out
 
@@ -222,9 +265,15 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5
                 part = batch.slice(at, 512)
                 texts, paths = part.column("text").to_pylist(), [None if x is None else str(x) for x in part.column(path).to_pylist()]
                 for row, own in enumerate(_scored(texts, paths, model)):
-                    for begin, end, score in reversed(own):
+                    spans: list[list[int]] = []
+                    for begin, end, score in own:
                         if score >= threshold:
-                            texts[row] = texts[row][:begin] + mark + texts[row][end:]
+                            if spans and begin < spans[-1][1]:
+                                spans[-1][1] = max(spans[-1][1], end)
+                            else:
+                                spans.append([begin, end])
+                    for begin, end in reversed(spans):
+                        texts[row] = texts[row][:begin] + mark + texts[row][end:]
                 k = part.schema.get_field_index("text")
                 yield part.set_column(k, part.schema.field(k), pa.array(texts, part.schema.field(k).type))
             give_back()

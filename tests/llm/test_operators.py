@@ -226,6 +226,14 @@ def test_secrets(spark):
     assert np.mean((scores >= 0.5) == np.array([r[4] for r in held])) > 0.95
 
 
+def test_secrets_of_any_length_and_characters(spark):
+    secrets = [('password = "{}" now', "Tr0ub4dor&3"), ("see postgres://user:{}@db.host/x for it", "p@ss!word"), ("the password: {} is set", "qzvkwjxrtplmbnhd"), ("DB_PASSWORD={}\nnext", "s3cr#t"), ('{{"api_key": "{}"}}', "k9$Lm!2x"), ("dbPassword: '{}'", "Zx9!q_7w")]
+    plain = ["password: required", 'token = "${TOKEN}"', "the key: value", "passwords are good: keep them", "password = None", "at http://host:80/a@b here", "monkey: banana"]
+    texts = [a.format(b) for a, b in secrets] + plain
+    out = [r.text for r in secret_scan.redact(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert out == [a.format("[SECRET]") for a, _ in secrets] + plain
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 0, "user", None), (5, 0, "user", "hi"), (5, 1, None, "no")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1))
