@@ -260,6 +260,20 @@ def test_pipeline_stages(spark):
     assert ids == {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6)]
+    rows = [(1, base[0]), (1, base[1]), (2, base[1] + " more"), (3, base[2]), (3, base[2]), (None, base[3]), (None, base[3] + " end"), (None, base[4]), (5, base[4]), (7, ""), (7, None)]
+    got = p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(1, base[0]), (1, base[1]), (3, base[2]), (None, base[3]), (5, base[4]), (7, ""), (7, None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    texts = [*base, base[0] + " x", base[5] + " y", "", "one"]
+    plain = p.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in plain} == {i for i, (_, c) in brute_components(texts, 5, 80).items() if i == c}
+
+
 def odd_rows(spark):
     """Nulls in every column, repeated rows, an empty and a very long text, and columns with clashing names."""
     rows = [(None, None, None, None, None), (None, None, None, None, None), (1, "", None, "s", 0), (2, "tie of one two three four", "en", None, None), (2, "tie of one two three four", "en", None, None), (3, "long text " * 30000, None, "s", 1), (4, None, "en", "s", None)]
