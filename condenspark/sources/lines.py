@@ -34,9 +34,10 @@ def stream_lines(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) ->
     return with_cap(text.select(F.col("_metadata.file_path").alias("source"), F.current_timestamp().alias("arrival_ts"), F.col("value").alias("raw")), max_bytes=max_bytes)
 
 
-def split_column(table: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines of a text column: source (the key), line_no from 0, raw."""
-    return with_cap(table.select(F.col(key).alias("source"), F.posexplode(F.split(text, "\n")).alias("line_no", "raw")))
+def split_column(table: DataFrame, key: str, text: str, max_bytes: int | None = None) -> DataFrame:
+    """Lines of a text column: source (the key), line_no from 0, raw. They are whole unless a cap is given."""
+    lines = table.select(F.col(key).alias("source"), F.posexplode(F.split(text, "\n")).alias("line_no", "raw"))
+    return with_cap(lines, max_bytes=max_bytes) if max_bytes else lines.withColumns({"truncated": F.lit(False), "raw": F.regexp_replace("raw", "\r\\z", "")})
 
 
 def read_manifests(spark: SparkSession, glob: str) -> DataFrame:

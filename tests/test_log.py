@@ -13,7 +13,7 @@ from condenspark.operators import lru, multiline, patterns, sinks
 from condenspark.operators.anomaly import History
 from condenspark.plans.condense import condense
 from condenspark.plans.config import Config
-from condenspark.sources.lines import clean_line
+from condenspark.sources.lines import clean_line, split_column
 
 LEVELS = [
     ("level=info msg=x", "INFO", "msg=x"), ("##[error]Process", "ERROR", "Process"), ("Connection ERROR=5", "UNKNOWN", "Connection ERROR=5"), ("INFO2 x", "UNKNOWN", "INFO2 x"),
@@ -129,6 +129,13 @@ def test_lines(spark):
     assert [r[0] for r in rows.select(clean_line(F.col("v"), 11, "!")).collect()] == ["a", "x" * 11 + "!", "", "é" * 5 + "!"]
 
 
+def test_lines_of_a_column_are_whole(spark):
+    long = "x" * 300_000 + " 10.0.0.1"
+    rows = spark.createDataFrame([(1, f"a\r\n{long}\n")], "doc_id long, text string")
+    assert [(r.line_no, r.raw) for r in split_column(rows, "doc_id", "text").collect()] == [(0, "a"), (1, long), (2, "")]
+    assert [r.truncated for r in split_column(rows, "doc_id", "text", 1000).collect()] == [False, True, False]
+
+
 @pytest.mark.parametrize("bad", [{"window": 0}, {"spike_multiplier": 1.0}, {"protect_multiplier": float("inf")}, {"max_patterns": -1}, {"cooldown": -1.0}, {"severity_protect": "INFO"}, {"min_window_events": 0}])
 def test_settings(bad):
     with pytest.raises(ValueError):
