@@ -152,7 +152,8 @@ def retention(spark, sf_dir):
     needles = _table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle"))
     docs = _table(spark, sf_dir, "documents").select(F.lower("text").alias("text"))
     kept = patterns.retention(docs, needles.select("needle").distinct(), "text", "needle")
-    return needles.join(kept, "needle").select("item_id", "retained")
+    kept = kept.withColumnRenamed("needle", "of")
+    return needles.join(kept, F.col("needle").eqNullSafe(F.col("of"))).select("item_id", "retained")
 
 
 def order_patterns(spark, sf_dir):

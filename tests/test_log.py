@@ -136,6 +136,14 @@ def test_lines_of_a_column_are_whole(spark):
     assert [r.truncated for r in split_column(rows, "doc_id", "text", 1000).collect()] == [False, True, False]
 
 
+def test_retention_keeps_items_without_text(spark, tmp_path):
+    from condenspark.plans.queries import retention
+
+    spark.createDataFrame([(1, "Some Text"), (2, None), (3, "absent"), (4, "some text")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([("here is some text.",), (None,)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(tuple(r) for r in retention(spark, str(tmp_path)).collect()) == [(1, True), (2, False), (3, False), (4, True)]
+
+
 @pytest.mark.parametrize("bad", [{"window": 0}, {"spike_multiplier": 1.0}, {"protect_multiplier": float("inf")}, {"max_patterns": -1}, {"cooldown": -1.0}, {"severity_protect": "INFO"}, {"min_window_events": 0}])
 def test_settings(bad):
     with pytest.raises(ValueError):
