@@ -1,95 +1,111 @@
 """Operator 6: best-fit decreasing packing of token sequences.
 
-A document is its token ids and an end id. Whole windows are cut off overlong documents first; each is a sequence of its own. What is
-left, below one window, is dealt by hash to groups of bounded size. In a group, longest first, each piece goes to the
-tightest open window that holds it, found by a segment tree indexed by remaining capacity.
+A document is its token ids and an end id. It is cut into full windows and a rest below one window. Pieces are dealt by hash (with a salt
+of the row's place in its task, so that repeated rows part) to groups whose size is bounded by bytes of text, whatever the lengths of
+documents. In a group, longest first, each piece goes to the tightest open window that holds it, found by a segment tree indexed by
+remaining capacity; full windows come first there and are sequences of their own.
 
 Null and empty texts hold the end id alone. Repeated rows are packed each for itself. An empty table gives no rows. Each token lies
-in exactly one piece. A group leaves about one window partly filled, so padding is a fixed small share at every size.
+in exactly one piece. doc_id may be null, and of any type; other columns are not read. A group leaves about one window partly filled, so
+padding is a fixed small share at every size.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from condenspark.llm.common import bound_batches, give_back
 
-PIECES = "piece_group long, doc_id {id}, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id {id}, start long, length long, doc_tokens long, ids binary, salt long"
 PACKED = "doc_id {id}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
-
-#: Byte -> the printable character that stands for it in the vocabulary of byte-level tokenizers.
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
-LATIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
-_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: Chunks of these letters, digits and marks may be split into words before the tokenizer sees them, if PROBES say so.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+WORDS = re.compile(f"'(?:[st]|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+", re.I)
+PROBES = (
+    *(chr(c) + w + chr(d) for c in range(33, 127) for d in range(33, 127, 3) for w in ("", "Ab")), *(w + chr(c) + "a" for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7) for w in ("", "B", "9", "'")),
+    "don't", "I'LL", "we've.", "it'S!", "x'Mas", "a'tis", "''t", "l'\u00e9t\u00e9,", "\u00c9COLE-No.12", "na\u00efve's", "a1b22c", "$3.50%", "(x)[y]{z}", "...", "--", "e.g.,", "http://a.b/c?d=e&f", "Stra\u00dfe;", "\u00fcber/\u00dcBER",
+)
 
 
 class ChunkCache(dict):
-    """Blank-delimited chunk -> ids as little-endian 32-bit bytes.
+    """Blank-delimited chunk -> ids as little-endian 32-bit bytes, all from the tokenizer.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in turn; most chunks repeat. A
-    chunk of Latin letters, digits and ASCII marks is lower-cased and split into words here, and each new word goes to the tokenizer's
-    model; any other chunk, and one that may hold a special token, goes through the whole tokenizer. Both caches start anew when full."""
+    The tokenizer must not join tokens across a blank; a chunk is then encoded alone, and most chunks repeat. A chunk of plain letters,
+    digits and marks that isn't known is split into words, and the tokenizer's model gives their ids; how it sees each character is asked
+    of its normaliser and pre-tokeniser. This way is taken only if it gives the whole tokenizer's ids for every probe; any other chunk,
+    and one that may hold a special token, is encoded whole. The cache holds about ``most`` bytes: when half of that is new, what was
+    not used since the last time goes."""
 
     def __init__(self, path: str, most: int):
+        from tokenizers import Tokenizer
+
         super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.model, self.words = self.tokenizer.model, {}
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        self.model, self.shown, self.splits = self.tokenizer.model, {}, True
+        for c in map(chr, [*range(33, 127), *(k for k in range(0xC0, 0x100) if PLAIN.match(chr(k)))]):
+            normal = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer else c
+            found = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if self.tokenizer.pre_tokenizer else [(normal, None)]
+            self.shown[ord(c)] = "".join(x for x, _ in found)
+        self.forget()
+        self.splits = all(self._alone(p) == self[p] for p in PROBES)
+        self.parts = all(self._alone(f"{a} {b}") == self._alone(a) + self._alone(b) == self._alone(f"{a}\n{b}") for a, b in zip(PROBES, PROBES[1:], strict=False))
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0
         self[""] = b""
 
     def _alone(self, chunk: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            shown = word if word.isascii() else "".join(map(BYTES.__getitem__, word.encode()))
-            found = self.words[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        return found
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if LATIN.fullmatch(chunk) and "<|" not in chunk and "|>" not in chunk:
-            low = chunk.lower()
-            if low.isalpha():
-                found = self._word(low)
-            elif low[-1] in ",." and low[:-1].isalpha():
-                found = self._word(low[:-1]) + self._word(low[-1])
+        found = self.old.pop(chunk, None)
+        if found is None:
+            if self.splits and PLAIN.fullmatch(chunk) and "<|" not in chunk and "|>" not in chunk:
+                words = (chunk,) if chunk.isalpha() else WORDS.findall(chunk)
+                if len(words) > 1:
+                    found = b"".join(map(self.__getitem__, words))
+                else:
+                    found = array("I", [t.id for t in self.model.tokenize(chunk.translate(self.shown))]).tobytes()
             else:
-                found = b"".join(map(self._word, WORDS.findall(low)))
-        else:
-            found = self._alone(chunk)
+                found = self._alone(chunk)
         self[chunk] = found
+        self.size += 180 + len(chunk) + len(found)
         return found
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
-            if len(self) > self.most:
-                self.clear()
-                self[""] = b""
-            if len(self.words) > self.most:
-                self.words.clear()
+            if not self.parts:
+                yield self._alone(text or "")
+                continue
+            if self.size > self.most // 2:
+                kept = dict(self)
+                self.forget()
+                self.old = kept
             yield b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 _caches: dict[str, ChunkCache] = {}
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, n_groups: int, cache_chunks: int, slice_rows: int = 256) -> DataFrame:
-    """Documents cut into pieces of at most one window."""
+def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, cache_bytes: int, slice_rows: int = 256) -> DataFrame:
+    """Documents cut into pieces of at most one window; salt: the piece's place in its task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _caches.setdefault(tokenizer_path, ChunkCache(tokenizer_path, cache_chunks))
-        end = np.asarray([end_id], "<u4").tobytes()
+        if tokenizer_path not in _caches:
+            _caches.clear()
+            _caches[tokenizer_path] = ChunkCache(tokenizer_path, cache_bytes)
+        cache, end, salt = _caches[tokenizer_path], np.asarray([end_id], "<u4").tobytes(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)
@@ -102,13 +118,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, n_gro
                         for k, v in zip(out, (start, min(window, n - start), n, raw[4 * start : 4 * (start + window)]), strict=True):
                             out[k].append(v)
                 doc_id = part.column("doc_id").take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items())], names=["doc_id", *out])
+                salts = pa.array(range(salt, salt + len(own)), pa.int64())
+                salt += len(own)
+                yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()), salts], names=["doc_id", *out, "salt"])
             give_back()
+        cache.forget()
+        give_back()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    cut_up = docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(id=kind).replace("piece_group long, ", ""))
-    group = F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(n_groups))
-    return cut_up.select(group.alias("piece_group"), "*")
+    return docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], list[int], int]:
@@ -151,16 +168,20 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return where, offset, n
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, group_docs: int = 1024, cache_chunks: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, group_docs: int = 1024, group_bytes: int = 4 << 20, cache_bytes: int = 40 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian 32-bit), sequence_id, offset.
-    group_docs: mean documents in a group; a group's ids fit in one task (at most window ids a piece, before whole windows)."""
+    A group has about group_docs documents and group_bytes of text at most, so its ids fit in a task: a token is at least one byte."""
     bound_batches(docs.sparkSession)
-    n_groups = max(1, -(-docs.count() // group_docs))
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n_groups = max(1, -(-size["n"] // group_docs) + (size["bytes"] or 0) // group_bytes)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    group = F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids"), "salt"), F.lit(n_groups))
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "start", "length"], kind="stable")
-        where, offset, _ = best_fit_decreasing(group["length"].tolist(), window)
-        return group.assign(sequence_id=group["piece_group"] * (1 << 32) + np.asarray(where, np.int64), offset=np.asarray(offset, np.int64)).drop(columns="piece_group")
+    def fit(own: pa.Table) -> pa.Table:
+        own = own.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("salt", "ascending")]) if pa.types.is_primitive(own.schema.field("doc_id").type) else own
+        where, offset, _ = best_fit_decreasing(own.column("length").to_pylist(), window)
+        ids = own.column("piece_group")[0].as_py() * (1 << 32) + np.asarray(where, np.int64)
+        return own.drop_columns(["piece_group", "salt"]).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return pieces(docs, tokenizer_path, window, end_id, n_groups, cache_chunks).groupBy("piece_group").applyInPandas(fit, PACKED.format(id=kind))
+    cut = pieces(docs, tokenizer_path, window, end_id, cache_bytes)
+    return cut.withColumn("piece_group", group).groupBy("piece_group").applyInArrow(fit, PACKED.format(id=kind))
