@@ -12,7 +12,7 @@ crcs AS MATERIALIZED (
 ORACLES = {
     "op1_sharding": f"""
 WITH {_CRC.strip()},
-r AS (SELECT doc_id, octet_length(encode(d.text)) + 1 AS size, crc, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS stratum, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle
+r AS (SELECT doc_id, octet_length(encode(d.text)) + 1 AS size, crc, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS stratum, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || (octet_length(encode(d.text)) + 1) || ':' || crc) AS shuffle
       FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents) d JOIN crcs USING (text)),
 f AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY shuffle, doc_id, size, crc) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS fraction FROM r),
 p AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, doc_id, size, crc) - 1 AS position, count(*) OVER () AS total FROM f),

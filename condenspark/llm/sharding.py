@@ -4,7 +4,8 @@ Rows are ranked within their source in a seeded random order, given the fraction
 sorted by it, and cut into equal runs. Each run holds every source in its share of the whole. Law: ``rows``.
 
 A source may hold a third of all rows, so neither ranking runs in one task: rows go to the buckets of a fixed grid, a small
-table of bucket counts gives each bucket its offset, and row_number() only numbers the rows inside a bucket.
+table of bucket counts gives each bucket its offset, and row_number() only numbers the rows inside a bucket. The grid grows with the
+number of rows. The random order comes from doc_id, size and CRC, so rows of one doc_id (or of none) spread over it too.
 
 Null text has size 1 and the CRC of no bytes. A null source is a source of its own. Rows that agree in doc_id, size and CRC are
 interchangeable; a null doc_id is kept. An empty table gives no rows. Extra columns are not read.
@@ -24,8 +25,10 @@ def _offsets(rows: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     return n.select(*keys, bucket, (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("total"))
 
 
-def interleave(docs: DataFrame, n_shards: int = 8, seed: int = 17, grid_hex: int = 3, text: Column | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, source, position, shard, slot for every row. grid_hex: the bucket grid has 16 ** grid_hex cells."""
+def interleave(docs: DataFrame, n_shards: int = 8, seed: int = 17, grid_hex: int | None = None, text: Column | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, source, position, shard, slot for every row. grid_hex: the bucket grid has 16 ** grid_hex cells; as a
+    rule so many that a cell of an even source has at most about 65,536 rows, and 4,096 at least."""
+    grid_hex = grid_hex or max(3, -(-max(0, docs.count().bit_length() - 16) // 4))
     cells = 16**grid_hex
     text = F.coalesce(F.col("text") if text is None else text, F.lit(""))
     rows = docs.select(
@@ -33,8 +36,9 @@ def interleave(docs: DataFrame, n_shards: int = 8, seed: int = 17, grid_hex: int
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("stratum"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("shuffle"),
-    ).withColumn("cell", F.substring("shuffle", 1, grid_hex))
+    )
+    names = (F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    rows = rows.withColumn("shuffle", F.md5(F.concat_ws(":", *names).cast("binary"))).withColumn("cell", F.substring("shuffle", 1, grid_hex))
     ties = ["doc_id", "size", "text_crc32"]
     inner = F.row_number().over(Window.partitionBy("stratum", "cell").orderBy("shuffle", *ties))
     ranked = rows.join(_offsets(rows, ["stratum"], "cell"), ["stratum", "cell"]).select(
