@@ -6,7 +6,8 @@ lazily, state by state, so most words end in the dead state after a few letters.
 quotation marks or after a word of reporting it counts less, beside direct address more. A logistic model over the summed context
 scores gives the document's score.
 
-The model learns from at most ``max_rows`` labelled rows, chosen by hash. Without labelled rows of both kinds, the seed list and default weights are
+The model learns from about ``max_rows`` labelled documents at most, chosen by hash of doc_id; words of four letters or more can become
+terms, however many or long. What a task works out about words is kept within a bound and forgotten after it. Without labelled rows of both kinds, the seed list and default weights are
 used. Null and empty texts have no match and get the score of such texts. Every row gets a row; repeated rows alike. Only the text is read; a column
 named toxicity or toxic is replaced.
 """
@@ -19,7 +20,6 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +44,10 @@ def edits_of(term: str, stem: bool) -> int:
 
 
 class FuzzyTrie:
-    """Words within the allowed edits of a term, or that begin with a stem. A state is a set of (trie node, edits used)."""
+    """Words within the allowed edits of a term, or that begin with a stem. A state is a set of (trie node, edits used). At most about
+    ``most`` steps between states are remembered at a time."""
 
-    def __init__(self, terms: Iterable[tuple[str, bool]]):
+    def __init__(self, terms: Iterable[tuple[str, bool]], most: int = 100_000):
         self.next: list[dict[str, int]] = [{}]
         self.end: list[tuple[str, int] | None] = [None]
         self.stem: list[str | None] = [None]
@@ -67,10 +68,15 @@ class FuzzyTrie:
                 self.stem[at] = term
             else:
                 self.end[at] = (term, k)
+        self.limit = most
+        self.forget()
+
+    def forget(self) -> None:
         self.ids: dict[frozenset, int] = {frozenset(): 0}
         self.states: list[frozenset] = [frozenset()]
         self.step: list[dict[str, int]] = [{}]
         self.found: list[tuple[str, int] | None] = [None]
+        self.steps = 0
         self.start = self._id(self._close({(0, 0)}))
 
     def _close(self, state: set[tuple[int, int]]) -> frozenset:
@@ -106,10 +112,13 @@ class FuzzyTrie:
                     out.add((child, e))
                 elif e < self.most[child]:
                     out.add((child, e + 1))
+        self.steps += 1
         return self._id(self._close(out))
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term and the edits to it."""
+        if self.steps > self.limit:
+            self.forget()
         at, steps = self.start, self.step
         for c in word:
             nxt = steps[at].get(c)
@@ -149,7 +158,8 @@ def features(text: str | None, trie: FuzzyTrie) -> tuple[float, float, float, fl
         if marks:
             line = lines[int(np.searchsorted(lines, at)) - 1]
             before = int(np.searchsorted(marks, at))
-            inside = (before - int(np.searchsorted(marks, line))) % 2 == 1 and before < len(marks) and marks[before] - at < 200
+            end = lower.find("\n", at)
+            inside = (before - int(np.searchsorted(marks, line))) % 2 == 1 and before < len(marks) and (end < 0 or marks[before] < end)
         report = bool(REPORTING & {x for _, x in spans[max(0, i - WINDOW) : i]})
         score = (0.3 if inside else 1.0) * (0.6 if report else 1.0) * (1.25 if ADDRESS & near else 1.0)
         quoted += inside or report
@@ -161,39 +171,43 @@ def features(text: str | None, trie: FuzzyTrie) -> tuple[float, float, float, fl
 
 
 def terms_of(text: str | None) -> set[tuple[str, bool]]:
-    words = {w for w in WORD.findall((text or "").lower()) if not w.isdigit() and 4 <= len(w) <= 40}
+    words = {w for w in WORD.findall((text or "").lower()) if not w.isdigit() and len(w) >= 4}
     return {(w, False) for w in words} | {(w[:k], True) for w in words for k in range(4, min(8, len(w)))}
 
 
-def learn_lexicon(sample: DataFrame, min_docs: int, min_gain: float, max_terms: int) -> list[tuple[str, bool]]:
+def learn_lexicon(sample: DataFrame, min_docs: int, min_gain: float) -> list[tuple[str, bool]]:
     """sample: text, toxic. Terms far more frequent in toxic rows; of terms that cover each other, the one that tells most."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for batch in batches:
-            for text, label in zip(batch["text"], batch["toxic"], strict=True):
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 (toxic if label else clean).update(terms_of(text))
-        rows = [(t, s, n, clean[t, s]) for (t, s), n in toxic.items()]
-        yield pd.DataFrame(rows, columns=["term", "stem", "t", "c"])
-        # terms that this task saw in clean rows only may be toxic elsewhere
-        rows = [(t, s, 0, n) for (t, s), n in clean.items() if (t, s) not in toxic]
-        yield pd.DataFrame(rows, columns=["term", "stem", "t", "c"])
+        every = sorted(toxic.keys() | clean.keys())  # also terms of clean rows only: they may be toxic in other tasks
+        for at in range(0, len(every), 10_000):
+            part = every[at : at + 10_000]
+            columns = ([t for t, _ in part], pa.string()), ([s for _, s in part], pa.bool_()), ([toxic[k] for k in part], pa.int64()), ([clean[k] for k in part], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns], names=["term", "stem", "t", "c"])
 
     totals = sample.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     n_toxic, n_clean = int(totals["t"] or 0), int(totals["n"]) - int(totals["t"] or 0)
     if not n_toxic or not n_clean:
         return []
-    counted = sample.select("text", "toxic").mapInPandas(count, "term string, stem boolean, t long, c long").groupBy("term", "stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = sample.select("text", "toxic").mapInArrow(count, "term string, stem boolean, t long, c long").groupBy("term", "stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     share = n_toxic / (n_toxic + n_clean)
     gain = 2 * (F.col("t") * F.log(F.col("t") / ((F.col("t") + F.col("c")) * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / ((F.col("t") + F.col("c")) * (1 - share)))).otherwise(0.0))
-    kept = counted.where(f"t >= {min_docs} and t >= 0.6 * (t + c)").withColumn("gain", gain).where(F.col("gain") >= min_gain)
-    rows = kept.orderBy(F.desc("gain"), "term", "stem").limit(max_terms).collect()
+    rows = counted.where(f"t >= {min_docs} and t >= 0.6 * (t + c)").withColumn("gain", gain).where(F.col("gain") >= min_gain).collect()
     weight = lambda r: r["gain"] * (1 if r["stem"] else 1.06)  # noqa: E731  a whole word goes before a stem that tells no more
     out: list[tuple[str, bool]] = []
+    stems, begun = set(), set()  # the stems in out, and how its terms begin
     for r in sorted(rows, key=lambda r: (-weight(r), r["stem"], -len(r["term"]), r["term"])):
         term = r["term"]
-        if not any((s and term.startswith(x)) or (r["stem"] and x.startswith(term)) for x, s in out):
+        begins = {term[:k] for k in range(4, len(term) + 1)}
+        if not (begins & stems or (r["stem"] and term in begun)):
             out.append((term, r["stem"]))
+            begun |= begins
+            if r["stem"]:
+                stems.add(term)
     return out
 
 
@@ -215,16 +229,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-_tries: dict[tuple, FuzzyTrie] = {}
-
-
-def _trie(terms: tuple) -> FuzzyTrie:
-    if terms not in _tries:
-        _tries.clear()
-        _tries[terms] = FuzzyTrie(terms)
-    return _tries[terms]
-
-
 class Scorer:
     """Adds a column of scores to documents, a few hundred texts at a time."""
 
@@ -235,7 +239,7 @@ class Scorer:
         terms, weights = self.terms, self.weights
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie, w = _trie(terms), np.asarray(weights)
+            trie, w = FuzzyTrie(terms), np.asarray(weights)
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
@@ -246,22 +250,25 @@ class Scorer:
         return docs.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in docs.schema.fields), StructField(name, DoubleType())]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, min_docs: int = 3, min_gain: float = 16.0, max_terms: int = 5000):
-    """A scorer of texts, learned from labelled rows that aren't held out: at most about max_rows of them."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, min_docs: int = 3, min_gain: float = 16.0):
+    """A scorer of texts, learned from labelled documents that aren't held out: about max_rows of them at most."""
     usable = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     n = usable.count()
     rank = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20))
     chosen = usable.where(rank < int((1 << 20) * min(1.0, max_rows / max(1, n))))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # a row count bounded by max_rows
-    sample = sample.select("text", "toxic").repartition(96, F.xxhash64("text"))
-    learned = learn_lexicon(sample, min_docs, min_gain, max_terms)
+    sample = sample.repartition(96, "doc_id", F.crc32(F.col("text").cast("binary"))).select("text", "toxic")
+    learned = learn_lexicon(sample, min_docs, min_gain)
     terms = tuple(learned + [(t, False) for t in SEED_TERMS if (t, False) not in learned])
 
-    @F.pandas_udf("array<double>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(features(t, _trie(terms))) for t in texts])
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = FuzzyTrie(terms)
+        for batch in batches:
+            x = [list(features(t, trie)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows = sample.select("toxic", of("text").alias("x")).collect()
+    rows = sample.mapInArrow(describe, "toxic int, x array<double>").collect()
+    rows.sort(key=lambda r: (r["toxic"], *r["x"]))
     y = np.array([r["toxic"] for r in rows], float)
     weights = fit_logistic(np.array([r["x"] for r in rows]), y) if 0 < y.sum() < len(y) else np.array(DEFAULT)
     return Scorer(terms, tuple(float(v) for v in weights))
