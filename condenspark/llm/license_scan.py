@@ -7,7 +7,8 @@ longest common subsequence. Coverage is the share of the template's words that a
 Texts are scanned whole. A template can only be covered where its distinctive words are, so alignment runs on windows around them; a
 window that shares too few words for the coverage is skipped, which cannot lose a match. A window is cut into occurrences first: each ends
 where enough of the template's words have come in order, so copies that follow each other are told apart. Templates are short notices
-and whole license texts. Of overlapping matches the one with most aligned words stays. Null and empty texts have no match. Repeated rows each give their matches. Extra columns are not read.
+and whole license texts. Of overlapping matches the one with most aligned words stays. Null and empty texts have no match. Repeated rows each give their matches.
+doc_id may be null and of any type. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from importlib.resources import files
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Short notices of well-known licenses, as they are commonly printed, and two whole licenses that are short.
@@ -260,9 +261,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     """doc_id, license, coverage, aligned, begin, end (characters) for each notice found."""
     scanner = Scanner(templates or all_templates(), coverage)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, *f) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for f in scanner.scan(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "aligned", "begin", "end"])
+            rows = [(i, *f) for i, t in enumerate(batch.column("text").to_pylist()) for f in scanner.scan(t)]
+            own, *found = zip(*rows, strict=True) if rows else [()] * 6
+            kinds = (pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own, pa.int64())), *(pa.array(v, k) for v, k in zip(found, kinds, strict=True))], names=["doc_id", "license", "coverage", "aligned", "begin", "end"])
 
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
