@@ -5,8 +5,8 @@ values that follow a secret word and = or : or stand in a URL's credentials. The
 character classes and transitions, dictionary coverage, the path (or source) and the neighbouring words. It is trained from labelled
 findings: pass your own, or use ``labelled_findings``, which writes them by rule from a seed.
 
-Texts are scanned whole; a longer run is one candidate. Candidates may overlap: a value and a run inside it are both judged. Null and empty texts have no candidate; a null path has no words. Repeated rows
-each give their findings. Extra columns stay in ``redact`` and are not read in ``scan_secrets``.
+Texts are scanned whole; a longer run is one candidate. Candidates may overlap: a value and a run inside it are both judged. Null and
+empty texts have no candidate; a null path has no words. Repeated rows each give their findings; doc_id may be null and of any type. Extra columns stay in ``redact`` and are not read in ``scan_secrets``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -235,22 +234,19 @@ def _scored(texts, paths, forest: Forest) -> list[list[tuple[int, int, float]]]:
     return [[(b, e, next(scores)) for b, e, _ in one] for one in found]
 
 
-def _none(values: pd.Series) -> list:
-    return [None if v is None or v != v else v for v in values]
-
-
 def scan_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, path: str = "source") -> DataFrame:
     """doc_id, begin, end (characters), score, secret (score >= threshold) for every candidate."""
     bound_batches(docs.sparkSession)
     model = forest or train()
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, *f) for d, own in zip(batch["doc_id"], _scored(_none(batch["text"]), _none(batch["path"]), model), strict=True) for f in own]
-            yield pd.DataFrame(rows, columns=["doc_id", "begin", "end", "score"])
+            rows = [(i, *f) for i, own in enumerate(_scored(batch.column("text").to_pylist(), batch.column("path").to_pylist(), model)) for f in own]
+            own, *found = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own, pa.int64())), *(pa.array(v, k) for v, k in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True))], names=["doc_id", "begin", "end", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text", F.col(path).cast("string").alias("path")).mapInPandas(scan, f"doc_id {kind}, begin long, end long, score double")
+    found = docs.select("doc_id", "text", F.col(path).cast("string").alias("path")).mapInArrow(scan, f"doc_id {kind}, begin long, end long, score double")
     return found.withColumn("secret", F.col("score") >= threshold)
 
 
