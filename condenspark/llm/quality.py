@@ -3,9 +3,10 @@
 Heuristic labellers vote good (1), bad (-1) or abstain (0) on every document. Expectation-maximisation over the counts of all vote
 patterns (at most 3 to the number of labellers, counted over all documents) estimates each labeller's accuracy on good and on bad documents and the share of
 good ones. A pattern's posterior is its documents' label. A linear scorer over hashed words and byte trigrams learns the posteriors of a
-sample of at most ``max_rows`` documents, and scores every document.
+sample of at most ``max_rows`` different texts (those of least hash), and scores every document.
 
-Null and empty texts get the votes of an empty text. Every row gets a row, repeated rows alike. Only the text is read.
+Null and empty texts get the votes of an empty text. Every row gets a row, repeated rows alike; doc_id may be null and of any type. Only
+the text is read.
 """
 
 from __future__ import annotations
@@ -137,15 +138,19 @@ def classify_quality(docs: DataFrame, threshold: float = 0.5, max_rows: int = 60
     bound_batches(docs.sparkSession)
     model = label_model(docs)
     n = docs.count()
-    rank = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 24))
-    picked = docs.select("text").where(rank < int((1 << 24) * min(1.0, max_rows / max(1, n)))).limit(2 * max_rows)
+    rank = F.xxhash64("text", F.lit(11))
+    share = min(1.0, 2 * max_rows / max(1, n))  # texts are fewer than rows, and the least hashes are among these as a rule
+    picked = docs.select("text", rank.alias("rank"))
+    if share < 1 and picked.where(F.col("rank") <= int(-(2**63) + 2.0**64 * share)).select("rank").distinct().limit(max_rows).count() == max_rows:
+        picked = picked.where(F.col("rank") <= int(-(2**63) + 2.0**64 * share))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bytes(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([hashed(t, bits).tobytes() for t in texts], pa.binary()), pa.array([code(votes(t)) for t in texts], pa.int32())], names=["x", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column("rank"), pa.array([hashed(t, bits).tobytes() for t in texts], pa.binary()), pa.array([code(votes(t)) for t in texts], pa.int32())], names=["rank", "x", "code"])
 
-    rows = picked.mapInArrow(features, "x binary, code int").collect()
+    different = picked.groupBy("rank").agg(F.first("text").alias("text")).select("text", "rank")
+    rows = different.mapInArrow(features, "rank long, x binary, code int").orderBy("rank").limit(max_rows).collect()
     rows.sort(key=lambda r: (r["code"], bytes(r["x"])))
     weights, bias = fit_linear([np.frombuffer(r["x"], np.int32) for r in rows], np.array([model.get(r["code"], 0.5) for r in rows]), bits)
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias, model))
