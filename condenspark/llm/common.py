@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
 import uuid
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +34,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read back, so a lost executor costs a re-read and not a re-run."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).keep(df, label)
 
 
+class Scratch:
+    """Intermediate tables of one operator in the shared folder. What a later step no longer reads is dropped at once; what the
+    operator's result still reads goes when the application ends."""
+
+    _left: ClassVar[set[tuple[SparkSession, str]]] = set()
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.setdefault(label, []).append(path)
+        self._left.add((self.spark, path))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str, but: int = 0) -> None:
+        """All tables kept under these labels; but: except the last few of each."""
+        for label in labels:
+            found = self.paths.get(label, [])
+            for path in found[: len(found) - but]:
+                _remove(self.spark, path)
+                self._left.discard((self.spark, path))
+            self.paths[label] = found[len(found) - but :]
+
+    @classmethod
+    def clear(cls) -> None:
+        while cls._left:
+            with contextlib.suppress(Exception):  # the session may have ended
+                _remove(*cls._left.pop())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+atexit.register(Scratch.clear)
+
 #: Spark's setting for the size of an Arrow batch, and its default.
 BATCH_BYTES, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 

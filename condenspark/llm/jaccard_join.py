@@ -3,35 +3,39 @@
 A document's set holds its distinct ``width``-word shingles. Two documents link when ``100 * |A & B| >= percent * |A | B|``; a document's
 component is the smallest doc_id that it reaches by links.
 
-1. One pass hashes every set, and adds every shingle to a frequency sketch of a fixed number of cells. Equal sets become one node.
+1. One pass hashes every set, and adds every shingle to a frequency sketch whose width follows the bytes of text (about one cell for
+   64 shingles, from 2^18 to 2^24 cells; beyond that it only orders less well). Equal sets become one node.
 2. Shingles are ordered rarest first (by sketch, then by hash; any order is right, the sketch only saves work). A node's prefix for
    ``m`` matches holds all but ``ceil(percent * n) - m`` of its shingles, and two linked nodes share at least m of them. Each node
    takes the m of least estimated cost: a longer prefix has more postings, but fewer candidates that share m of them.
-3. Postings meet by shingle. A small group gives its pairs, with counts. A pair is a candidate if what it shares in the prefixes and
-   what it can share beyond them are enough for a link; postings in large groups, where nothing is counted, are taken as shared. In a
-   group above ``small`` each node meets one node only, that with the fewest rarer shingles of its own (among copies, the least changed);
-   nodes that link with it are in one component, whatever pairs they form. Each node that doesn't meets the whole group, as far as the
-   places of the shingle leave room for a link. So no pair that could link two components is left out, and large groups of copies
-   don't give all their pairs.
+3. Postings meet by shingle; those of shingles that the sketch takes for very frequent are spread over tasks and go the way of large
+   groups, which is right for any group. A small group gives its pairs, with counts. A pair is a candidate if what it shares in the
+   prefixes and what it can share beyond them are enough for a link; postings in large groups, where nothing is counted, are taken as
+   shared. In a group above ``small`` each node meets one node only, that with the fewest rarer shingles of its own (among copies, the
+   least changed); nodes that link with it are in one component, whatever pairs they form. Each node that doesn't meets those of the
+   group whose set sizes and whose places of the shingle leave room for a link: both sides are first cut down to the sizes at which
+   they can link at all, so documents that only share a common passage are not paired. No pair that could link two components is left
+   out, and large groups of copies don't give all their pairs.
 4. Candidates that share enough are verified on whole sets. Components come from the verified links by rounds of least labels.
 
 Null and empty texts have no shingles; their component is their own doc_id. With fewer than ``width`` words the whole sequence is one
 shingle. Repeated rows each get a row. Rows with a null doc_id take part; a component's id is the least that isn't null. Extra columns
-are not read. Sets are known by 96 bits of hash, shingles by 64.
+are not read. Sets are known by 96 bits of hash, shingles by 64. A text of 2^26 distinct shingles or more (some hundred megabytes) is
+refused with an error. Intermediate tables are dropped as soon as no later step reads them.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from condenspark.llm.common import bound_batches, give_back, materialise
+from condenspark.llm.common import Scratch, bound_batches, give_back
 
 U = np.uint64
 _rng = np.random.default_rng(20240501)
@@ -98,57 +102,81 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
         give_back()
 
 
-SIGNED = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("n", pa.int64()), ("cell", pa.int32()), ("counts", pa.binary())])
+SIGNED = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("n", pa.int64()), ("cell", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
-def signatures(docs: DataFrame, width: int, cells_log2: int, chunk: int = 4096) -> DataFrame:
+def width_of_sketch(docs: DataFrame, per_cell: int = 64) -> int:
+    """The logarithm of the number of cells: about one for per_cell words."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(24, max(18, (size // (6 * per_cell)).bit_length()))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts below 2^32, byte by byte of their weight: most are small."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def signatures(docs: DataFrame, width: int, cells_log2: int, chunk: int = 1 << 16) -> DataFrame:
     """doc_id, text_hash, a, b, n of each row; and, with a cell, each task's part of the sketch."""
+    groups = 1 + int(docs.rdd.getNumPartitions() ** 0.5)  # of tasks, whose sketches are summed first
     kept = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    spark_schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, a long, b int, n long, cell int, counts binary"
+    spark_schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, a long, b int, n long, cell int, part int, counts binary"
     shift = U(64 - cells_log2)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, kind = np.zeros(1 << cells_log2, np.int64), None
+        from pyspark import TaskContext
+
+        sketch, kind, part = np.zeros(1 << cells_log2, np.uint32), None, TaskContext.get().partitionId() % groups
         for batch in _slices(batches):
             kind = batch.schema.field("doc_id").type
             a, b, n = [], [], []
             for text in _texts(batch):
                 found = shingles(text, width)
-                np.add.at(sketch, (found >> shift).astype(np.int64), 1)
+                if len(found) >= 1 << 26:
+                    raise ValueError(f"a text has {len(found)} distinct shingles; at most {(1 << 26) - 1} are possible")
+                np.add.at(sketch, (found >> shift).astype(np.int64), np.uint32(1))
                 x, y = set_key(found)
                 a.append(x)
                 b.append(y)
                 n.append(len(found))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "text_hash", *SIGNED.names])
+            k = len(n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(n, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "text_hash", *SIGNED.names])
         if kind is not None:
-            k = len(sketch) // chunk
-            none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), none, none, pa.nulls(k, pa.int32()), none, pa.array(range(k), pa.int32()), pa.array([np.minimum(sketch[i * chunk : (i + 1) * chunk], 65535).astype("<u2").tobytes() for i in range(k)], pa.binary())], names=["doc_id", "text_hash", *SIGNED.names])
+            for i in range(0, len(sketch), chunk):
+                counts = _packed(sketch[i : i + chunk])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([i // chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([counts], pa.binary())], names=["doc_id", "text_hash", *SIGNED.names])
 
     return kept.mapInArrow(sign, spark_schema)
 
 
 def sketch_of(signed: DataFrame) -> np.ndarray:
-    """The sum of the tasks' sketches. Its size is fixed."""
+    """The sum of the tasks' sketches."""
 
-    def summed(kind: str):
-        def add(part: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(c, kind).astype("<i8") for c in part["counts"])
-            return pd.DataFrame({"cell": part["cell"].iloc[:1], "counts": [total.tobytes()]})
-
-        return add
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(1, np.uint64)
+        for c in part.column("counts"):
+            total = total + _unpacked(c.as_py())
+        return pa.table({"cell": part.column("cell")[:1], "counts": pa.array([_packed(np.minimum(total, 2**32 - 1))], pa.binary())})
 
     # in two levels, so that no task gathers the parts of all tasks
-    once = signed.where("cell is not null").select("cell", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("part"))
-    half = once.groupBy("cell", "part").applyInPandas(summed("<u2"), "cell int, counts binary")
-    rows = half.groupBy("cell").applyInPandas(summed("<i8"), "cell int, counts binary").orderBy("cell").collect()
-    return np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows]) if rows else np.zeros(1, np.int64)
+    half = signed.where("cell is not null").select("cell", "part", "counts").groupBy("cell", "part").applyInArrow(add, "cell int, counts binary")
+    rows = half.groupBy("cell").applyInArrow(add, "cell int, counts binary").collect()
+    return np.concatenate([_unpacked(r["counts"]) for r in sorted(rows, key=lambda r: r["cell"])]) if rows else np.zeros(1, np.uint32)
 
 
 def excess(sketch: np.ndarray) -> np.ndarray:
-    """How much each cell is above what chance puts there: the estimated frequency of its frequent shingles."""
+    """How much each cell is above what chance puts there, as a code of eight steps a doubling: the frequency of its frequent shingles."""
     usual = int(np.median(sketch))
-    return np.minimum(np.maximum(0, sketch - usual - 4 * isqrt(usual)), 2**31 - 1).astype(np.int64)
+    above = np.maximum(0, sketch.astype(np.int64) - usual - 4 * isqrt(usual))
+    return np.minimum(255, np.ceil(8 * np.log2(1.0 + above))).astype(np.uint8)
+
+
+#: What a code of excess() stands for.
+FREQUENCY = np.exp2(np.arange(256) / 8) - 1
 
 
 def least(n, percent: int):
@@ -171,14 +199,14 @@ def choose_matches(costs: np.ndarray, base: int, most: int, verify_cost: int = 8
 POSTED = "token long, a long, b int, pack long"
 
 
-def postings(docs: DataFrame, above: np.ndarray, width: int, percent: int, most: int) -> DataFrame:
-    """A row for each shingle of each node's prefix. pack: n (26 bits), place in order (26), m (3), typicality (8)."""
-    shift = U(64 - (len(above).bit_length() - 1))
-    shared = docs.sparkSession.sparkContext.broadcast(above)
+def postings(docs: DataFrame, codes: np.ndarray, width: int, percent: int, most: int, frequent: int) -> DataFrame:
+    """A row for each shingle of each node's prefix. pack: n (26 bits), place in order (26), m (3), typicality (7), and whether the shingle
+    is taken to be in more than ``frequent`` sets (1)."""
+    shift = U(64 - (len(codes).bit_length() - 1))
+    shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        estimate = shared.value
-        rank = np.ceil(np.log2(estimate + 1)).astype(np.uint8)
+        code = shared.value
         seen: set[tuple[int, int]] = set()  # of this task's rows: copies are left out here, others where groups meet
         for batch in _slices(batches):
             token, a, b, pack = [], [], [], []
@@ -188,17 +216,16 @@ def postings(docs: DataFrame, above: np.ndarray, width: int, percent: int, most:
                 if not n or (key := set_key(found)) in seen:
                     continue
                 seen.add(key)
-                cell = (found >> shift).astype(np.int64)
-                order = np.argsort(rank[cell], kind="stable")
+                own = code[(found >> shift).astype(np.int64)]
+                order = np.argsort(own, kind="stable")
                 base = n - least(n, percent) + 1
-                costs = estimate[cell[order[: base + most]]]
-                m = choose_matches(costs, base, min(most, least(n, percent)))
-                mine = found[order[: base + m - 1]]
-                typical = min(255, int(16 * np.log2(1 + estimate[cell].mean())))
-                token.append(mine)
-                a.append(np.full(len(mine), key[0], np.int64))
-                b.append(np.full(len(mine), key[1], np.int32))
-                pack.append((min(n, (1 << 26) - 1) << 37) + (np.arange(len(mine), dtype=np.int64) << 11) + (m << 8) + typical)
+                m = choose_matches(FREQUENCY[own[order[: base + most]]].astype(np.int64), base, min(most, least(n, percent)))
+                first = order[: base + m - 1]
+                typical = min(127, int(8 * np.log2(1 + FREQUENCY[own].mean())))
+                token.append(found[first])
+                a.append(np.full(len(first), key[0], np.int64))
+                b.append(np.full(len(first), key[1], np.int32))
+                pack.append((n << 37) + (np.arange(len(first), dtype=np.int64) << 11) + (m << 8) + (typical << 1) + (FREQUENCY[own[first]] > frequent))
             if token:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in token], a, b, pack)], names=["token", "a", "b", "pack"])
 
@@ -220,7 +247,7 @@ MET_SQL = "a1 long, b1 int, a2 long, b2 int, shared long, room int, fits boolean
 
 
 def meet(posted: DataFrame, percent: int, small: int) -> DataFrame:
-    """Of postings sorted by token: pairs of small groups, and (with a token) the postings of large groups."""
+    """Of postings sorted by token: pairs of small groups, and (with a token) the postings of large groups and of frequent shingles."""
 
     def small_pairs(t, a, b, pack) -> pa.RecordBatch | None:
         n, p, m = _unpack(pack)
@@ -253,7 +280,8 @@ def meet(posted: DataFrame, percent: int, small: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.bool_()), pa.array(t), pa.array(pack)], schema=MET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hot = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)], None
+        empty = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
+        held, hot = empty, None
 
         def split(cols: list[np.ndarray], end: bool):
             """What is complete, and the last group, which may go on. A last group that is large already is not held."""
@@ -283,10 +311,15 @@ def meet(posted: DataFrame, percent: int, small: int) -> DataFrame:
 
         for batch in _slices(batches, 2048):  # a posting has up to ``small`` pairs
             new = [batch.column(k).to_numpy() for k in range(4)]
+            spread = new[3] % 2 == 1
+            if spread.any():
+                yield large(*(c[spread] for c in new))
+                new = [c[~spread] for c in new]
             yield from split([np.concatenate(x) for x in zip(held, new, strict=True)], False)
         yield from split(held, True)
 
-    dealt = posted.repartition("token").sortWithinPartitions("token", "a", "b")
+    spread = F.when(F.col("pack") % 2 == 1, F.pmod("a", F.lit(256))).otherwise(0)  # postings of frequent shingles need not meet here
+    dealt = posted.repartition("token", spread).sortWithinPartitions("token", "a", "b")
     return dealt.mapInArrow(run, MET_SQL)
 
 
@@ -341,58 +374,85 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return both.mapInArrow(check, "a1 long, b1 int, a2 long, b2 int, x long, y long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (the least node of its component), for the nodes of links x, y. Least labels spread by rounds, each of which also
     jumps to the label of the label; each round is written to the shared folder."""
-    both = materialise(links.select("x", "y").union(links.select("y", "x")).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("label")), "labels")
+    both = scratch.keep(links.select("x", "y").union(links.select("y", "x")).distinct(), "edges")
+    labels = scratch.keep(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = materialise(step.join(jump, "next").select("node", "label", F.least("next", "far").alias("next")), "labels")
-        done = not new.where("next < label").limit(1).count()
+        new = scratch.keep(step.join(jump, "next").select("node", "label", F.least("next", "far").alias("next")), "labels")
+        scratch.drop("labels", but=1)
         labels = new.select("node", F.col("next").alias("label"))
-        if done:
+        if not new.where("next < label").limit(1).count():
+            scratch.drop("edges")
             return labels
 
 
-def _in_bitmap(values: DataFrame, column: str, bits_log2: int = 23):
-    """A test that all given values pass and most others don't, of a fixed size: it only spares the shuffle of texts that no one needs."""
+def _in_bitmap(rows: DataFrame, values: DataFrame, columns: list[str], bits_log2: int = 23) -> DataFrame:
+    """The rows whose columns are among the values, and a few others: a filter of a fixed size that only spares the shuffle of texts that
+    no one needs."""
     words = (1 << bits_log2) // 32
-    at = F.pmod(F.xxhash64(column), F.lit(1 << bits_log2))
-    packed = values.select((at / 32).cast("int").alias("w"), F.pmod(at, F.lit(32)).cast("int").alias("k")).distinct().groupBy("w").agg(F.sum(F.expr("shiftleft(1L, k)")).alias("v")).toPandas()
+    at = F.pmod(F.xxhash64(*columns), F.lit(1 << bits_log2))
+    packed = values.select((at / 32).cast("int").alias("w"), F.pmod(at, F.lit(32)).cast("int").alias("k")).distinct().groupBy("w").agg(F.sum(F.expr("shiftleft(1L, k)")).alias("v")).collect()
     bitmap = np.zeros(words, np.uint32)
-    bitmap[packed["w"].to_numpy(np.int64)] = packed["v"].to_numpy(np.int64).astype(np.uint32)
+    bitmap[[r["w"] for r in packed]] = [r["v"] for r in packed]
     shared = values.sparkSession.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def has(x: pd.Series) -> pd.Series:
-        k = x.to_numpy(np.int64)
-        return pd.Series((shared.value[k // 32] >> (k % 32).astype(np.uint32)) & 1 == 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column("__at").to_numpy()
+            yield batch.drop_columns(["__at"]).filter(pa.array((shared.value[k // 32] >> (k % 32).astype(np.uint32)) & 1 == 1))
+
+    return rows.withColumn("__at", at).mapInArrow(run, rows.schema)
+
+
+def _band(n: str) -> tuple[str, str]:
+    """SQL: the least and the greatest size of n's band; sizes below 128 are bands of their own, others keep seven leading bits."""
+    cut = f"greatest(0, length(bin({n})) - 7)"
+    low = f"shiftleft(shiftright({n}, {cut}), {cut})"
+    return low, f"({low} + shiftleft(1L, {cut}) - 1)"
+
+
+def _reach(posted: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """posted (token, a, b, pack) with own (its band of sizes) and other: each band of ``others`` (token, low, high) with which its size
+    and the place of the shingle leave room for a link."""
+    n, p, _ = _fields("")
+    sizes = f"{percent} * low <= 100 * {n} and {percent} * {n} <= 100 * high"
+    place = f"least({n} - {p}, high) >= ceil({percent} * ({n} + low) / {100 + percent}.0)"
+    return posted.withColumn("own", F.expr(_band(n)[0])).join(others, "token").where(f"{sizes} and {place}").select("token", "own", F.col("low").alias("other"), "a", "b", "pack")
+
 
-    return has(F.pmod(F.xxhash64(column), F.lit(1 << bits_log2)))
+def _bands(posted: DataFrame) -> DataFrame:
+    low, high = _band(_fields("")[0])
+    return posted.select("token", F.expr(low).alias("low"), F.expr(high).alias("high")).distinct()
 
 
-def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 18) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, frequent: int = 4096, cells_log2: int | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, n, a, b), classes of equal sets (a, b, node, least doc_id), and links between classes (x, y: node ids). The links
     span every component; in large groups not every link between members of one component is listed."""
     bound_batches(docs.sparkSession)
-    signed = materialise(signatures(docs, width, cells_log2), "signed")
-    rows = signed.where("cell is null").drop("cell", "counts")
+    scratch = scratch or Scratch(docs.sparkSession)
+    signed = scratch.keep(signatures(docs, width, cells_log2 or width_of_sketch(docs)), "signed")
+    codes = excess(sketch_of(signed))
+    rows = scratch.keep(signed.where("cell is null").drop("cell", "part", "counts"), "rows")
+    scratch.drop("signed")
     classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("example"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    met = materialise(meet(postings(docs, excess(sketch_of(signed)), width, percent, most_matches), percent, small), "met")
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    met = scratch.keep(meet(postings(docs, codes, width, percent, most_matches, frequent), percent, small), "met")
 
     hot = met.where("token is not null").select("token", F.col("a1").alias("a"), F.col("b1").alias("b"), "pack").dropDuplicates(["token", "a", "b"])
-    heads = hot.groupBy("token").agg(F.max(F.struct(F.expr(f"-{_fields('')[1]}").alias("few"), (F.col("pack") % 256).alias("typical"), "a", "b", "pack")).alias("h"))
+    heads = hot.groupBy("token").agg(F.max(F.struct(F.expr(f"-{_fields('')[1]}").alias("few"), F.expr("shiftright(pack, 1) & 127").alias("typical"), "a", "b", "pack")).alias("h"))
     headed = hot.join(heads.select("token", F.col("h.a").alias("h_a"), F.col("h.b").alias("h_b"), F.col("h.pack").alias("h_pack")), "token")
-    headed = materialise(headed, "hot").withColumn("is_head", F.expr("a = h_a and b = h_b"))
-    times = materialise(hot.groupBy("a", "b").agg(F.count("*").alias("times")), "times")  # postings in large groups
+    headed = scratch.keep(headed, "hot").withColumn("is_head", F.expr("a = h_a and b = h_b"))
+    times = scratch.keep(headed.groupBy("a", "b").agg(F.count("*").alias("times")), "times")  # postings in large groups
     one = met.where("token is null").select(*(F.col(c) for c in PAIR), "shared", "room", "fits")
     swapped = F.expr("struct(a1, b1) > struct(a2, b2)")
     one = one.select(*(F.when(swapped, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(PAIR, ["a2", "b2", "a1", "b1"], strict=True)), "shared", "room", "fits")
-    counted = materialise(one.groupBy(*PAIR).agg(F.sum("shared").alias("shared"), F.max("room").alias("room"), F.max("fits").alias("fits")), "counted")
+    counted = scratch.keep(one.groupBy(*PAIR).agg(F.sum("shared").alias("shared"), F.max("room").alias("room"), F.max("fits").alias("fits")), "counted")
+    scratch.drop("met")
 
     def enough(pairs: DataFrame) -> DataFrame:
         """Pairs that share enough in their prefixes, if they share all that isn't counted."""
@@ -404,33 +464,43 @@ def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_match
 
     star = headed.where("not is_head").where(_may_link(percent, "", "h_")).select(*_ordered("", "h_"), F.expr(_room(percent, "", "h_")).alias("room"))
     candidates = counted.where("fits and shared + room >= 0").select(*PAIR).union(enough(counted.where("fits and shared + room < 0"))).union(of_large(star))
-    candidates = materialise(candidates.distinct(), "candidates")
+    candidates = scratch.keep(candidates.distinct(), "candidates")
 
     nodes = candidates.select("a1", "b1").union(candidates.select("a2", "b2")).union(headed.select("a", "b")).distinct().toDF("a", "b")
-    wanted = materialise(nodes.join(classes, ["a", "b"]).select("a", "b", "node", "example.*"), "wanted")
-    wanted = wanted.withColumnRenamed("doc_id", "example_id")
-    texts = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text")).where(_in_bitmap(wanted, "text_hash"))
-    texts = texts.join(wanted, (texts["text_hash"] == wanted["text_hash"]) & texts["doc_id"].eqNullSafe(wanted["example_id"])).select("a", "b", "node", "text")
-    texts = materialise(texts.dropDuplicates(["a", "b"]), "texts")
-    links = materialise(verify(candidates, texts, width, percent), "links")
-
-    # the postings of a large group that its most typical node doesn't link with meet the whole group
+    wanted = scratch.keep(nodes.join(classes, ["a", "b"]).select("a", "b", "node", "example.*"), "wanted")
+    # by text_hash and doc_hash the texts are dealt once, for the removal of repeated rows and for the join
+    wanted = wanted.select("a", "b", "node", "text_hash", F.xxhash64("doc_id").alias("doc_hash"))
+    texts = _in_bitmap(docs.select("text", F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id").alias("doc_hash")), wanted, ["text_hash", "doc_hash"])
+    texts = texts.groupBy("text_hash", "doc_hash").agg(F.first("text").alias("text")).join(wanted, ["text_hash", "doc_hash"]).select("a", "b", "node", "text")
+    texts = scratch.keep(texts, "texts")
+    links = scratch.keep(verify(candidates, texts, width, percent), "links")
+
+    # the postings of a large group that its most typical node doesn't link with meet those of the group that they may link with
     linked = links.select(*PAIR, F.lit(True).alias("linked"))
-    away = headed.where("not is_head").select("token", "a", "b", "pack", *_ordered("", "h_")).join(linked, PAIR, "left").where("linked is null")
-    away = away.select("token", F.col("a").alias("u_a"), F.col("b").alias("u_b"), F.col("pack").alias("u_pack"))
-    left = headed.where("not is_head").join(away, "token").where("a != u_a or b != u_b").where(_may_link(percent, "", "u_"))
+    away = headed.where("not is_head").select("token", "a", "b", "pack", *_ordered("", "h_")).join(linked, PAIR, "left").where("linked is null").select("token", "a", "b", "pack")
+    away = scratch.keep(away, "away")
+    rest = headed.where("not is_head").select("token", "a", "b", "pack")
+    u = _reach(away, _bands(rest), percent).select("token", "own", "other", *(F.col(c).alias(f"u_{c}") for c in ("a", "b", "pack")))
+    y = _reach(rest, _bands(away), percent).select("token", F.col("own").alias("other"), F.col("other").alias("own"), "a", "b", "pack")
+    left = y.join(u, ["token", "own", "other"]).where("a != u_a or b != u_b").where(_may_link(percent, "", "u_"))
     left = left.select(*_ordered("", "u_"), F.expr(_room(percent, "", "u_")).alias("room"))
-    left = materialise(of_large(left).join(candidates, PAIR, "left_anti"), "left")
-    links = links.select("x", "y").union(verify(left, texts, width, percent).select("x", "y"))
+    left = scratch.keep(of_large(left).join(candidates, PAIR, "left_anti"), "left")
+    scratch.drop("away", "hot", "times", "counted", "candidates", "wanted")
+    texts = texts.join(left.select("a1", "b1").union(left.select("a2", "b2")).distinct().toDF("a", "b"), ["a", "b"], "left_semi")
+    links = scratch.keep(links.select("x", "y").union(verify(left, texts, width, percent).select("x", "y")), "all_links")
+    scratch.drop("texts", "left", "links")
     return rows, classes, links
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, cells_log2: int = 18) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, most_matches: int = 4, small: int = 64, frequent: int = 4096, cells_log2: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    rows, classes, links = jaccard_links(docs, width, percent, most_matches, small, cells_log2)
-    labels = components(links)
+    scratch = Scratch(docs.sparkSession)
+    rows, classes, links = jaccard_links(docs, width, percent, most_matches, small, frequent, cells_log2, scratch)
+    labels = components(links, scratch)
+    scratch.drop("all_links")
     labelled = classes.join(labels, "node", "left").select("a", "b", "doc_id", F.coalesce("label", "node").alias("label"))
     least_id = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = labelled.join(least_id, "label").select("a", "b", "component_id")
+    named = scratch.keep(labelled.join(least_id, "label").select("a", "b", "component_id"), "named")
+    scratch.drop("labels", "classes")
     full = rows.where("n > 0").join(named, ["a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
