@@ -26,16 +26,21 @@ from condenspark.llm.common import bound_batches, give_back
 PIECES = "doc_id {id}, start long, length long, doc_tokens long, ids binary, salt long"
 PACKED = "doc_id {id}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
-#: Chunks of these letters, digits and marks may be split into words before the tokenizer sees them, if PROBES say so.
-PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Chunks of these letters, digits and marks (the bar of special tokens is none of them) may be split into words before the tokenizer
+#: sees them, if PROBES say so.
+PLAIN = re.compile("[!-{}~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 WORDS = re.compile(f"'(?:[st]|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+", re.I)
 PROBES = (
-    *(chr(c) + w + chr(d) for c in range(33, 127) for d in range(33, 127, 3) for w in ("", "Ab")), *(w + chr(c) + "a" for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7) for w in ("", "B", "9", "'")),
+    *(chr(c) + w + chr(d) for c in range(33, 127) for d in range(33, 127, 4) for w in ("", "Ab") if 124 not in (c, d)), *(w + chr(c) + "a" for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7) for w in ("", "B", "9", "'")),
     "don't", "I'LL", "we've.", "it'S!", "x'Mas", "a'tis", "''t", "l'\u00e9t\u00e9,", "\u00c9COLE-No.12", "na\u00efve's", "a1b22c", "$3.50%", "(x)[y]{z}", "...", "--", "e.g.,", "http://a.b/c?d=e&f", "Stra\u00dfe;", "\u00fcber/\u00dcBER",
 )
 
 
+#: About the bytes of an entry of the cache.
+ENTRY = 200
+
+
 class ChunkCache(dict):
     """Blank-delimited chunk -> ids as little-endian 32-bit bytes, all from the tokenizer.
 
@@ -49,12 +54,14 @@ class ChunkCache(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model, self.shown, self.splits = self.tokenizer.model, {}, True
-        for c in map(chr, [*range(33, 127), *(k for k in range(0xC0, 0x100) if PLAIN.match(chr(k)))]):
+        plain = [c for c in map(chr, [*range(33, 124), *range(125, 127), *range(0xC0, 0x100)]) if PLAIN.match(c)]
+        for c in plain:
             normal = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer else c
             found = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if self.tokenizer.pre_tokenizer else [(normal, None)]
             self.shown[ord(c)] = "".join(x for x, _ in found)
+        self.folds = all(self.shown[ord(c)] == self.shown[ord(c.lower())] for c in plain)  # are upper and lower case one to it?
         self.forget()
         self.splits = all(self._alone(p) == self[p] for p in PROBES)
         self.parts = all(self._alone(f"{a} {b}") == self._alone(a) + self._alone(b) == self._alone(f"{a}\n{b}") for a, b in zip(PROBES, PROBES[1:], strict=False))
@@ -62,25 +69,31 @@ class ChunkCache(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.old, self.size = {}, 0
+        self.old = {}
         self[""] = b""
 
     def _alone(self, chunk: str) -> bytes:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    def _ids(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.translate(self.shown))]).tobytes()
+
     def __missing__(self, chunk: str) -> bytes:
         found = self.old.pop(chunk, None)
         if found is None:
-            if self.splits and PLAIN.fullmatch(chunk) and "<|" not in chunk and "|>" not in chunk:
-                words = (chunk,) if chunk.isalpha() else WORDS.findall(chunk)
-                if len(words) > 1:
+            if not self.splits or not (chunk.isprintable() and "|" not in chunk if chunk.isascii() else PLAIN.fullmatch(chunk)):
+                found = self._alone(chunk)
+            else:
+                word = chunk.lower() if self.folds else chunk
+                if word.isalpha():
+                    found = self._ids(word) if word == chunk else self[word]
+                elif word[:-1].isalpha() and not word[-1].isdigit():
+                    found = self[word[:-1]] + self[word[-1]]
+                elif len(words := WORDS.findall(word)) > 1:
                     found = b"".join(map(self.__getitem__, words))
                 else:
-                    found = array("I", [t.id for t in self.model.tokenize(chunk.translate(self.shown))]).tobytes()
-            else:
-                found = self._alone(chunk)
+                    found = self._ids(word)
         self[chunk] = found
-        self.size += 180 + len(chunk) + len(found)
         return found
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -88,7 +101,7 @@ class ChunkCache(dict):
             if not self.parts:
                 yield self._alone(text or "")
                 continue
-            if self.size > self.most // 2:
+            if len(self) * ENTRY > self.most // 2:
                 kept = dict(self)
                 self.forget()
                 self.old = kept
@@ -168,7 +181,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return where, offset, n
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, group_docs: int = 1024, group_bytes: int = 4 << 20, cache_bytes: int = 40 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, group_docs: int = 1024, group_bytes: int = 4 << 20, cache_bytes: int = 48 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian 32-bit), sequence_id, offset.
     A group has about group_docs documents and group_bytes of text at most, so its ids fit in a task: a token is at least one byte."""
     bound_batches(docs.sparkSession)
