@@ -1,13 +1,15 @@
-"""Structural templates of log messages: variable parts become class names. All expressions are native.
+"""Structural templates of log messages: variable parts become class names. All expressions are native: passes of regular expressions,
+without a lambda, so they stay in generated code and a row needs no shuffle.
 
 Whole-line classes are found first, by one alternation; identifiers and numbers are found in what is left between them, but their edges
-are judged by the neighbouring characters of the line. Private-use characters E000 and E001 mark the first kind; they are removed from
-input beforehand.
+are judged by the neighbouring characters of the line. Private-use characters mark what was found: the place of a match among
+separators tells its class. They are removed from input beforehand.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import takewhile
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,10 +32,12 @@ CLASSES = (
     ("percent", r"\d+(?:\.\d+)?%", "[PCT]%"),
     ("hexhash", r"\b[0-9a-fA-F]{12,64}\b", "[HASH]"),
 )
+#: Units of durations and sizes, and the least length of an identifier.
 DURATIONS = "seconds|minutes|hours|secs|mins|hrs|sec|min|hr|ms|us|ns|s|m|h"
 SIZES = "KiB|MiB|GiB|TiB|KB|MB|GB|TB|B"
 MIN_ID = 6
-ON, OFF = "\ue000", "\ue001"
+#: A span of a class is ON, separators, the text, separators, OFF; a token is HERE, the same, OFF.
+ON, OFF, SEP, HERE = "\ue000", "\ue001", "\ue002", "\ue003"
 
 
 def java(pattern: str) -> str:
@@ -47,54 +51,57 @@ def replace_class(text: Column, name: str) -> Column:
     return F.regexp_replace(text, java(pattern), re.sub(r"([\\$])", r"\\\1", mark))
 
 
-_STOP = f"(?!{W}|{ON}{W})"
-TOKENS = "(?s)(" + "|".join(
+_OPEN = f"(?<!{W})(?:(?<!{OFF})|(?<!{W}{SEP}{{0,{len(CLASSES)}}}{OFF}))"  # no word character before
+_CLOSED = f"(?!{W}|{ON}{SEP}*+{W})"  # nor behind
+_NUMBER, _RUN = r"[0-9]++(?:\.[0-9]++)?+", "[0-9A-Za-z_-]"
+_LONG = f"{_RUN}{{{MIN_ID - 1},}}+"
+#: Numbers with a point and letters that are too short for an identifier.
+_SHORT = rf"(?!(?:[0-9]\.[0-9][A-Za-z_-]{_RUN}?|[0-9]{{2}}\.[0-9][A-Za-z_-]|[0-9]\.[0-9]{{2}}[A-Za-z_-])(?!{_RUN}))"
+#: What a token becomes, and the tokens: names and then numbers, the latter with a unit, with letters, or alone.
+FOUND = (
+    ("[ID]", f"((?=[A-Za-z_-]++[0-9])[A-Za-z]{_LONG}){_CLOSED}"),
+    ("[DURATION]", f"({_NUMBER}(?:{DURATIONS}))(?!{W})"),
+    ("[SIZE]", f"({_NUMBER}(?:(?:{SIZES})(?!{W})| (?:{SIZES}){_CLOSED}))"),
+    ("[ID]", rf"((?={_NUMBER}[0-9_-]*+[A-Za-z])(?:{_SHORT}[0-9]++\.[0-9]++{_RUN}++|(?=[0-9]++[A-Za-z_-])[0-9]{_LONG})){_CLOSED}"),
+    ("[NUM]", f"({_NUMBER})(?!{_RUN}){_CLOSED}"),
+)
+#: The tokens between spans, from left to right. The first and the last two groups stay: spans, marks and plain words, some at a time;
+#: names and numbers that are none of FOUND; and those that go on from a word character.
+TOKENS = "|".join(
     (
-        f"{ON}[^{OFF}]*{OFF}",
-        "[A-Za-z][0-9A-Za-z_-]*+",
-        rf"(?:(?<={W})|(?<={W}{OFF}))[0-9]++(?:\.[0-9]++)?+",
-        rf"[0-9]++(?:\.[0-9]++)?+(?:(?:{DURATIONS}){_STOP}| ?(?:{SIZES}){_STOP}|[0-9A-Za-z_-]++)?+",
-        ".",
+        f"((?:{ON}[^{OFF}]*+{OFF}|[^0-9A-Za-z{ON}]++|[A-Za-z]++(?!{_RUN})){{1,16}}+)",
+        f"{_OPEN}(?:{'|'.join(p for _, p in FOUND)}|([A-Za-z]{_RUN}*+|{_NUMBER}{_RUN}*+))",
+        f"([A-Za-z]{_RUN}*+|{_NUMBER})",
     )
-) + ")"
+)
+_STAY = f"$1${len(FOUND) + 2}${len(FOUND) + 3}"
+
+
+def _spans() -> str:
+    """The alternation of all classes, a group each, in order. A class that begins at a word edge begins with a word character."""
+    edged = [java(p.removeprefix(r"\b")) if p.startswith(r"\b") else None for _, p, _ in CLASSES]
+    parts, k = [], 0
+    while k < len(CLASSES):
+        run = [p for p in edged[k:] if p is not None][: next((i for i, p in enumerate(edged[k:]) if p is None), len(edged))]
+        parts.append(f"(?<!{W})(?:{'|'.join(f'({p})' for p in run)})" if run else f"({java(CLASSES[k][1])})")
+        k += max(1, len(run))
+    return r"(?=[0-9A-Fa-f\[])(?:" + "|".join(parts) + ")"
+
+
+def _named(text: Column, begin: str, marks: list[str]) -> Column:
+    """text with each mark in place of what was found for it. The expression names text once: it isn't to be worked out again."""
+    k = 0
+    while k < len(marks):
+        n = len(list(takewhile(lambda m: m == marks[k], marks[k:])))  # neighbours with one mark
+        text = F.regexp_replace(text, f"{begin}{SEP}{{{k},{k + n - 1}}}+[^{SEP}{OFF}]++{SEP}{{{len(marks) - k - n},}}+{OFF}", marks[k])
+        k += n
+    return text
 
 
 def template(message: Column) -> Column:
-    """The template of a one-line message. Use it on distinct messages: the token step is interpreted."""
-    clean = F.translate(message, ON + OFF, "")
-    marked = F.regexp_replace(clean, "|".join(f"(?:{java(p)})" for _, p, _ in CLASSES), f"{ON}$0{OFF}")
-    tokens = F.regexp_extract_all(marked, F.lit(TOKENS), F.lit(1))
-    # the outer transform names the tokens, so that they are found once
-    return F.transform(F.array(tokens), lambda found: F.array_join(_classified(found), ""))[0]
-
-
-def _classified(tokens: Column) -> Column:
-    word = lambda c: c.rlike(f"^{W}$")
-
-    def one(token: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(tokens, i - 1), F.lit(""))
-        after = F.coalesce(F.get(tokens, i + 1), F.lit(""))
-        last = F.right(F.translate(before, ON + OFF, ""), F.lit(1))
-        first = F.left(F.translate(after, ON + OFF, ""), F.lit(1))
-        closed, opened = ~word(first), ~word(last)
-        span = F.translate(token, ON + OFF, "")
-        marked = F.lit(None).cast("string")
-        for _, pattern, mark in reversed(CLASSES):
-            marked = F.when(span.rlike(f"^(?:{java(pattern)})\\z"), F.lit(mark)).otherwise(marked)
-        named = token.rlike("[0-9]") & (F.length(token) >= MIN_ID) & opened & closed
-        number = r"^[0-9]+(?:\.[0-9]+)?"
-        digits = (
-            F.when(opened & token.rlike(number + f"(?:{DURATIONS})\\z"), F.lit("[DURATION]"))
-            .when(opened & token.rlike(number + f" ?(?:{SIZES})\\z"), F.lit("[SIZE]"))
-            .when(opened & token.rlike(number + r"\z"), F.when(closed, F.lit("[NUM]")).otherwise(token))
-            .when(opened & token.rlike("[A-Za-z]") & (F.length(token) >= MIN_ID) & closed, F.lit("[ID]"))
-            .otherwise(token)
-        )
-        return F.when(token.startswith(ON), marked).when(token.rlike("^[A-Za-z]"), F.when(named, F.lit("[ID]")).otherwise(token)).when(token.rlike("^[0-9]"), digits).otherwise(token)
-
-    return F.transform(tokens, one)
-
-
-def block_template(contents: Column) -> Column:
-    """Of several lines: their templates, line by line."""
-    return F.array_join(F.transform(contents, template), "\n")
+    """The template of a message of one or more lines."""
+    clean = F.translate(message, ON + OFF + SEP + HERE, "")
+    spans = F.regexp_replace(clean, _spans(), ON + SEP.join(f"${k + 1}" for k in range(len(CLASSES))) + OFF)
+    found = F.regexp_replace(spans, TOKENS, f"{_STAY}{HERE}{SEP.join(f'${k}' for k in range(2, len(FOUND) + 2))}{OFF}")
+    found = F.replace(found, F.lit(HERE + SEP * (len(FOUND) - 1) + OFF), F.lit(""))
+    return _named(_named(found, HERE, [m for m, _ in FOUND]), ON, [m for _, _, m in CLASSES])

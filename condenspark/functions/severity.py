@@ -12,7 +12,7 @@ ALIASES = {
     "CRITICAL": 7, "CRIT": 7, "ALERT": 7, "FATAL": 8, "PANIC": 8, "EMERG": 8, "EMERGENCY": 8,
 }
 ICONS = ("·", "·", "·", " ", " ", "⚠", "✖", "✖", "🚨")
-SCAN_CHARS, SCAN_WORDS = 200, 8
+SCAN_BYTES, SCAN_WORDS = 200, 8
 
 _names = "|".join(sorted(ALIASES, key=len, reverse=True))
 #: The earliest alias among the first words: in brackets, or bare between word edges but not after a slash or dot.
@@ -32,14 +32,24 @@ def code_of(name: Column) -> Column:
     return F.coalesce(F.element_at(table, F.upper(name)), F.lit(0)).cast("byte")
 
 
+def _head(raw: Column) -> Column:
+    """The first bytes of a line, in which the level is looked for; a character that the cut halves is none."""
+    cut = F.make_valid_utf8(F.substring(F.encode(raw, "UTF-8"), 1, SCAN_BYTES).cast("string"))
+    return F.when(F.octet_length(raw) > SCAN_BYTES, cut).otherwise(raw)
+
+
+def _prefix(raw: Column) -> Column:
+    """The line up to the end of the level marker; empty without one. Severity and content both start from it, so it is found once."""
+    return F.regexp_extract(_head(raw), PATTERN, 0)
+
+
 def consumed(raw: Column) -> Column:
     """Characters up to the end of the level marker; 0 without one."""
-    return F.length(F.regexp_extract(F.substring(raw, 1, SCAN_CHARS), PATTERN, 0))
+    return F.length(_prefix(raw))
 
 
 def severity(raw: Column) -> Column:
-    head = F.substring(raw, 1, SCAN_CHARS)
-    return code_of(F.concat(F.regexp_extract(head, PATTERN, 2), F.regexp_extract(head, PATTERN, 3)))
+    return code_of(F.regexp_extract(_prefix(raw), r"([A-Za-z]+)\]?:?[ \t]?\z", 1))
 
 
 def strip_time(raw: Column) -> Column:
@@ -48,7 +58,7 @@ def strip_time(raw: Column) -> Column:
 
 def content(raw: Column) -> Column:
     """The line after its level marker, or else after a leading timestamp."""
-    return F.when(severity(raw) > 0, F.substring(raw, consumed(raw) + 1, F.length(raw))).otherwise(strip_time(raw))
+    return F.when(consumed(raw) > 0, F.substring(raw, consumed(raw) + 1, F.length(raw))).otherwise(strip_time(raw))
 
 
 def level_name(code: Column) -> Column:

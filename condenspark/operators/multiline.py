@@ -8,9 +8,10 @@ exceed the cap, go through the exact fold, stretch by stretch.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 MAX_LINES = 500
 _S = r"[\t\n\f\r ]"
@@ -39,19 +40,18 @@ def fits(mode: str, kind: str, size: int) -> bool:
     return kind == "U" or (kind in "PX" and mode == "p") or (kind in "GX" and mode == "g") or (kind == "B" and mode == "g" and size < 3)
 
 
-def fold(part: pd.DataFrame, cap: int = MAX_LINES) -> pd.DataFrame:
+def flags(kinds: list[str], opens: list[str], cap: int = MAX_LINES) -> list[bool]:
     """The exact rule over one stretch in order: is each line a start?"""
-    part = part.sort_values("line_no")
-    mode, size, starts = "-", 0, []
-    for kind, opens in zip(part["kind"], part["opens"], strict=True):
+    mode, size, out = "-", 0, []
+    for kind, opened in zip(kinds, opens, strict=True):
         start = size == 0 or size >= cap or not fits(mode, kind, size)
-        mode, size = (opens, 1) if start else (mode, size + 1)
-        starts.append(start)
-    return pd.DataFrame({"source": part["source"], "line_no": part["line_no"], "start": starts})
+        mode, size = (opened, 1) if start else (mode, size + 1)
+        out.append(start)
+    return out
 
 
 def starts(lines: DataFrame, chunk: int = 1 << 16, cap: int = MAX_LINES) -> DataFrame:
-    """lines (source, line_no, raw, content; line_no from any number on) with place (from 0 in the source), and event_line: the line_no at which the line's event starts."""
+    """lines (source, line_no, raw, content; line_no from any number on) with event_line: the line_no at which the line's event starts."""
     classed = lines.withColumns({"kind": line_class(F.col("content")), "opens": line_mode(F.col("raw"), F.col("content")), "chunk": F.floor(F.col("line_no") / chunk)})
     first = classed.groupBy("source").agg(F.min("line_no").alias("first_line"))
     classed = classed.join(first, "source").withColumn("sure", F.when((F.col("kind") == "H") | (F.col("line_no") == F.col("first_line")), F.col("line_no")))
@@ -69,14 +69,17 @@ def starts(lines: DataFrame, chunk: int = 1 << 16, cap: int = MAX_LINES) -> Data
     run = run.withColumn("start", start)
     whole = Window.partitionBy("source", "head")
     run = run.withColumn("exact", F.max(F.col("breaks") & (F.col("opens") != "-")).over(whole) | (F.count("*").over(whole) > cap))
-    plain = run.where("not exact").select("source", "line_no", "start")
-    kinds = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
-    schema = f"source {kinds['source']}, line_no {kinds['line_no']}, start boolean"
-    odd = run.where("exact").select("source", "head", "line_no", "kind", "opens").groupBy("source", "head").applyInPandas(lambda p: fold(p, cap), schema)
-    marks = plain.union(odd)
-    marks = marks.join(run.select("source", "line_no", "head"), ["source", "line_no"])
+    columns = [*lines.columns, "head", "start"]
+    fields = {f.name: f.dataType for f in run.schema.fields}
+
+    def exactly(part: pa.Table) -> pa.Table:
+        part = part.sort_by("line_no")
+        start = pa.array(flags(part.column("kind").to_pylist(), part.column("opens").to_pylist(), cap), pa.bool_())
+        return part.drop_columns(["start"]).append_column("start", start).select(columns)
+
+    odd = run.where("exact").select(*columns, "kind", "opens").groupBy("source", "head").applyInArrow(exactly, StructType([StructField(c, fields[c]) for c in columns]))
     event = F.max(F.when(F.col("start"), F.col("line_no"))).over(Window.partitionBy("source", "head").orderBy("line_no"))
-    return lines.join(marks.select("source", "line_no", event.alias("event_line")), ["source", "line_no"])
+    return run.where("not exact").select(*columns).union(odd).select(*lines.columns, event.alias("event_line"))
 
 
 def events(lines: DataFrame, cap: int = MAX_LINES) -> DataFrame:

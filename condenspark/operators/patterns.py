@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from condenspark.functions import fingerprint as fp
 from condenspark.functions import normalize, severity
 from condenspark.operators import lru
+from condenspark.operators.scratch import written
 from condenspark.plans.config import Config
 
 KEY = ["severity", "template"]
@@ -19,16 +20,13 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def with_templates(events: DataFrame, text: str = "content") -> DataFrame:
-    """events with the template of text; computed once for each distinct text. A null text has a null template."""
-    known = events.select(text).where(F.col(text).isNotNull()).distinct().withColumn("template", normalize.template(F.col(text)))
-    return events.join(known, text, "left")
+    """events with the template of text, row by row: no shuffle, however often a text repeats. A null text has a null template."""
+    return events.withColumn("template", normalize.template(F.col(text)))
 
 
 def with_block_templates(events: DataFrame) -> DataFrame:
-    """The same for contents of several lines, joined by line ends: each distinct content is normalised once."""
-    joined = events.withColumn("content", F.array_join("contents", "\n"))
-    known = joined.select("content").distinct().withColumn("template", normalize.block_template(F.split("content", "\n")))
-    return joined.join(known, "content", "left").drop("content")
+    """The same for contents of several lines, joined by line ends; no class or token spans a line end."""
+    return events.withColumn("template", normalize.template(F.array_join("contents", "\n")))
 
 
 def counts(events: DataFrame, order: str = "event_no", time: str | None = None) -> DataFrame:
@@ -46,10 +44,8 @@ def bounded_nth(keys: DataFrame, order: tuple[str, ...], bound: int, at: int, bl
     """order and nth (1 or at) of the events that are the first or the at-th of their pattern since it was last tracked. At most bound
     patterns are tracked; one that comes back after the least recently used went starts anew. Positions are counted in blocks of events
     and then carried from block to block, so a common pattern spreads over tasks."""
-    from condenspark.llm.common import materialise
-
     ordered = keys.select(*order, F.xxhash64(*KEY).alias("key")).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = materialise(ordered.withColumn("id", F.monotonically_increasing_id()), "patterns").withColumn("part", F.shiftright("id", 33))
+    rows = written(ordered.withColumn("id", F.monotonically_increasing_id()), "patterns").withColumn("part", F.shiftright("id", 33))
     sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select(*order, "key", (F.col("before") + F.col("id") % (1 << 33)).alias("at"))
@@ -72,12 +68,11 @@ def decide(events: DataFrame, config: Config, order: tuple[str, ...] = ("source"
     the occurrence that reaches every limit, and nothing else does. Only so many rows of a pattern are ranked. Of more patterns than
     max_patterns the least recently used goes, and is new when it comes back; to know, the patterns are counted here."""
     at = max(config.min_bootstrap_events, config.min_window_events, -(-int(config.assumed_per_minute * config.protect_multiplier * config.window_seconds) // 60))
-    if events.select(*KEY).distinct().limit(config.max_patterns + 1).count() > config.max_patterns:
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
+    first = events.select(*KEY, *order).withColumn("nth", nth).where(F.col("nth") <= at)
+    marked = written(first.where(F.col("nth").isin(1, at)).select(*order, "nth"), "firsts")
+    if marked.where("nth = 1").limit(config.max_patterns + 1).count() > config.max_patterns:
         marked = bounded_nth(events, order, config.max_patterns, at, block_rows)
-    else:
-        nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
-        first = events.select(*KEY, *order).withColumn("nth", nth).where(F.col("nth") <= at)
-        marked = first.where(F.col("nth").isin(1, at)).select(*order, "nth")
     spike = F.coalesce(F.col("nth") == at, F.lit(False)) & (severity.rank(F.col("severity")) >= config.protect_rank)
     out = events.join(marked, list(order), "left").withColumns({"is_spike": spike, "is_new": F.coalesce(F.col("nth") == 1, F.lit(False))}).drop("nth")
     return out.withColumn("decision", F.when(F.col("is_spike"), "anomaly").when(F.col("is_new"), "event").otherwise("repeat"))

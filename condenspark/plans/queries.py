@@ -22,17 +22,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """A table of few splits, as a small file is, goes over all cores; a table of many stays as it is. rows: a scan without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a log: source, line_no, ts, event_type, user_id, raw."""
     level = F.element_at(F.create_map(*(F.lit(x) for kv in LEVEL_OF.items() for x in kv)), F.col("event_type"))
     cents = F.round(F.abs(F.col("value")) * 100).cast("long")
     value = F.concat(F.when(F.col("value") < 0, "-").otherwise(""), (F.floor(cents / 100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
     raw = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" ["), level, F.lit("] user "), F.col("user_id").cast("string"), F.lit(" "), F.col("event_type"), F.lit(" value="), value, F.lit(" props="), F.col("props"))
-    return _table(spark, sf_dir, "events").select(F.lit("events").alias("source"), F.col("event_id").alias("line_no"), "ts", "event_type", "user_id", raw.alias("raw"))
+    return _spread(_table(spark, sf_dir, "events")).select(F.lit("events").alias("source"), F.col("event_id").alias("line_no"), "ts", "event_type", "user_id", raw.alias("raw"))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_column(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return split_column(_spread(_table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
