@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,22 +97,31 @@ class ChunkCache(dict):
         self[chunk] = found
         return found
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            if not self.parts:
-                yield self._alone(text or "")
-                continue
-            if len(self) * ENTRY > self.most // 2:
-                kept = dict(self)
-                self.forget()
-                self.old = kept
-            yield b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids begin and end. A chunk is looked up once for all texts."""
+        texts = texts.fill_null("")
+        if not self.parts:
+            alone = [self._alone(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(alone), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in alone], dtype=np.int64)])
+        if len(self) * ENTRY > self.most // 2:
+            kept = dict(self)
+            self.forget()
+            self.old = kept
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = chunks.flatten().dictionary_encode()
+        found = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, begin, which = np.frombuffer(b"".join(found), "<u4"), np.cumsum(length) - length, coded.indices.to_numpy()
+        own = length[which]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        at = np.repeat(begin[which] - ends[:-1], own) + np.arange(ends[-1])
+        return ids[at], ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
 
 
 _caches: dict[str, ChunkCache] = {}
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, cache_bytes: int, slice_rows: int = 256) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, cache_bytes: int, slice_rows: int = 512) -> DataFrame:
     """Documents cut into pieces of at most one window; salt: the piece's place in its task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +133,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, cache
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)
                 own, out = [], {k: [] for k in ("start", "length", "doc_tokens", "ids")}
-                for row, raw in enumerate(cache.encode(part.column("text").to_pylist())):
-                    raw += end
+                ids, ends = cache.encode(part.column("text"))
+                for row in range(part.num_rows):
+                    raw = ids[ends[row] : ends[row + 1]].tobytes() + end
                     n = len(raw) // 4
                     for start in range(0, n, window):
                         own.append(row)
@@ -134,7 +145,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, cache
                 salts = pa.array(range(salt, salt + len(own)), pa.int64())
                 salt += len(own)
                 yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()), salts], names=["doc_id", *out, "salt"])
-            give_back()
         cache.forget()
         give_back()
 
