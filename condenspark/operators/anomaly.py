@@ -1,79 +1,127 @@
-"""Frequency anomalies by a clock: rolling rate against a slow baseline, with cooldown. An order-dependent fold per pattern.
+"""Frequency anomalies by a clock: rolling rate against a slow baseline, with cooldown.
 
-Rows are dealt by pattern, sorted by time and streamed, so a pattern of any size needs the memory of one batch and one state.
+Events are counted per pattern and bucket first; windows and a fold over these counts, whose number is bounded by time and not by events,
+give each bucket the ordinal from which its events are too many. Single events are only looked at in buckets that can alert, and only from
+that ordinal on; a last fold over these keeps the cooldown. Both folds stream rows that are sorted by pattern, in the memory of one batch.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condenspark.operators.patterns import KEY
 from condenspark.plans.config import Config
 
-OUT = "is_spike boolean, baseline_per_min double, current_per_min double, bootstrap boolean"
+
+def learned(baseline: float, samples: int, n: int, gap: int, c: Config) -> tuple[float, int]:
+    """Baseline and samples after a bucket of n events and the empty ones behind it, ``gap`` buckets later; a long gap counts as one window."""
+    steps = min(gap, c.buckets)
+    rate = n * 60.0 / c.bucket_seconds
+    first = c.alpha * rate + (1 - c.alpha) * baseline if samples else rate
+    return first * (1 - c.alpha) ** (steps - 1), samples + steps
+
+
+def least_events(baseline: float, samples: int, protected: bool, c: Config) -> tuple[int, float, bool] | None:
+    """The events in a window from which on it is a spike, what they are held against, and whether that is assumed; None: never."""
+    known = samples >= c.min_baseline_samples and baseline > 0
+    if not known and not protected:
+        return None
+    base = baseline if known else c.assumed_per_minute
+    wanted = base * (c.protect_multiplier if protected else c.spike_multiplier)
+    n = math.ceil(wanted * c.window_seconds / 60.0)
+    while n * 60.0 / c.window_seconds < wanted:
+        n += 1
+    while n and (n - 1) * 60.0 / c.window_seconds >= wanted:
+        n -= 1
+    return max(n, c.min_window_events, 1 if known else c.min_bootstrap_events), base, not known
 
 
 @dataclass
 class History:
-    """One pattern's recent buckets and baseline."""
+    """One pattern's state on a stream: counts of its last buckets, baseline, last alert."""
 
-    recent: list[int] = field(default_factory=list)
-    bucket: int = 0
+    counts: dict[str, int] = field(default_factory=dict)
+    bucket: int | None = None
     baseline: float = 0.0
     samples: int = 0
     last_alert: float = float("-inf")
 
     def record(self, at: float, protected: bool, c: Config) -> tuple[bool, float | None, float | None, bool | None]:
-        width, now = c.bucket_seconds, int(at // c.bucket_seconds)
-        if not self.recent:
-            self.recent, self.bucket = [0] * c.buckets, now
-        gap = now - self.bucket
-        for k in range(min(gap, c.buckets)):  # a late row counts in the current bucket
-            rate = self.recent[-1] * 60.0 / width if k == 0 else 0.0
-            self.baseline = rate if not self.samples else c.alpha * rate + (1 - c.alpha) * self.baseline
-            self.samples += 1
-            self.recent = [*self.recent[1:], 0]
-        self.bucket = max(self.bucket, now)
-        self.recent[-1] += 1
-        events = sum(self.recent)
-        current = events * 60.0 / c.window_seconds
-        none = (False, None, None, None)
-        if events < c.min_window_events or at - self.last_alert < c.cooldown:
-            return none
-        times = c.protect_multiplier if protected else c.spike_multiplier
-        learned = self.samples >= c.min_baseline_samples and self.baseline > 0
-        if not learned and (not protected or events < c.min_bootstrap_events):
-            return none
-        base = self.baseline if learned else c.assumed_per_minute
-        if current < base * times:
-            return none
+        """Is this event an alert? A late one counts in the current bucket."""
+        now = int(at // c.bucket_seconds)
+        if self.bucket is not None and now > self.bucket:
+            self.baseline, self.samples = learned(self.baseline, self.samples, self.counts.get(str(self.bucket), 0), now - self.bucket, c)
+            self.counts = {k: n for k, n in self.counts.items() if int(k) > now - c.buckets}
+        self.bucket = now if self.bucket is None else max(now, self.bucket)
+        self.counts[str(self.bucket)] = self.counts.get(str(self.bucket), 0) + 1
+        n, need = sum(self.counts.values()), least_events(self.baseline, self.samples, protected, c)
+        if need is None or n < need[0] or at - self.last_alert < c.cooldown:
+            return False, None, None, None
         self.last_alert = at
-        return True, base, current, not learned
+        return True, need[1], n * 60.0 / c.window_seconds, need[2]
 
 
-def spikes(events: DataFrame, config: Config, time: str = "ts", order: str = "event_no") -> DataFrame:
-    """events (severity, template, time, order) with is_spike, baseline_per_min, current_per_min, bootstrap."""
-    plain = events.select(*KEY, order, F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
-    dealt = plain.repartition(*KEY).sortWithinPartitions(*KEY, "us", order)
+def _protected(severity: Column, c: Config) -> Column:
+    return F.when(F.coalesce(severity, F.lit(0)) == 0, 3).otherwise(severity.cast("int")) >= c.protect_rank
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, history = None, History()
+
+def alerts(events: DataFrame, config: Config, time: str = "ts", order: tuple[str, ...] = ("event_no",)) -> DataFrame:
+    """KEY, order, baseline_per_min, current_per_min, bootstrap of the events that are frequency anomalies. events: severity, template,
+    time, order. Events without a time take no part."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    width = config.bucket_seconds * 1_000_000
+    plain = events.select(*KEY, *order, us.alias("us"), F.floor(us / width).alias("bucket")).where("us is not null")
+    before = Window.partitionBy(*KEY).orderBy("bucket").rangeBetween(1 - config.buckets, -1)
+    series = plain.groupBy(*KEY, "bucket").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before) if config.buckets > 1 else F.lit(0), F.lit(0)))
+    series = series.withColumn("protected", _protected(F.col("severity"), config)).repartition(*KEY).sortWithinPartitions(*KEY, "bucket")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, base, samples = None, None, 0.0, 0
+        for batch in batches:
+            out = {k: [] for k in ("from_nth", "baseline_per_min", "bootstrap")}
+            for level, template, bucket, n, earlier, protected in zip(*(batch.column(c).to_pylist() for c in [*KEY, "bucket", "n", "earlier", "protected"]), strict=True):
+                if key != (level, template):
+                    key, base, samples = (level, template), 0.0, 0
+                else:
+                    base, samples = learned(base, samples, last[1], bucket - last[0], config)
+                last = bucket, n
+                need = least_events(base, samples, protected, config)
+                fits = need is not None and earlier + n >= need[0]
+                for k, v in zip(out, (max(1, need[0] - earlier), need[1], need[2]) if fits else (None,) * 3, strict=True):
+                    out[k].append(v)
+            done = batch.drop_columns(["n", "protected"])
+            for k, kind in zip(out, (pa.int64(), pa.float64(), pa.bool_()), strict=True):
+                done = done.append_column(k, pa.array(out[k], kind))
+            yield done
+
+    kinds = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in KEY)
+    hot = series.mapInArrow(judge, f"{kinds}, bucket long, earlier long, from_nth long, baseline_per_min double, bootstrap boolean").where("from_nth is not null")
+    hot = hot.select(*(F.col(c).alias(f"of_{c}") for c in KEY), F.col("bucket").alias("in_bucket"), "earlier", "from_nth", "baseline_per_min", "bootstrap")
+    same = (F.col("bucket") == F.col("in_bucket")) & F.col("severity").eqNullSafe(F.col("of_severity")) & F.col("template").eqNullSafe(F.col("of_template"))
+    nth = F.row_number().over(Window.partitionBy(*KEY, "bucket").orderBy("us", *order))
+    found = plain.join(hot, same).withColumn("nth", nth).where("nth >= from_nth")
+    found = found.withColumn("current_per_min", (F.col("earlier") + F.col("nth")) * 60.0 / config.window_seconds)
+    found = found.select(*KEY, *order, "us", "baseline_per_min", "current_per_min", "bootstrap").repartition(*KEY).sortWithinPartitions(*KEY, "us", *order)
+    pause = config.cooldown * 1e6
+
+    def cool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, -math.inf
         for batch in batches:
-            rows = []
-            for level, template, us in zip(batch["severity"], batch["template"], batch["us"], strict=True):
-                if (level, template) != key:
-                    key, history = (level, template), History()
-                rows.append(history.record(us / 1e6, (level or 3) >= config.protect_rank, config))
-            out = pd.DataFrame(rows, columns=["is_spike", "baseline_per_min", "current_per_min", "bootstrap"])
-            yield pd.concat([batch.drop(columns="us").reset_index(drop=True), out.astype({"bootstrap": object})], axis=1)
-
-    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in [*KEY, order])
-    return dealt.mapInPandas(run, f"{kinds}, {OUT}")
+            keep = []
+            for level, template, at in zip(*(batch.column(c).to_pylist() for c in [*KEY, "us"]), strict=True):
+                if key != (level, template):
+                    key, last = (level, template), -math.inf
+                keep.append(at - last >= pause)
+                last = at if keep[-1] else last
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["us"])
+
+    return found.mapInArrow(cool, found.drop("us").schema)
 
 
 def bucket_counts(events: DataFrame, seconds: int, time: str = "ts", keys: tuple[str, ...] = tuple(KEY)) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,22 +81,106 @@ def decide(events: DataFrame, config: Config, order: tuple[str, ...] = ("source"
     return out.withColumn("decision", F.when(F.col("is_spike"), "anomaly").when(F.col("is_new"), "event").otherwise("repeat"))
 
 
+def decide_by_clock(events: DataFrame, config: Config, time: str = "ts", order: tuple[str, ...] = ("source", "event_no"), block_rows: int = 1 << 16) -> DataFrame:
+    """The same by the events' own times: anomalies as anomaly.alerts() finds them, with baseline_per_min, current_per_min and bootstrap.
+    New patterns are as in decide(), also those that come back after eviction; an evicted pattern keeps its history of rates here."""
+    from condenspark.operators.anomaly import alerts
+
+    found = alerts(events, config, time, order).drop(*KEY)
+    out = decide(events, config, order, block_rows).drop("is_spike", "decision").alias("e")
+    joined = out.join(found.select(*(F.col(c).alias(f"of_{c}") for c in order), "baseline_per_min", "current_per_min", "bootstrap"), [F.col(f"e.{c}").eqNullSafe(F.col(f"of_{c}")) for c in order], "left")
+    joined = joined.drop(*(f"of_{c}" for c in order)).withColumn("is_spike", F.col("current_per_min").isNotNull())
+    return joined.withColumn("decision", F.when(F.col("is_spike"), "anomaly").when(F.col("is_new"), "event").otherwise("repeat"))
+
+
 def repeat_summaries(decided: DataFrame) -> DataFrame:
-    """severity, template, count of the repeats that were not shown one by one."""
-    return decided.where("decision = 'repeat'").groupBy(*KEY).agg(F.count("*").alias("count"))
+    """severity, template, count of the repeats that were not shown one by one; due at the end (source and emit_no null), in the order of
+    the first repeats (seq)."""
+    seq = F.row_number().over(Window.orderBy("first"))
+    found = decided.where("decision = 'repeat'").groupBy(*KEY).agg(F.count("*").alias("count"), F.min(F.struct("source", "event_no")).alias("first"))
+    source = next(f.dataType for f in decided.schema.fields if f.name == "source")
+    return found.select(*KEY, "count", F.lit(None).cast(source).alias("source"), F.lit(None).cast("long").alias("emit_no"), seq.cast("long").alias("seq"))
+
+
+#: Milliseconds that repeats wait for their summary, by the rank of their level; the last is for errors and above.
+FLUSH_MS, FLUSH_ERROR_MS = 2000, 500
+
+
+def timed_summaries(decided: DataFrame, time: str = "ts", chunk: int = 1 << 16) -> DataFrame:
+    """KEY, source, count, emit_no and seq of the summaries of repeats by a clock. A pattern's repeats wait from the first of them on; the
+    first event of the source, of any pattern, that comes an interval later lets them out, after itself; so does an anomaly of
+    the pattern, before itself; what is left waits for the end (emit_no null). Each source has a clock of its own.
+
+    Which event lets a wait out is found by windows, in two levels, for each event as if the wait began with it; a streamed fold over a
+    pattern's repeats then takes the waits that do begin."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    wait = F.when(severity.rank(F.col("severity")) >= 6, FLUSH_ERROR_MS).otherwise(FLUSH_MS) * 1000
+    rows = decided.select("source", "event_no", *KEY, "decision", us.alias("us"))
+    # the clock of a source doesn't go back: the running maximum, by chunks of numbers
+    rows = rows.withColumn("chunk", F.floor(F.col("event_no") / chunk))
+    tops = rows.groupBy("source", "chunk").agg(F.max("us").alias("top"))
+    tops = tops.select(F.col("source").alias("of"), F.col("chunk").alias("in_chunk"), F.max("top").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("in_chunk"))
+    inner = Window.partitionBy("source", "chunk").orderBy("event_no")
+    clock = rows.withColumn("own", F.max("us").over(inner)).join(tops, same).withColumn("now", F.greatest("own", F.coalesce("earlier", "own"))).select("source", "event_no", *KEY, "decision", "now")
+    # the first event at or after a time: of the times and events of a source in order, the next event; by seconds first, then inside
+    marks = clock.select("source", F.col("now").alias("at"), "event_no", F.lit(1).alias("tick"), *(F.lit(None).cast(clock.schema[c].dataType).alias(c) for c in KEY), F.lit(None).cast("string").alias("decision"))
+    asked = clock.where("decision <> 'event'").select("source", (F.col("now") + wait).alias("at"), "event_no", F.lit(0).alias("tick"), *KEY, "decision")
+    every = marks.union(asked).withColumn("second", F.floor(F.col("at") / 1_000_000))
+    firsts = every.groupBy("source", "second").agg(F.min(F.when(F.col("tick") == 1, F.col("event_no"))).alias("first"))
+    later = firsts.select(F.col("source").alias("of"), F.col("second").alias("in_second"), F.min("first").over(Window.partitionBy("source").orderBy("second").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("second") == F.col("in_second"))
+    ahead = Window.partitionBy("source", "second").orderBy("at", "tick", "event_no").rowsBetween(0, Window.unboundedFollowing)
+    out_at = F.min(F.when(F.col("tick") == 1, F.col("event_no"))).over(ahead)
+    due = every.withColumn("out", out_at).where("tick = 0").join(later, same).select("source", *KEY, "event_no", "decision", F.coalesce("out", "later").alias("out"))
+    dealt = due.repartition("source", *KEY).sortWithinPartitions("source", *KEY, "event_no")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, out, first = None, 0, None, None
+        for batch in batches:
+            done = []
+            for i, (source, level, template, at, decision, until) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", *KEY, "event_no", "decision", "out")), strict=True)):
+                if n and (key != (source, level, template) or decision == "anomaly" or (out is not None and at > out)):
+                    before = decision == "anomaly" and key == (source, level, template) and (out is None or at <= out)
+                    done.append((*key, n, at if before else out, first, -1 if before else 1))
+                    n = 0
+                key = source, level, template
+                if decision == "repeat":
+                    if not n:
+                        out, first = until, at
+                    n += 1
+            yield table(done, batch.schema)
+        if n:
+            yield table([(*key, n, out, first, 1)], batch.schema)
+
+    def table(done: list, schema: pa.Schema) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) or [()] * 7
+        kinds = [schema.field(c).type for c in ("source", *KEY)] + [pa.int64()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["source", *KEY, "count", "emit_no", "first", "side"])
+
+    kinds = ", ".join(f"{c} {due.schema[c].dataType.simpleString()}" for c in ("source", *KEY))
+    waits = dealt.mapInArrow(fold, f"{kinds}, count long, emit_no long, first long, side long")
+    seq = F.row_number().over(Window.partitionBy("source", "emit_no", "side").orderBy("first")) * F.col("side")
+    shifted = F.when(F.col("side") < 0, seq - (1 << 32)).otherwise(seq)
+    return waits.select(*KEY, "count", "source", "emit_no", shifted.cast("long").alias("seq"))
 
 
 def report(decided: DataFrame, config: Config = Config()) -> DataFrame:
-    """One row of counters: logical events, raw lines, patterns tracked at the end, warnings, errors and suppression percentages."""
+    """One row of counters: logical events, raw lines and bytes, patterns tracked at the end and evicted, warnings, errors and suppression
+    percentages. An event that is new and not its pattern's only one follows an eviction."""
     shown = F.col("decision") != "repeat"
     n, rank = F.col("n_lines"), severity.rank(F.col("severity"))
+    size = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 1) if "lines" in decided.columns else F.lit(0).cast("long")
+    cut = F.count_if(F.exists("lines", lambda x: F.endswith(x, F.lit(" ...[truncated]")))) if "lines" in decided.columns else F.lit(0).cast("long")
     total = decided.groupBy(*KEY).agg(
-        F.sum(n).alias("raw_lines"), F.count_if(shown).alias("displayed_events"), F.count_if(~shown).alias("suppressed_events"),
-        F.sum(F.when(shown, n).otherwise(0)).alias("displayed_raw_lines"), F.sum(F.when(shown, 0).otherwise(n)).alias("suppressed_raw_lines"),
+        F.sum(n).cast("long").alias("raw_lines"), F.sum(size).alias("raw_bytes"), F.count_if(shown).alias("displayed_events"), F.count_if(~shown).alias("suppressed_events"),
+        F.sum(F.when(shown, n).otherwise(0)).cast("long").alias("displayed_raw_lines"), F.sum(F.when(shown, 0).otherwise(n)).cast("long").alias("suppressed_raw_lines"),
         F.count_if(F.col("severity") == 5).alias("warning_events"), F.count_if(rank >= 6).alias("error_events"), F.count_if(F.col("decision") == "anomaly").alias("anomaly_events"),
+        F.count_if("is_new").alias("generations"), cut.alias("truncated_lines"),
     )
-    names = [c for c in total.columns if c not in KEY]
-    one = total.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), F.least(F.count("*"), F.lit(config.max_patterns).cast("long")).alias("structural_patterns"))
+    names = [c for c in total.columns if c not in (*KEY, "generations")]
+    tracked = F.least(F.count("*"), F.lit(config.max_patterns).cast("long"))
+    one = total.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names), tracked.alias("structural_patterns"), (F.coalesce(F.sum("generations"), F.lit(0)) - tracked).alias("patterns_evicted"))
     events = F.col("displayed_events") + F.col("suppressed_events")
     return one.withColumns({"logical_event_suppression_percentage": fp.percent(F.col("suppressed_events"), events), "raw_line_suppression_percentage": fp.percent(F.col("suppressed_raw_lines"), F.col("raw_lines"))})
 

@@ -1,5 +1,5 @@
-"""The whole plan: lines -> events -> templates -> decisions. Each step is a DataFrame; before the caller asks only the patterns are
-counted, up to the bound, and the events' order is written if there are more."""
+"""The whole plan: lines -> events -> templates -> decisions. Each step is a DataFrame; before the caller asks only the patterns' first
+events are found and counted, up to the bound, and the events' order is written if there are more patterns."""
 
 from __future__ import annotations
 
@@ -10,16 +10,25 @@ from condenspark.operators import multiline, patterns, sinks
 from condenspark.plans.config import Config
 
 
-def condense(lines: DataFrame, config: Config = Config(), multi_line: bool = True) -> DataFrame:
-    """lines: source, line_no, raw. Decided events by the constant clock."""
+def condense(lines: DataFrame, config: Config = Config(), multi_line: bool = True, clock: str = "constant", time: str = "ts") -> DataFrame:
+    """lines: source, line_no, raw; and a time for clock="event". Decided events. clock: "constant" takes all lines as of one time, as
+    when a file is read at once; "event" goes by the lines' own times (an event's is that of its first line)."""
+    if clock not in ("constant", "event"):
+        raise ValueError(f"clock must be constant or event, not {clock!r}")
     parsed = patterns.parse(lines)
+    timed = [time] if clock == "event" else []
     if multi_line:
-        events = patterns.with_block_templates(multiline.events(parsed))
+        found = multiline.events(parsed)
+        if timed:
+            found = found.join(lines.select("source", F.col("line_no").alias("event_no"), time), ["source", "event_no"])
+        events = patterns.with_block_templates(found)
     else:
-        one = parsed.select("source", F.col("line_no").alias("event_no"), "severity", F.array("raw").alias("lines"), F.array("content").alias("contents"), "content", F.lit(1).alias("n_lines"))
+        one = parsed.select("source", F.col("line_no").alias("event_no"), "severity", F.array("raw").alias("lines"), F.array("content").alias("contents"), "content", F.lit(1).alias("n_lines"), *timed)
         events = patterns.with_templates(one).drop("content")
-    return patterns.decide(events, config)
+    return patterns.decide_by_clock(events, config, time) if timed else patterns.decide(events, config)
 
 
-def output(lines: DataFrame, config: Config = Config()) -> DataFrame:
-    return sinks.records(condense(lines, config), config)
+def output(lines: DataFrame, config: Config = Config(), clock: str = "constant", time: str = "ts") -> DataFrame:
+    """The records; by the events' clock repeats are summed up as often as a stream would."""
+    decided = condense(lines, config, clock=clock, time=time)
+    return sinks.records(decided, config, patterns.timed_summaries(decided, time) if clock == "event" else None)

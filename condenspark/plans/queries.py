@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from condenspark.functions import fingerprint as fp
 from condenspark.functions import normalize, severity
 from condenspark.operators import anomaly, lru, multiline, patterns, sinks
+from condenspark.plans import shapes
 from condenspark.plans.condense import condense
 from condenspark.plans.config import Config
 from condenspark.sources.lines import split_column
@@ -46,26 +47,38 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.with_templates(parsed)
 
 
+def level_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each event, with every alias of a level in brackets, bare, after level=, behind a host, and in a path."""
+    return _spread(_table(spark, sf_dir, "events")).select(F.col("event_id").alias("line_no"), F.expr(f"{shapes.PREFIX} || {shapes.MESSAGE}").alias("raw"))
+
+
 def severity_detect(spark, sf_dir):
-    lines = event_lines(spark, sf_dir)
+    lines = level_lines(spark, sf_dir)
     code = severity.severity(F.col("raw"))
-    return lines.select("line_no", code.cast("int").alias("severity"), severity.level_name(code).alias("level"), severity.rank(code).alias("rank"), severity.consumed(F.col("raw")).alias("consumed"))
+    return lines.select("line_no", code.cast("int").alias("severity"), severity.level_name(code).alias("level"), severity.rank(code).alias("rank"), severity.icon(code).alias("icon"), severity.consumed(F.col("raw")).alias("consumed"))
 
 
 def prefix_strip(spark, sf_dir):
-    lines = event_lines(spark, sf_dir)
+    lines = level_lines(spark, sf_dir)
     return lines.select("line_no", severity.content(F.col("raw")).alias("content"), severity.strip_time(F.col("raw")).alias("without_time"))
 
 
 def _norm(name: str):
     def query(spark, sf_dir):
-        lines = document_lines(spark, sf_dir)
+        lines = _spread(_table(spark, sf_dir, "events")).select("event_id", F.expr(shapes.SHAPED).alias("raw"))
         out = normalize.replace_class(F.col("raw"), name)
-        return lines.select(F.col("source").alias("doc_id"), "line_no", out.alias("line")).where(F.col("raw") != F.col("line"))
+        return lines.select("event_id", out.alias("line")).where(F.col("raw") != F.col("line"))
 
     return query
 
 
+def norm_documents(spark, sf_dir):
+    """Every class in the lines of documents: how many lines have it."""
+    lines = document_lines(spark, sf_dir)
+    found = F.array(*(F.struct(F.lit(name).alias("class"), F.lit(pattern).alias("pattern")) for name, pattern, _ in ((n, normalize.java(p), m) for n, p, m in normalize.CLASSES)))
+    return lines.select("raw", F.inline(found)).where(F.expr("raw rlike pattern")).groupBy("class").agg(F.count("*").alias("lines"))
+
+
 def template_full(spark, sf_dir):
     return _events(spark, sf_dir).select("event_no", "template")
 
@@ -117,6 +130,29 @@ def text_output(spark, sf_dir):
     return sinks.to_text(sinks.records(_decided(spark, sf_dir), Config()))
 
 
+def _clocked(spark, sf_dir):
+    config = Config(bucket_seconds=3600, window=3 * 3600, cooldown=12 * 3600, spike_multiplier=1.5, protect_multiplier=1.2)
+    return condense(event_lines(spark, sf_dir), config, multi_line=False, clock="event"), config
+
+
+def decisions_event_clock(spark, sf_dir):
+    return _clocked(spark, sf_dir)[0].select("event_no", "decision", F.round("baseline_per_min", 6).alias("baseline_per_min"), F.round("current_per_min", 6).alias("current_per_min"))
+
+
+def timed_repeat_summaries(spark, sf_dir):
+    return patterns.timed_summaries(_clocked(spark, sf_dir)[0]).select(F.col("severity").cast("int").alias("severity"), "template", "count", "emit_no")
+
+
+def text_output_event_clock(spark, sf_dir):
+    decided, config = _clocked(spark, sf_dir)
+    return sinks.to_text(sinks.records(decided, config, patterns.timed_summaries(decided)))
+
+
+def stats(spark, sf_dir):
+    found = sinks.stats(patterns.report(_decided(spark, sf_dir)), 1.0)
+    return found.where("name not in ('elapsed', 'rate')")
+
+
 def bucket_counts(spark, sf_dir):
     return anomaly.bucket_counts(_table(spark, sf_dir, "events"), 3600, keys=("event_type",))
 
@@ -131,8 +167,8 @@ def ewma_baseline(spark, sf_dir):
 
 def spikes(spark, sf_dir):
     config = Config(bucket_seconds=3600, window=3 * 3600, cooldown=12 * 3600, spike_multiplier=1.5, protect_multiplier=1.2)
-    found = anomaly.spikes(_events(spark, sf_dir), config)
-    return found.where("is_spike").select("event_no", "template", "baseline_per_min", "current_per_min", "bootstrap")
+    found = anomaly.alerts(_events(spark, sf_dir), config)
+    return found.select("event_no", "template", F.round("baseline_per_min", 6).alias("baseline_per_min"), F.round("current_per_min", 6).alias("current_per_min"), "bootstrap")
 
 
 def multiline_blocks(spark, sf_dir):
@@ -181,8 +217,8 @@ def dominant_shapes(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        dominant_shapes, severity_detect, prefix_strip, template_full, template_documents, fingerprints, pattern_counts, pattern_example, novelty, decisions_constant_clock,
-        repeat_summaries, suppression_report, ndjson_records, text_output, bucket_counts, rolling_rate, ewma_baseline, spikes, multiline_blocks, multiline_condense, conversation_novelty,
+        dominant_shapes, severity_detect, prefix_strip, norm_documents, template_full, template_documents, fingerprints, pattern_counts, pattern_example, novelty, decisions_constant_clock,
+        repeat_summaries, suppression_report, ndjson_records, text_output, decisions_event_clock, timed_repeat_summaries, text_output_event_clock, stats, bucket_counts, rolling_rate, ewma_baseline, spikes, multiline_blocks, multiline_condense, conversation_novelty,
         lru_novelty, retention, order_patterns, lineitem_patterns,
     )
 } | {f"norm_{name}": _norm(name) for name, _, _ in normalize.CLASSES}
