@@ -78,7 +78,7 @@ def alerts(events: DataFrame, config: Config, time: str = "ts", order: tuple[str
     width = config.bucket_seconds * 1_000_000
     plain = events.select(*KEY, *order, us.alias("us"), F.floor(us / width).alias("bucket")).where("us is not null")
     before = Window.partitionBy(*KEY).orderBy("bucket").rangeBetween(1 - config.buckets, -1)
-    series = plain.groupBy(*KEY, "bucket").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before) if config.buckets > 1 else F.lit(0), F.lit(0)))
+    series = plain.groupBy(*KEY, "bucket").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before) if config.buckets > 1 else F.lit(0), F.lit(0)).cast("long"))
     series = series.withColumn("protected", _protected(F.col("severity"), config)).repartition(*KEY).sortWithinPartitions(*KEY, "bucket")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from condenspark.functions import fingerprint, normalize, severity
-from condenspark.operators import lru, multiline, patterns, sinks
+from condenspark.operators import anomaly, lru, multiline, patterns, sinks
 from condenspark.operators.anomaly import History
-from condenspark.plans.condense import condense
+from condenspark.plans.condense import condense, output
 from condenspark.plans.config import Config
+from condenspark.plans.correctness import correctness
+from condenspark.sources import scenarios
 from condenspark.sources.lines import clean_line, split_column
 
 LEVELS = [
@@ -71,6 +73,85 @@ def test_anomalies():
     assert any(h.record(61 + 0.01 * i, False, c)[0] for i in range(60))
 
 
+def test_alerts_equal_a_replay(spark):
+    rng = random.Random(12)
+    for config in (Config(), Config(cooldown=3.0, window=5, spike_multiplier=1.5), Config(cooldown=0.0, window=31, min_window_events=2, spike_multiplier=1.2)):
+        rows, at = [], 1_780_000_000.0
+        for i in range(1500):
+            at += rng.choice([0.0, 0.01, 0.2, 1.0, 4.0, 40.0 if rng.random() < 0.1 else 0.5])
+            rows.append(("s", i, rng.choice([3, 6]), rng.choice(["a", "b"]), at))
+        events = spark.createDataFrame(rows, "source string, event_no long, severity byte, template string, at double").withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long")))
+        got = {(r.event_no, round(r.baseline_per_min, 6), round(r.current_per_min, 6), r.bootstrap) for r in anomaly.alerts(events, config).collect()}
+        histories, want = {}, set()
+        for _, i, level, template, t in rows:
+            spike, base, current, assumed = histories.setdefault((level, template), History()).record(int(t * 1e6) / 1e6, level >= 6, config)
+            if spike:
+                want.add((i, round(base, 6), round(current, 6), assumed))
+        assert want and got == want
+
+
+def test_timed_summaries_equal_a_replay(spark):
+    rng, rows, now = random.Random(13), [], 0
+    for i in range(900):
+        now += rng.choice([0, 50, 200, 900, 2500 if rng.random() < 0.1 else 0])
+        rows.append((i % 3 // 2, i, rng.choice([3, 6]), rng.choice("ab"), rng.choice(["repeat"] * 6 + ["anomaly", "event"]), 1_780_000_000_000 + now - rng.choice([0, 0, 30])))
+    decided = spark.createDataFrame(rows, "source int, event_no long, severity byte, template string, decision string, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    want = []
+    for source in (0, 1):
+        waits, clock = {}, 0
+        for _, i, level, template, decision, ms in (r for r in rows if r[0] == source):
+            clock, key = max(clock, ms), (level, template)
+            if decision == "anomaly" and key in waits:
+                want.append((*key, source, waits.pop(key)[1], i))
+            if decision == "repeat":
+                waits.setdefault(key, [clock, 0])[1] += 1
+            for k in [k for k, (since, _) in waits.items() if clock >= since + (500 if k[0] >= 6 else 2000)]:
+                want.append((*k, source, waits.pop(k)[1], i))
+        want += [(*k, source, n, None) for k, (_, n) in waits.items()]
+    for chunk in (7, 1 << 16):
+        got = [(r.severity, r.template, r.source, r["count"], r.emit_no) for r in patterns.timed_summaries(decided, chunk=chunk).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_records_in_order_and_their_text(spark):
+    rows = [("s", i, f"[ERROR] stuck {i}", 1000.0 + 0.001 * i) for i in range(12)] + [("s", 12, "[INFO] on", 1003.0), ("s", 13, "[INFO] on", 1003.1)]
+    lines = spark.createDataFrame(rows, "source string, line_no long, raw string, at double").withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long")))
+    found = [(r.type, r["count"]) for r in sinks.in_order(output(lines, clock="event")).collect()]
+    assert found == [("event", 1), ("repeat_summary", 8), ("anomaly", None), ("event", 1), ("repeat_summary", 2), ("repeat_summary", 1)]
+    text = [r.value for r in sinks.to_text(sinks.in_order(output(lines, clock="event"))).collect()]
+    assert text[:3] == ["✖ ERROR stuck 0\n", "✖ ERROR stuck [NUM]\n  × 8\n", "🚨 FREQUENCY SPIKE (new pattern)\n   stuck 9\n   no prior history - already occurring at 40/min\n"]
+    assert "\x1b[31m" in sinks.to_text(sinks.in_order(output(lines)), colour=True).first().value
+    r = patterns.report(condense(lines))
+    assert {x.name: x.value for x in sinks.stats(r, 2.0).collect()}["anomalies detected"] == "1" and sinks.impact(r, 2.0).count() == 1
+    with pytest.raises(ValueError):
+        condense(lines, clock="wall")
+
+
+#: Lines, shown, suppressed, patterns, anomalies, percent of events and of lines, retained.
+GOLDEN = {
+    "build-failure": (105, 16, 89, 16, 0, 84.76, 84.76, 2), "go-panic": (138, 2, 129, 2, 0, 98.47, 93.48, 1), "java-trace": (237, 2, 229, 2, 0, 99.13, 96.62, 2), "pool-exhausted": (337, 6, 328, 6, 0, 98.20, 97.33, 2),
+    "python-trace": (196, 2, 189, 2, 0, 98.95, 96.43, 1), "restart-loop": (321, 10, 311, 9, 1, 96.88, 96.88, 2), "sign-in-burst": (551, 3, 548, 3, 0, 99.46, 99.46, 1),
+}
+
+
+def test_scenarios(spark):
+    names = list(GOLDEN)
+    got = correctness(scenarios.lines(spark, names), scenarios.manifests(spark, names)).collect()
+    found = {r.scenario: (r.input_lines, r.displayed_events, r.suppressed_events, r.structural_patterns, r.anomaly_events, r.logical_event_suppression_percentage, r.raw_line_suppression_percentage, r.known_important_retained) for r in got}
+    assert found == GOLDEN and all(r.missed is None for r in got)
+
+
+def test_templates_keep_every_text_and_span_no_line_end(spark):
+    rows = [("[5:0:_K", "[[IPV6]_K"), ("202412.5abc50%", "202412.5abc[PCT]%"), ("took 12ms\n5 GB of 10.1.1.1\n3", "took [DURATION]\n[SIZE] of [IP]\n[NUM]"), ("2026-01-02\n03:04:05", "[DATE]\n[TIME]"), ("x" * 70_000 + " 5", "x" * 70_000 + " [NUM]"), (None, None)]
+    got = spark.createDataFrame(rows, "m string, want string").select(normalize.template(F.col("m")), "want").collect()
+    assert all(r[0] == r[1] for r in got)
+
+
+def test_levels_are_looked_for_in_bytes(spark):
+    rows = spark.createDataFrame([("é" * 95 + " ERROR x",), ("é" * 98 + " ERROR x",), ("é" * 120 + " ERROR x",)], "raw string")
+    assert [r[0] for r in rows.select(severity.severity(F.col("raw")).cast("int")).collect()] == [6, 0, 0]
+
+
 def test_constant_clock(spark):
     lines = spark.createDataFrame([("s", i, f"2026-08-30 03:01:0{i % 10} [ERROR] timeout after {i}ms") for i in range(20)] + [("s", 20 + i, f"[INFO] ok {i}") for i in range(980)], "source string, line_no long, raw string")
     decided = condense(lines).cache()
