@@ -17,8 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go."""
-    return score_toxicity(docs, table(spark, sf_dir, "labels")).where("not toxic").select(*docs.columns)
+    """Toxic documents go; clean ones stay as they are. Null and empty texts have no toxic word and stay. Rows with equal texts go or stay
+    together; repeated rows and null doc_ids stay. An empty table stays empty. Other columns stay too, also toxicity and toxic."""
+    names = {c: f"__own_{c}" for c in ("toxicity", "toxic") if c in docs.columns}
+    scored = score_toxicity(docs.withColumnsRenamed(names), table(spark, sf_dir, "labels")).where("not toxic").drop("toxicity", "toxic")
+    return scored.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,18 +40,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contamination.contaminated").select(*docs.columns)
+    """Contaminated documents go; documents with a few hit words (less than one in 20) stay whole. Null and empty texts have no words and
+    stay; repeated rows and null doc_ids stay or go by their text. Items without text or words count for nothing. Other columns stay."""
+    names = {"contamination": "__own_contamination"} if "contamination" in docs.columns else {}
+    found = decontaminate(docs.withColumnsRenamed(names), table(spark, sf_dir, "benchmark")).where("not contamination.contaminated").drop("contamination")
+    return found.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are replaced, and n_chars follows."""
+    """Every document stays; secrets in its text are replaced, and n_chars follows. Null and empty texts stay as they are; a null source
+    counts as no path. Repeated rows are treated alike; order and other columns stay."""
     out = redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of full training sequences, with their token ids."""
+    """The pieces of full training sequences, with their token ids. Null and empty texts are the end id alone; repeated rows and rows
+    without doc_id are packed each for itself; an empty table gives no rows. Other columns than doc_id and text are not kept."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -60,8 +68,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The learned stages (toxicity, secrets) and the tokenizer are beyond SQL: tests compare near_duplicates with brute force, and
-#: the other stages by their operators' tests.
+#: The learned stages (toxicity, secrets) and the tokenizer are beyond SQL: tests compare run() on the smallest tables with near duplicates,
+#: contamination, redaction and ids by brute force (toxicity by its operator's own scores, which are held against labels).
 ORACLE_SQL = None
 
 
