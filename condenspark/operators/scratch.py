@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_left: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -18,5 +22,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _left.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def clear() -> None:
+    """What was written goes when the application ends."""
+    while _left:
+        spark, path = _left.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
