@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -44,10 +45,10 @@ def edits_of(term: str, stem: bool) -> int:
 
 
 class FuzzyTrie:
-    """Words within the allowed edits of a term, or that begin with a stem. A state is a set of (trie node, edits used). At most about
-    ``most`` steps between states are remembered at a time."""
+    """Words within the allowed edits of a term, or that begin with a stem. A state is a set of (trie node, edits used), packed as numbers
+    4 * node + edits. At most about ``most`` steps between states are remembered at a time, in some 40 MB."""
 
-    def __init__(self, terms: Iterable[tuple[str, bool]], most: int = 100_000):
+    def __init__(self, terms: Iterable[tuple[str, bool]], most: int = 250_000):
         self.next: list[dict[str, int]] = [{}]
         self.end: list[tuple[str, int] | None] = [None]
         self.stem: list[str | None] = [None]
@@ -72,14 +73,14 @@ class FuzzyTrie:
         self.forget()
 
     def forget(self) -> None:
-        self.ids: dict[frozenset, int] = {frozenset(): 0}
-        self.states: list[frozenset] = [frozenset()]
+        self.ids: dict[bytes, int] = {b"": 0}
+        self.states: list[bytes] = [b""]
         self.step: list[dict[str, int]] = [{}]
         self.found: list[tuple[str, int] | None] = [None]
         self.steps = 0
         self.start = self._id(self._close({(0, 0)}))
 
-    def _close(self, state: set[tuple[int, int]]) -> frozenset:
+    def _close(self, state: set[tuple[int, int]]) -> bytes:
         """With letters of a term left out."""
         todo = list(state)
         while todo:
@@ -91,20 +92,23 @@ class FuzzyTrie:
         best: dict[int, int] = {}
         for node, e in state:
             best[node] = min(e, best.get(node, e))
-        return frozenset(best.items())
+        return array("I", sorted(4 * node + e for node, e in best.items())).tobytes()
 
-    def _id(self, state: frozenset) -> int:
+    def _of(self, state: bytes) -> list[tuple[int, int]]:
+        return [(x >> 2, x & 3) for x in memoryview(state).cast("I")]
+
+    def _id(self, state: bytes) -> int:
         if state not in self.ids:
             self.ids[state] = len(self.states)
             self.states.append(state)
             self.step.append({})
-            ends = [(e, self.end[n][0]) for n, e in state if self.end[n] and e <= self.end[n][1]]
+            ends = [(e, self.end[n][0]) for n, e in self._of(state) if self.end[n] and e <= self.end[n][1]]
             self.found.append(min(ends)[::-1] if ends else None)
         return self.ids[state]
 
     def _move(self, at: int, c: str) -> int:
         out: set[tuple[int, int]] = set()
-        for node, e in self.states[at]:
+        for node, e in self._of(self.states[at]):
             if e < self.most[node]:
                 out.add((node, e + 1))
             for letter, child in self.next[node].items():
@@ -229,6 +233,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+_tries: dict[tuple, FuzzyTrie] = {}
+
+
+def _trie(terms: tuple) -> FuzzyTrie:
+    """Kept by a worker from task to task while a model is learned; the tasks that score with it forget it."""
+    if terms not in _tries:
+        _tries.clear()
+        _tries[terms] = FuzzyTrie(terms)
+    return _tries[terms]
+
+
 class Scorer:
     """Adds a column of scores to documents, a few hundred texts at a time."""
 
@@ -239,13 +254,15 @@ class Scorer:
         terms, weights = self.terms, self.weights
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie, w = FuzzyTrie(terms), np.asarray(weights)
+            trie, w = _trie(terms), np.asarray(weights)
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     x = np.array([features(t, trie) for t in part.column(text).to_pylist()])
                     yield part.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))))
-                give_back()
+            _tries.clear()
+            del trie
+            give_back()
 
         return docs.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in docs.schema.fields), StructField(name, DoubleType())]))
 
@@ -257,12 +274,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, min_docs: in
     rank = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20))
     chosen = usable.where(rank < int((1 << 20) * min(1.0, max_rows / max(1, n))))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # a row count bounded by max_rows
-    sample = sample.repartition(96, "doc_id", F.crc32(F.col("text").cast("binary"))).select("text", "toxic")
+    sample = sample.repartition(48, "doc_id", F.crc32(F.col("text").cast("binary"))).select("text", "toxic")
     learned = learn_lexicon(sample, min_docs, min_gain)
     terms = tuple(learned + [(t, False) for t in SEED_TERMS if (t, False) not in learned])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = FuzzyTrie(terms)
+        trie = _trie(terms)
         for batch in batches:
             x = [list(features(t, trie)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
