@@ -105,10 +105,10 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
 SIGNED = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("n", pa.int64()), ("cell", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
-def width_of_sketch(docs: DataFrame, per_cell: int = 64) -> int:
-    """The logarithm of the number of cells: about one for per_cell words."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(24, max(18, (size // (6 * per_cell)).bit_length()))
+def size_of_sketch(docs: DataFrame, per_cell: int = 64) -> tuple[int, int]:
+    """The logarithm of the number of cells, about one for per_cell words; and in how many groups of tasks it is summed first."""
+    size = docs.select(F.octet_length("text").alias("bytes"), F.spark_partition_id().alias("part")).agg(F.sum("bytes"), F.max("part")).first()
+    return min(24, max(18, ((size[0] or 0) // (6 * per_cell)).bit_length())), 1 + int((1 + (size[1] or 0)) ** 0.5)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -120,9 +120,8 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def signatures(docs: DataFrame, width: int, cells_log2: int, chunk: int = 1 << 16) -> DataFrame:
+def signatures(docs: DataFrame, width: int, cells_log2: int, groups: int, chunk: int = 1 << 16) -> DataFrame:
     """doc_id, text_hash, a, b, n of each row; and, with a cell, each task's part of the sketch."""
-    groups = 1 + int(docs.rdd.getNumPartitions() ** 0.5)  # of tasks, whose sketches are summed first
     kept = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     spark_schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, a long, b int, n long, cell int, part int, counts binary"
     shift = U(64 - cells_log2)
@@ -435,7 +434,8 @@ def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, most_match
     span every component; in large groups not every link between members of one component is listed."""
     bound_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession)
-    signed = scratch.keep(signatures(docs, width, cells_log2 or width_of_sketch(docs)), "signed")
+    cells, groups = size_of_sketch(docs)
+    signed = scratch.keep(signatures(docs, width, cells_log2 or cells, groups), "signed")
     codes = excess(sketch_of(signed))
     rows = scratch.keep(signed.where("cell is null").drop("cell", "part", "counts"), "rows")
     scratch.drop("signed")
