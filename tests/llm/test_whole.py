@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from condenspark.llm import chat_format, decontamination, jaccard_join, license_scan, packing, quality, queries, secret_scan, sharding, topk_search, toxicity
 from tests.llm.test_operators import brute_components, docs
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MIDDLE, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 BIG = 2**60 + 1
 
 
@@ -172,7 +172,7 @@ def test_chats_equal_brute_force(spark):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    rows = queries.op2_toxicity(spark, MIDDLE).join(spark.read.parquet(f"{MIDDLE}/labels.parquet"), "doc_id").where("held_out and toxic is not null").select("predicted", "toxic").collect()
+    rows = queries.op2_toxicity(spark, LARGE).join(spark.read.parquet(f"{LARGE}/labels.parquet"), "doc_id").where("held_out and toxic is not null").select("predicted", "toxic").collect()
     caught, clean = [r.predicted for r in rows if r.toxic], [1 - r.predicted for r in rows if not r.toxic]
     assert len(caught) >= 5 and np.mean(caught) >= 0.9 and np.mean(clean) >= 0.95
     text = "He said \"" + "calm words " * 40 + "idiot\". You idiot\n" + "x" * 60
