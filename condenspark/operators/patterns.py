@@ -185,7 +185,26 @@ def report(decided: DataFrame, config: Config = Config()) -> DataFrame:
     return one.withColumns({"logical_event_suppression_percentage": fp.percent(F.col("suppressed_events"), events), "raw_line_suppression_percentage": fp.percent(F.col("suppressed_raw_lines"), F.col("raw_lines"))})
 
 
-def retention(shown: DataFrame, needles: DataFrame, text: str, needle: str) -> DataFrame:
-    """needles with retained: does any row of shown hold it? The needles are a manifest's few; texts are joined with them by task."""
-    hits = shown.join(F.broadcast(needles), F.contains(F.col(text), F.col(needle))).select(needle).distinct().withColumn("retained", F.lit(True))
-    return needles.join(hits, needle, "left").withColumn("retained", F.coalesce("retained", F.lit(False)))
+def retention(shown: DataFrame, needles: DataFrame, text: str, needle: str, most: int = 10_000) -> DataFrame:
+    """needles with retained: does any row of shown hold it? Null needles and texts hold nothing.
+
+    A needle of three words or more has a word with blanks around it, which must be a whole word of a text that holds it: the longest such
+    word is its anchor, and texts meet only the needles whose anchors are among their words. Shorter needles have none and are tried
+    on every text. Needles go to the tasks in parts of about ``most``, one pass over the texts for each."""
+    listed = needles.select(F.col(needle).alias("needle")).where("needle is not null").distinct()
+    words = F.split("needle", r"\s+")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    listed = listed.withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    parts, hits = max(1, -(-listed.count() // most)), None
+    for k in range(parts):
+        own = listed.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == k)
+        anchors = [r["anchor"] for r in own.select("anchor").distinct().collect()]  # about ``most`` of them
+        usual = [x for x in anchors if x is not None]
+        found = shown.select(F.col(text).alias("text"), F.explode(F.filter(F.array_distinct(F.split(text, r"\s+")), lambda w: w.isin(usual))).alias("word"))  # noqa: B023
+        met = found.join(F.broadcast(own.withColumnRenamed("anchor", "word")), "word").where(F.contains(F.col("text"), F.col("needle"))).select("needle")
+        if None in anchors:
+            short = own.where("anchor is null").select("needle")
+            met = met.union(shown.select(F.col(text).alias("text")).join(F.broadcast(short), F.contains(F.col("text"), F.col("needle"))).select("needle"))
+        hits = met if hits is None else hits.union(met)
+    hits = hits.distinct().select(F.col("needle").alias("of"), F.lit(True).alias("retained"))
+    return needles.join(hits, F.col(needle) == F.col("of"), "left").drop("of").withColumn("retained", F.coalesce("retained", F.lit(False)))

@@ -226,6 +226,16 @@ def test_retention_keeps_items_without_text(spark, tmp_path):
     assert sorted(tuple(r) for r in retention(spark, str(tmp_path)).collect()) == [(1, True), (2, False), (3, False), (4, True)]
 
 
+def test_retention_equals_contains(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["ab", "cd", "abc", "x"]) for _ in range(12)) + rng.choice(["", "\n", "\tz"]) for _ in range(40)] + [None]
+    needles = ["b", "ab cd", "", None, *{t[a : a + rng.randrange(1, 25)] for t in texts[:20] for a in range(0, 20, 5)}, "ab  cd x", "q ab q"]
+    rows, shown = spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame([(t,) for t in texts], "text string")
+    for most in (10_000, 5):
+        got = {r.needle: r.retained for r in patterns.retention(shown, rows, "text", "needle", most).collect()}
+        assert got == {n: n is not None and any(t is not None and n in t for t in texts) for n in needles}
+
+
 @pytest.mark.parametrize("bad", [{"window": 0}, {"spike_multiplier": 1.0}, {"protect_multiplier": float("inf")}, {"max_patterns": -1}, {"cooldown": -1.0}, {"severity_protect": "INFO"}, {"min_window_events": 0}])
 def test_settings(bad):
     with pytest.raises(ValueError):
