@@ -9,6 +9,25 @@ crcs AS MATERIALIZED (
   FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents), crc_table)
 """
 
+#: The conversations with grafted starts, the nodes of their prefixes, and each node's ancestors.
+_TRIE = """
+crc_table AS MATERIALIZED (SELECT list_transform(range(256), lambda c: list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, c)) AS t),
+c AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY turn NULLS FIRST, r, md5(t)) AS own FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+h AS (SELECT conv_id, own, xor(list_reduce(list_transform(range(length(d)), lambda i: CAST(ascii(substr(d, CAST(i + 1 AS BIGINT), 1)) AS BIGINT)), lambda a, b: xor(a // 256, crcs[CAST(xor(a % 256, b) AS BIGINT) + 1]), 4294967295), 4294967295) % 6 AS h
+      FROM (SELECT conv_id, own, CAST(conv_id AS VARCHAR) AS d, t AS crcs FROM c, crc_table)),
+b AS (SELECT h.conv_id, list_concat(coalesce(base.own, [])[1 : CAST(h AS BIGINT)], h.own[CAST(h + 1 AS BIGINT) :]) AS turns FROM h LEFT JOIN c base ON base.conv_id = h.conv_id - h.conv_id % 100),
+p AS MATERIALIZED (SELECT conv_id, d, len(turns) AS n, md5(CAST(to_json(turns[1 : d]) AS VARCHAR)) AS node, CASE WHEN d > 0 THEN md5(CAST(to_json(turns[1 : d - 1]) AS VARCHAR)) END AS parent, CASE WHEN d > 0 THEN length(turns[d].t) ELSE 0 END AS points
+                   FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM b)),
+v AS MATERIALIZED (SELECT d, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(points) AS saved, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM p GROUP BY d, node),
+k AS MATERIALIZED (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM v WHERE d > 0 GROUP BY ALL),
+l AS (SELECT v.*, coalesce(k.n_children, 0) AS n_children FROM v LEFT JOIN k USING (d, node)),
+a AS (SELECT p.d, p.node, CAST(count(*) FILTER (l.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(l.saved) AS BIGINT) AS saved FROM l JOIN p ON p.conv_id = l.conv_id AND p.d <= l.d GROUP BY ALL)
+"""
+_CODED = lambda k: f"""a{k} AS MATERIALIZED (SELECT p.rid, p.part, arg_min(b.entry, b.far * 64 + b.entry) AS entry, min(b.far) AS far FROM p, LATERAL (SELECT e.entry, CAST(list_sum(list_transform(list_zip(p.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS far FROM b{k} e WHERE e.part = p.part) b GROUP BY p.rid, p.part)"""
+_BOOK = lambda k: f"""s{k} AS (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT p.part, a.entry, p.x, unnest(range(1, len(p.x) + 1)) AS i FROM a{k} a JOIN p USING (rid, part)) GROUP BY ALL),
+m{k} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{k} GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (part, entry))"""
+
 ORACLES = {
     "op1_sharding": f"""
 WITH {_CRC.strip()},
@@ -57,4 +76,18 @@ m AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies FROM h ANTI JOIN p US
 o AS (SELECT conv_id, n, n_copies, turns, unnest(range(0, (n + 255) // 256)) AS part FROM m JOIN h USING (conv_id))
 SELECT conv_id, CAST(part AS INTEGER) AS part, CAST(n AS BIGINT) AS n_turns, CAST(n_copies AS BIGINT) AS n_copies,
        array_to_string(list_transform(turns[part * 256 + 1 : part * 256 + 256], lambda x: '<|' || x.r || '|>' || chr(10) || x.t || chr(10) || '<|end|>' || chr(10)), '') AS text FROM o""",
+    "op12_prefix_trie": f"""
+WITH {_TRIE.strip()}
+SELECT l.conv_id, l.d AS depth, u.conv_id AS parent_conv_id, l.n_convs, l.n_children, a.n_leaves, a.saved AS saved_tokens, sha256(l.ends) AS ends_sha256
+FROM l JOIN a USING (d, node) LEFT JOIN v u ON u.d = l.d - 1 AND u.node = l.parent""",
+    "op13_vector_codes": f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR abs(x) >= 131072)) = 0),
+w AS (SELECT (max(len(e)) + 15) // 16 AS step FROM v),
+p AS MATERIALIZED (SELECT rid, part, list_transform(range(1, step + 1), lambda i: coalesce(e[CAST(part * step + i AS BIGINT)], 0)) AS x FROM v, w, range(16) r(part)),
+b0 AS MATERIALIZED (SELECT part, rid AS entry, x FROM p WHERE rid < 64),
+{_CODED(0)}, {_BOOK(0)}, {_CODED(1)}, {_BOOK(1)}, {_CODED(2)},
+c AS MATERIALIZED (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a2 GROUP BY rid),
+q AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (rid), q""",
 }

@@ -10,13 +10,17 @@ from condenspark.llm.chat_format import format_chats
 from condenspark.llm.common import table
 from condenspark.llm.decontamination import decontaminate
 from condenspark.llm.jaccard_join import jaccard_components
+from condenspark.llm.language_id import held_out as language_held_out
+from condenspark.llm.language_id import identify
 from condenspark.llm.license_scan import scan_licenses
 from condenspark.llm.packing import pack
+from condenspark.llm.prefix_trie import prefix_trie
 from condenspark.llm.quality import classify_quality
 from condenspark.llm.secret_scan import scan_secrets
 from condenspark.llm.sharding import interleave
 from condenspark.llm.topk_search import top_k
 from condenspark.llm.toxicity import held_out, score_toxicity
+from condenspark.llm.vector_codes import compress
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +71,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_license_scan, op4_decontamination, op5_quality, op6_packing, op7_secret_scan, op8_topk_search, op9_jaccard_join, op10_chat_format)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", language_held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), graft=(100, 6))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compress(table(spark, sf_dir, "embeddings"))
+    return found.rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(found.sha256()).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_license_scan, op4_decontamination, op5_quality, op6_packing, op7_secret_scan, op8_topk_search, op9_jaccard_join, op10_chat_format, op11_language_id, op12_prefix_trie, op13_vector_codes)}
