@@ -2,16 +2,19 @@
 
 The ordered stream is cut into blocks. What is tracked at a block's start is the ``bound`` last used keys before it, so each block gives its own
 last used keys (at most bound). These are merged in a tree: groups of blocks, and groups of groups, keep their last ``bound`` keys; from the
-top down each group's start gives its members' starts, and all blocks are then replayed at once.
+top down each group's start gives its members' starts, and all blocks are then replayed at once. Keys stay as they are in Arrow: a null is a
+key like any other, and whole numbers are exact.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def replay(keys: list, tracked: list, bound: int) -> list[bool]:
@@ -34,35 +37,40 @@ def latest(used: DataFrame, bound: int) -> DataFrame:
 
 def starts(last: DataFrame, bound: int, fan: int, levels: int = 2) -> DataFrame:
     """block, key, nth: the keys that are tracked at each block's start, from the least recently used. last: as from latest()."""
-    out = f"block long, key {last.schema['key'].dataType.simpleString()}, nth long"
-
-    def fold(own: pd.DataFrame, start: pd.DataFrame | None = None) -> pd.DataFrame:
-        tracked, parts = OrderedDict.fromkeys([] if start is None else start.sort_values("nth")["key"].tolist()), []
-        for block, used in own.sort_values(["block", "last"]).groupby("block"):
-            parts.append(pd.DataFrame({"block": block, "key": list(tracked), "nth": range(len(tracked))}))
-            for k in used["key"].tolist():
+    out = StructType([StructField("block", LongType()), StructField("key", last.schema["key"].dataType), StructField("nth", LongType())])
+
+    def fold(own: pa.Table, start: pa.Table | None = None) -> pa.Table:
+        tracked = OrderedDict.fromkeys([] if start is None else start.sort_by("nth").column("key").to_pylist())
+        own = own.sort_by([("block", "ascending"), ("last", "ascending")])
+        blocks, keys = own.column("block").to_numpy(), own.column("key").to_pylist()
+        cuts = np.r_[0, np.flatnonzero(np.diff(blocks)) + 1, len(blocks)].tolist() if len(blocks) else [0]
+        found, sizes = [], []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            found += tracked
+            sizes.append(len(tracked))
+            for k in keys[a:b]:
                 tracked[k] = None
                 tracked.move_to_end(k)
             while len(tracked) > bound:
                 tracked.popitem(last=False)
-        return pd.concat([p for p in parts if len(p)] or parts[:1])
+        nth = np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)])
+        return pa.table([pa.array(np.repeat(blocks[cuts[:-1]], sizes), pa.int64()), pa.array(found, own.schema.field("key").type), pa.array(nth, pa.int64())], names=["block", "key", "nth"])
 
     if not levels:
-        return last.withColumn("above", F.col("block") * 0).groupBy("above").applyInPandas(lambda own: fold(own), out)
+        return last.withColumn("above", F.col("block") * 0).groupBy("above").applyInArrow(lambda own: fold(own), out)
     own = last.withColumn("above", F.floor(F.col("block") / fan))
     above = starts(latest(own.select(F.col("above").alias("block"), "key", "last"), bound), bound, fan, levels - 1)
-    return own.groupBy("above").cogroup(above.groupBy("block")).applyInPandas(fold, out)
+    return own.groupBy("above").cogroup(above.groupBy("block")).applyInArrow(fold, out)
 
 
 def novelty(accesses: DataFrame, key: str, order: str, bound: int, block_rows: int = 1 << 16, fan: int | None = None) -> DataFrame:
     """key, order, novel. order is a unique whole number. fan: how many blocks a group has; as a rule about a million keys."""
     rows = accesses.select(F.col(key).alias("key"), F.col(order).alias("at")).withColumn("block", F.floor(F.col("at") / block_rows))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     state = starts(latest(rows.select("block", "key", F.col("at").alias("last")), bound), bound, fan or max(2, min(64, (1 << 20) // bound)))
 
-    def run(own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("at")
-        return pd.DataFrame({"key": own["key"], "at": own["at"], "novel": replay(own["key"].tolist(), start.sort_values("nth")["key"].tolist(), bound)})
+    def run(own: pa.Table, start: pa.Table) -> pa.Table:
+        own = own.sort_by("at").select(["key", "at"])
+        return own.append_column("novel", pa.array(replay(own.column("key").to_pylist(), start.sort_by("nth").column("key").to_pylist(), bound), pa.bool_()))
 
-    out = rows.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(run, f"key {kinds['key']}, at {kinds['at']}, novel boolean")
-    return out.withColumnsRenamed({"key": key, "at": order})
+    out = StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields if f.name != "block"), StructField("novel", BooleanType())])
+    return rows.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(run, out).withColumnsRenamed({"key": key, "at": order})

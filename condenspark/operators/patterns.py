@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condenspark.functions import fingerprint as fp
 from condenspark.functions import normalize, severity
 from condenspark.operators import lru
-from condenspark.operators.scratch import written
+from condenspark.operators.scratch import numbered, written
 from condenspark.plans.config import Config
 
 KEY = ["severity", "template"]
@@ -43,63 +43,77 @@ def with_fingerprints(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("fingerprint", fp.fingerprint(F.col("severity"), F.col("template")))
 
 
-def bounded_nth(keys: DataFrame, order: tuple[str, ...], bound: int, at: int, block_rows: int) -> DataFrame:
-    """order and nth (1 or at) of the events that are the first or the at-th of their pattern since it was last tracked. At most bound
-    patterns are tracked; one that comes back after the least recently used went starts anew. Positions are counted in blocks of events
-    and then carried from block to block, so a common pattern spreads over tasks."""
-    ordered = keys.select(*order, F.xxhash64(*KEY).alias("key")).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = written(ordered.withColumn("id", F.monotonically_increasing_id()), "patterns").withColumn("part", F.shiftright("id", 33))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select(*order, "key", (F.col("before") + F.col("id") % (1 << 33)).alias("at"))
-    found = lru.novelty(rows.select("key", "at"), "key", "at", bound, block_rows).withColumn("block", F.floor(F.col("at") / block_rows))
-    own = Window.partitionBy("key", "block").orderBy("at")
-    found = found.withColumn("started", F.sum(F.col("novel").cast("int")).over(own))
-    found = found.withColumn("own", F.row_number().over(Window.partitionBy("key", "block", "started").orderBy("at")))
-    tails = found.groupBy("key", "block").agg(F.max("started").alias("started"), F.max_by("own", "at").alias("tail"))
-    by_key = Window.partitionBy("key").orderBy("block")
-    tails = tails.withColumn("since", F.sum((F.col("started") > 0).cast("int")).over(by_key))
-    tails = tails.withColumn("total", F.sum("tail").over(Window.partitionBy("key", "since").orderBy("block")))
-    carried = tails.select("key", "block", F.coalesce(F.lag("total").over(by_key), F.lit(0)).alias("carried"))
-    nth = F.col("own") + F.when(F.col("started") > 0, 0).otherwise(F.col("carried"))
-    marked = found.where(F.col("own") <= at).join(carried, ["key", "block"]).select("at", nth.alias("nth")).where(F.col("nth").isin(1, at))
-    return rows.join(marked, "at").select(*order, "nth")
+def keyed(events: DataFrame, order: tuple[str, ...], time: str | None = None) -> DataFrame:
+    """order, severity, pattern (64 bits of severity and template) and us (the time) of all events, written once: what decisions are made
+    from, without the templates."""
+    us = [F.unix_micros(F.col(time).cast("timestamp")).alias("us")] if time else []
+    return written(events.select(*order, "severity", F.xxhash64(*KEY).alias("pattern"), *us), "keys")
+
+
+def tracked(keys: DataFrame, order: tuple[str, ...], bound: int, block_rows: int = 1 << 16) -> DataFrame:
+    """keys with generation: how often the event's pattern has been new up to it. At most bound patterns are tracked; one that comes back after
+    the least recently used went is new again. Up to bound patterns all are of generation 1, and the order doesn't matter. Beyond, novelty is
+    counted in blocks of events and carried from block to block, so a common pattern spreads over tasks."""
+    if keys.select("pattern").distinct().limit(bound + 1).count() <= bound:
+        return keys.withColumn("generation", F.lit(1).cast("long"))
+    rows = numbered(keys, order, "at")
+    found = written(lru.novelty(rows.select("pattern", "at"), "pattern", "at", bound, block_rows), "novelty").withColumn("block", F.floor(F.col("at") / block_rows))
+    by_block = Window.partitionBy("pattern").orderBy("block")
+    carried = found.groupBy("pattern", "block").agg(F.count_if("novel").alias("n")).select("pattern", "block", (F.sum("n").over(by_block) - F.col("n")).alias("before"))
+    own = F.sum(F.col("novel").cast("int")).over(Window.partitionBy("pattern", "block").orderBy("at"))
+    since = found.withColumn("own", own).join(carried, ["pattern", "block"]).select("at", (F.col("own") + F.col("before")).alias("generation"))
+    return written(rows.join(since, "at").drop("at"), "generations")
+
+
+def marks(keys: DataFrame, order: tuple[str, ...], at: int) -> DataFrame:
+    """order and nth of the first and the at-th event of each pattern and generation. Only so many rows of one are ranked."""
+    nth = F.row_number().over(Window.partitionBy("pattern", "generation").orderBy(*order))
+    return keys.withColumn("nth", nth).where(F.col("nth") <= at).where(F.col("nth").isin(1, at)).select(*order, "nth")
+
+
+def _met(events: DataFrame, found: DataFrame, order: tuple[str, ...], columns: list[Column]) -> DataFrame:
+    """events with columns aggregated from the rows of found of the same order; null orders are equal."""
+    told = found.groupBy(*order).agg(*columns).withColumnsRenamed({c: f"__of_{c}" for c in order})
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in order]
+    return events.join(written(told, "decisions"), same, "left").drop(*(f"__of_{c}" for c in order))
 
 
 def decide(events: DataFrame, config: Config, order: tuple[str, ...] = ("source", "event_no"), block_rows: int = 1 << 16) -> DataFrame:
     """decision: anomaly, event (a pattern's first) or repeat, as if all events came at one time. Then a protected pattern alerts once, at
-    the occurrence that reaches every limit, and nothing else does. Only so many rows of a pattern are ranked. Of more patterns than
-    max_patterns the least recently used goes, and is new when it comes back; to know, the patterns are counted here."""
+    the occurrence that reaches every limit, and nothing else does. Of more patterns than max_patterns the least recently used
+    goes, and is new when it comes back.
+
+    Events are read twice: once for their keys, which are written and from which all is decided, and once to meet the decisions."""
     at = max(config.min_bootstrap_events, config.min_window_events, -(-int(config.assumed_per_minute * config.protect_multiplier * config.window_seconds) // 60))
-    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
-    first = events.select(*KEY, *order).withColumn("nth", nth).where(F.col("nth") <= at)
-    marked = written(first.where(F.col("nth").isin(1, at)).select(*order, "nth"), "firsts")
-    if marked.where("nth = 1").limit(config.max_patterns + 1).count() > config.max_patterns:
-        marked = bounded_nth(events, order, config.max_patterns, at, block_rows)
-    spike = F.coalesce(F.col("nth") == at, F.lit(False)) & (severity.rank(F.col("severity")) >= config.protect_rank)
-    out = events.join(marked, list(order), "left").withColumns({"is_spike": spike, "is_new": F.coalesce(F.col("nth") == 1, F.lit(False))}).drop("nth")
+    found = marks(tracked(keyed(events, order), order, config.max_patterns, block_rows), order, at)
+    out = _met(events, found, order, [F.max(F.col("nth") == 1).alias("is_new"), F.max(F.col("nth") == at).alias("is_spike")])
+    spike = F.coalesce("is_spike", F.lit(False)) & (severity.rank(F.col("severity")) >= config.protect_rank)
+    out = out.withColumns({"is_spike": spike, "is_new": F.coalesce("is_new", F.lit(False))})
     return out.withColumn("decision", F.when(F.col("is_spike"), "anomaly").when(F.col("is_new"), "event").otherwise("repeat"))
 
 
 def decide_by_clock(events: DataFrame, config: Config, time: str = "ts", order: tuple[str, ...] = ("source", "event_no"), block_rows: int = 1 << 16) -> DataFrame:
     """The same by the events' own times: anomalies as anomaly.alerts() finds them, with baseline_per_min, current_per_min and bootstrap.
-    New patterns are as in decide(), also those that come back after eviction; an evicted pattern keeps its history of rates here."""
+    New patterns are as in decide(). One that comes back after eviction begins a new history of rates and may alert at once."""
     from condenspark.operators.anomaly import alerts
 
-    found = alerts(events, config, time, order).drop(*KEY)
-    out = decide(events, config, order, block_rows).drop("is_spike", "decision").alias("e")
-    joined = out.join(found.select(*(F.col(c).alias(f"of_{c}") for c in order), "baseline_per_min", "current_per_min", "bootstrap"), [F.col(f"e.{c}").eqNullSafe(F.col(f"of_{c}")) for c in order], "left")
-    joined = joined.drop(*(f"of_{c}" for c in order)).withColumn("is_spike", F.col("current_per_min").isNotNull())
-    return joined.withColumn("decision", F.when(F.col("is_spike"), "anomaly").when(F.col("is_new"), "event").otherwise("repeat"))
+    keys = tracked(keyed(events, order, time), order, config.max_patterns, block_rows)
+    told = ["baseline_per_min", "current_per_min", "bootstrap"]
+    rated = keys.select(*order, "severity", F.xxhash64("pattern", "generation").alias("template"), F.timestamp_micros("us").alias("at"))
+    found = alerts(rated, config, "at", order).select(*order, F.lit(False).alias("is_new"), *told)
+    firsts = marks(keys, order, 1).select(*order, F.lit(True).alias("is_new"), *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in told))
+    out = _met(events, found.union(firsts), order, [F.max(c).alias(c) for c in ("is_new", *told)])
+    out = out.withColumns({"is_spike": F.col("current_per_min").isNotNull(), "is_new": F.coalesce("is_new", F.lit(False))})
+    return out.withColumn("decision", F.when(F.col("is_spike"), "anomaly").when(F.col("is_new"), "event").otherwise("repeat"))
 
 
 def repeat_summaries(decided: DataFrame) -> DataFrame:
     """severity, template, count of the repeats that were not shown one by one; due at the end (source and emit_no null), in the order of
-    the first repeats (seq)."""
-    seq = F.row_number().over(Window.orderBy("first"))
+    the first repeats (seq). They are numbered in ranges, and written for that."""
     found = decided.where("decision = 'repeat'").groupBy(*KEY).agg(F.count("*").alias("count"), F.min(F.struct("source", "event_no")).alias("first"))
-    source = next(f.dataType for f in decided.schema.fields if f.name == "source")
-    return found.select(*KEY, "count", F.lit(None).cast(source).alias("source"), F.lit(None).cast("long").alias("emit_no"), seq.cast("long").alias("seq"))
+    source = decided.schema["source"].dataType
+    placed = numbered(written(found, "summaries"), ("first",), "seq")
+    return placed.select(*KEY, "count", F.lit(None).cast(source).alias("source"), F.lit(None).cast("long").alias("emit_no"), (F.col("seq") + 1).alias("seq"))
 
 
 #: Milliseconds that repeats wait for their summary, by the rank of their level; the last is for errors and above.
@@ -115,7 +129,7 @@ def timed_summaries(decided: DataFrame, time: str = "ts", chunk: int = 1 << 16)
     pattern's repeats then takes the waits that do begin."""
     us = F.unix_micros(F.col(time).cast("timestamp"))
     wait = F.when(severity.rank(F.col("severity")) >= 6, FLUSH_ERROR_MS).otherwise(FLUSH_MS) * 1000
-    rows = decided.select("source", "event_no", *KEY, "decision", us.alias("us"))
+    rows = written(decided.select("source", "event_no", *KEY, "decision", us.alias("us")), "decided")
     # the clock of a source doesn't go back: the running maximum, by chunks of numbers
     rows = rows.withColumn("chunk", F.floor(F.col("event_no") / chunk))
     tops = rows.groupBy("source", "chunk").agg(F.max("us").alias("top"))
@@ -166,12 +180,12 @@ def timed_summaries(decided: DataFrame, time: str = "ts", chunk: int = 1 << 16)
 
 
 def report(decided: DataFrame, config: Config = Config()) -> DataFrame:
-    """One row of counters: logical events, raw lines and bytes, patterns tracked at the end and evicted, warnings, errors and suppression
+    """One row of counters: logical events, raw lines, bytes and lines that were cut, patterns tracked at the end and evicted, warnings, errors and suppression
     percentages. An event that is new and not its pattern's only one follows an eviction."""
     shown = F.col("decision") != "repeat"
     n, rank = F.col("n_lines"), severity.rank(F.col("severity"))
     size = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 1) if "lines" in decided.columns else F.lit(0).cast("long")
-    cut = F.count_if(F.exists("lines", lambda x: F.endswith(x, F.lit(" ...[truncated]")))) if "lines" in decided.columns else F.lit(0).cast("long")
+    cut = F.coalesce(F.sum("truncated"), F.lit(0)).cast("long") if "truncated" in decided.columns else F.lit(0).cast("long")
     total = decided.groupBy(*KEY).agg(
         F.sum(n).cast("long").alias("raw_lines"), F.sum(size).alias("raw_bytes"), F.count_if(shown).alias("displayed_events"), F.count_if(~shown).alias("suppressed_events"),
         F.sum(F.when(shown, n).otherwise(0)).cast("long").alias("displayed_raw_lines"), F.sum(F.when(shown, 0).otherwise(n)).cast("long").alias("suppressed_raw_lines"),

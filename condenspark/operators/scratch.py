@@ -7,7 +7,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _left: list[tuple[SparkSession, str]] = []
 
@@ -27,6 +28,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
+    """rows with their places in an order, from 0, in the column name. The rows are sorted in ranges and written; the ranges' sizes, a number
+    for each task, give their first places."""
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    table = written(ordered.withColumn("__id", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("__id", 33))
+    sizes = table.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = table.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    return table.withColumn(name, F.col("__before") + F.col("__id") % (1 << 33)).drop("__id", "__part", "__before")
+
+
 @atexit.register
 def clear() -> None:
     """What was written goes when the application ends."""

@@ -1,5 +1,7 @@
-"""The whole plan: lines -> events -> templates -> decisions. Each step is a DataFrame; before the caller asks only the patterns' first
-events are found and counted, up to the bound, and the events' order is written if there are more patterns."""
+"""The whole plan: lines -> events -> templates -> decisions.
+
+The lines are read twice, whatever the options: events of several lines are assembled and written, and decided from there; events of one line
+are read once for the keys by which they are decided and once to meet the decisions."""
 
 from __future__ import annotations
 
@@ -7,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from condenspark.operators import multiline, patterns, sinks
+from condenspark.operators.scratch import written
 from condenspark.plans.config import Config
 
 
@@ -18,12 +21,10 @@ def condense(lines: DataFrame, config: Config = Config(), multi_line: bool = Tru
     parsed = patterns.parse(lines)
     timed = [time] if clock == "event" else []
     if multi_line:
-        found = multiline.events(parsed)
-        if timed:
-            found = found.join(lines.select("source", F.col("line_no").alias("event_no"), time), ["source", "event_no"])
-        events = patterns.with_block_templates(found)
+        events = written(patterns.with_block_templates(multiline.events(parsed, keep=tuple(timed))), "events")
     else:
-        one = parsed.select("source", F.col("line_no").alias("event_no"), "severity", F.array("raw").alias("lines"), F.array("content").alias("contents"), "content", F.lit(1).alias("n_lines"), *timed)
+        cut = F.coalesce(F.col("truncated"), F.lit(False)).cast("int") if "truncated" in lines.columns else F.lit(0)
+        one = parsed.select("source", F.col("line_no").alias("event_no"), "severity", F.array("raw").alias("lines"), F.array("content").alias("contents"), "content", F.lit(1).alias("n_lines"), cut.alias("truncated"), *timed)
         events = patterns.with_templates(one).drop("content")
     return patterns.decide_by_clock(events, config, time) if timed else patterns.decide(events, config)
 

@@ -13,7 +13,7 @@ from condenspark.operators import anomaly, lru, multiline, patterns, sinks
 from condenspark.plans import shapes
 from condenspark.plans.condense import condense
 from condenspark.plans.config import Config
-from condenspark.sources.lines import split_column
+from condenspark.sources.lines import row_key, split_column
 
 #: The level that each event type is logged with.
 LEVEL_OF = {"error": "ERROR", "signup": "NOTICE", "purchase": "WARN", "click": "INFO", "view": "DEBUG"}
@@ -39,7 +39,9 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_column(_spread(_table(spark, sf_dir, "documents")), "doc_id", "text")
+    """The documents as logs, one source a row."""
+    keyed = row_key(_table(spark, sf_dir, "documents"), "doc_id").select("row_key", "text")
+    return split_column(_spread(keyed), "row_key", "text")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +175,7 @@ def spikes(spark, sf_dir):
 
 def multiline_blocks(spark, sf_dir):
     found = multiline.events(patterns.parse(document_lines(spark, sf_dir)))
-    return found.select(F.col("source").alias("doc_id"), "event_no", "n_lines")
+    return found.select(F.col("source.doc_id").alias("doc_id"), "event_no", "n_lines")
 
 
 def multiline_condense(spark, sf_dir):

@@ -34,8 +34,15 @@ def stream_lines(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) ->
     return with_cap(text.select(F.col("_metadata.file_path").alias("source"), F.current_timestamp().alias("arrival_ts"), F.col("value").alias("raw")), max_bytes=max_bytes)
 
 
+def row_key(table: DataFrame, key: str, name: str = "row_key") -> DataFrame:
+    """A table read from files, with a column that tells its rows apart even where the key is null or repeats: the key, the file, and the row's
+    place in it."""
+    return table.withColumn(name, F.struct(key, "_metadata.file_path", "_metadata.row_index"))
+
+
 def split_column(table: DataFrame, key: str, text: str, max_bytes: int | None = None) -> DataFrame:
-    """Lines of a text column: source (the key), line_no from 0, raw. They are whole unless a cap is given."""
+    """Lines of a text column: source (the key), line_no from 0, raw. They are whole unless a cap is given. A key must be a row's own, or lines of
+    several rows become one source's: row_key() makes such a key. Rows without text have no lines."""
     lines = table.select(F.col(key).alias("source"), F.posexplode(F.split(text, "\n")).alias("line_no", "raw"))
     return with_cap(lines, max_bytes=max_bytes) if max_bytes else lines.withColumns({"truncated": F.lit(False), "raw": F.regexp_replace("raw", "\r\\z", "")})
 

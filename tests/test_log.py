@@ -14,7 +14,7 @@ from condenspark.plans.condense import condense, output
 from condenspark.plans.config import Config
 from condenspark.plans.correctness import correctness
 from condenspark.sources import scenarios
-from condenspark.sources.lines import clean_line, split_column
+from condenspark.sources.lines import clean_line, split_column, with_cap
 
 LEVELS = [
     ("level=info msg=x", "INFO", "msg=x"), ("##[error]Process", "ERROR", "Process"), ("Connection ERROR=5", "UNKNOWN", "Connection ERROR=5"), ("INFO2 x", "UNKNOWN", "INFO2 x"),
@@ -43,21 +43,110 @@ def test_fingerprints(spark):
     assert [r[0] for r in rows.select(fingerprint.fingerprint(F.col("s"), F.col("t"))).collect()] == ["e1f6ee1870f7d335", "380c682975a463f5"]
 
 
-def test_multiline_equals_the_fold(spark):
-    pool = ["INFO a", "INFO b", "  at x", "\tat y(z)", "", "panic: boom", "goroutine 1 [running]:", "main.run(0x1)", "Traceback (most recent call last):", '  File "a.py", line 3', "ValueError: x", "Caused by: y", "exit status 2", "plain"]
+POOL = ["INFO a", "INFO b", "  at x", "\tat y(z)", "", "panic: boom", "goroutine 1 [running]:", "main.run(0x1)", "Traceback (most recent call last):", '  File "a.py", line 3', "  Traceback (most recent call last):", "ValueError: x", "Caused by: y", "exit status 2", "plain"]
+
+
+@pytest.mark.parametrize(("chunk", "cap"), [(7, 500), (5, 4), (3, 9), (1 << 16, 500)])
+def test_multiline_equals_the_fold(spark, chunk, cap):
+    """Also stretches without a sure start, over many chunks; numbers with gaps and below 0; a null source."""
     rng, rows = random.Random(1), []
-    for s in range(150):
-        rows += [(s, i, rng.choice(pool)) for i in range(rng.randrange(1, 25))]
+    for s in range(120):
+        own = POOL if s % 3 else [x for x in POOL if x not in ("INFO a", "INFO b", "plain")]
+        at = rng.randrange(-20, 20)
+        for _ in range(rng.randrange(1, 60)):
+            rows.append((s if s % 40 else None if s else 0, at, rng.choice(own)))
+            at += 1 if rng.random() < 0.9 else rng.randrange(2, 30)
+    rows = list({(s, n): (s, n, x) for s, n, x in rows}.values())
     rows += [(999, 0, "INFO head")] + [(999, i, "  more") for i in range(1, 1203)]
-    lines = patterns.parse(spark.createDataFrame(rows, "source long, line_no long, raw string"))
-    got = {(r.source, r.line_no): r.event_line == r.line_no for r in multiline.starts(lines, chunk=7).collect()}
-    classed = lines.select("source", "line_no", multiline.line_class(F.col("content")).alias("kind"), multiline.line_mode(F.col("raw"), F.col("content")).alias("opens")).toPandas()
-    want = {}
-    for source, p in classed.sort_values("line_no").groupby("source"):
-        want |= {(source, n): f for n, f in zip(p["line_no"], multiline.flags(p["kind"].tolist(), p["opens"].tolist()), strict=True)}
-    assert got == want
-    sizes = [r.n_lines for r in multiline.events(lines).where("source = 999").orderBy("event_no").collect()]
-    assert sizes == [500, 500, 203] and multiline.events(lines).agg(F.sum("n_lines")).first()[0] == len(rows)
+    lines = patterns.parse(spark.createDataFrame(rows, "source long, line_no long, raw string")).repartition(5)
+    classed = lines.select("source", "line_no", multiline.line_class(F.col("content")).alias("kind"), multiline.line_mode(F.col("raw"), F.col("content")).alias("opens"), "raw", "severity").collect()
+    want, by = [], {}
+    for r in sorted(classed, key=lambda r: r.line_no):
+        by.setdefault(r.source, []).append(r)
+    for source, own in by.items():
+        starts = [i for i, f in enumerate(multiline.flags([r.kind for r in own], [r.opens for r in own], cap)) if f]
+        for i, j in zip(starts, [*starts[1:], len(own)], strict=True):
+            want.append((source, own[i].line_no, own[i].severity, [r.raw for r in own[i:j]], j - i))
+    got = [(r.source, r.event_no, r.severity, r.lines, r.n_lines) for r in multiline.events(lines, chunk, cap).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_stretch_without_a_start_spreads_over_tasks(spark):
+    """Chunks of one source that has no sure start at all."""
+    lines = patterns.parse(spark.range(30_000).select(F.lit("s").alias("source"), F.col("id").alias("line_no"), F.concat(F.lit("  deep "), F.col("id").cast("string")).alias("raw")))
+    found = multiline.events(lines, chunk=1000)
+    assert {(r.n_lines, r["count"]) for r in found.groupBy("n_lines").count().collect()} == {(500, 60)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = found.select(F.spark_partition_id().alias("p"), "event_no").groupBy("p").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) >= 4 and max(r["count"] for r in tasks) <= 30
+
+
+def test_lines_are_scanned_twice(spark):
+    """An accumulator at the scan: whatever the options and however many patterns, lines are read twice."""
+    words = spark.range(400).select(F.lit("s").alias("source"), F.col("id").alias("line_no"), F.timestamp_seconds(F.col("id") + 1_780_000_000).alias("ts"), F.concat(F.lit("[INFO] word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("raw")).collect()
+    rows = spark.createDataFrame(words)
+    for multi_line in (False, True):
+        for config in (Config(), Config(max_patterns=50)):
+            for clock in ("constant",) if config.max_patterns > 50 else ("event",):
+                seen = spark.sparkContext.accumulator(0)
+
+                def scan(batches, seen=seen):
+                    for batch in batches:
+                        seen.add(batch.num_rows)
+                        yield batch
+
+                decided = condense(rows.mapInArrow(scan, rows.schema), config, multi_line=multi_line, clock=clock)
+                assert decided.where("is_new").count() == 400 and seen.value == 800, (multi_line, config.max_patterns, clock, seen.value)
+
+
+def test_null_and_repeated_sources_lose_no_line(spark, tmp_path):
+    rows = [(None, "[INFO] a\n[INFO] b\n[INFO] a"), (1, "[INFO] a\n  more"), (1, "[WARN] c\n[INFO] a"), (1, "[WARN] c\n[INFO] a"), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    from condenspark.plans import queries
+
+    blocks = sorted(((r.doc_id, r.event_no, r.n_lines) for r in queries.multiline_blocks(spark, str(tmp_path)).collect()), key=repr)
+    assert blocks == sorted([(None, 0, 1), (None, 1, 1), (None, 2, 1), (1, 0, 2), (1, 0, 1), (1, 1, 1), (1, 0, 1), (1, 1, 1), (3, 0, 1)], key=repr)
+    r = queries.multiline_condense(spark, str(tmp_path)).first()
+    assert (r.raw_lines, r.displayed_events, r.suppressed_events, r.structural_patterns) == (10, 5, 4, 5)
+    lines = spark.createDataFrame([(None, 0, "[INFO] a"), (None, 1, "[INFO] a"), (None, 2, "[ERROR] b"), ("s", 0, "[INFO] a")], "source string, line_no long, raw string")
+    for multi_line in (False, True):
+        got = sorted(((x.source, x.event_no, x.decision) for x in condense(lines, multi_line=multi_line).collect()), key=repr)
+        assert got == sorted([(None, 0, "event"), (None, 1, "repeat"), (None, 2, "event"), ("s", 0, "repeat")], key=repr)
+
+
+def test_cut_lines_are_counted_where_they_are_cut(spark):
+    lines = with_cap(spark.createDataFrame([("s", 0, "[INFO] " + "x" * 50), ("s", 1, "  " + "y" * 50), ("s", 2, "[INFO] ends in ...[truncated]"), ("s", 3, None)], "source string, line_no long, raw string"), max_bytes=40)
+    for multi_line in (True, False):
+        assert patterns.report(condense(lines, multi_line=multi_line)).first().truncated_lines == 2
+
+
+def test_lru_keys_are_exact(spark):
+    keys = [2**60, 2**60 + 1, None, 2**60, None, 2**60 + 1, 5, None]
+    rows = spark.createDataFrame(list(enumerate(keys)), "at long, k long")
+    for bound, block in ((2, 3), (10, 64)):
+        assert [(r.k, r.novel) for r in lru.novelty(rows, "k", "at", bound, block).orderBy("at").collect()] == list(zip(keys, lru.replay(keys, [], bound), strict=True))
+
+
+def test_rates_begin_anew_after_eviction(spark):
+    """By the events' clock, against a replay of histories in a bounded store."""
+    rng, rows, at = random.Random(8), [], 1_780_000_000.0
+    for i in range(900):
+        at += rng.choice([0.0, 0.05, 0.3, 2.0])
+        rows.append(("s", i, rng.choice([3, 6]), rng.choice("ab") if i % 100 < 70 else rng.choice("abcdefgh"), at))
+    events = spark.createDataFrame(rows, "source string, event_no long, severity byte, template string, at double").withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long")))
+    for bound, block in ((3, 64), (3, 1 << 16), (5, 128), (100, 64)):
+        config, store, want = Config(max_patterns=bound, cooldown=20.0, spike_multiplier=1.3, protect_multiplier=1.1), {}, {}
+        for _, i, level, template, t in rows:
+            new = (level, template) not in store
+            history = store.pop((level, template), None) or History()
+            spike = history.record(int(t * 1e6) / 1e6, level >= 6, config)[0]
+            store[level, template] = history
+            if len(store) > bound:
+                store.pop(next(iter(store)))
+            want[i] = "anomaly" if spike else "event" if new else "repeat"
+        got = {r.event_no: r.decision for r in patterns.decide_by_clock(events, config, block_rows=block).collect()}
+        assert got == want and {"anomaly", "event", "repeat"} == set(want.values())
 
 
 def test_anomalies():
