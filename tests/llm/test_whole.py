@@ -177,7 +177,7 @@ def test_toxicity_on_held_out_labels(spark):
     assert len(caught) >= 5 and np.mean(caught) >= 0.9 and np.mean(clean) >= 0.95
     text = "He said \"" + "calm words " * 40 + "idiot\". You idiot\n" + "x" * 60
     trie = toxicity.FuzzyTrie([("idiot", False)], most=3)
-    assert toxicity.features(text, trie)[2] == pytest.approx(np.log1p(1)) and trie.match("x" * 200) is None and trie.match("idoit") is not None
+    assert toxicity.features(text, trie)[2] == pytest.approx(np.log1p(1)) and trie.match("x" * 200) is None and trie.match("idit") is not None and trie.match("idoit") is None  # five letters allow one edit, and a swap is two
     assert ("y" * 60, False) in toxicity.terms_of("y" * 60)
 
 
