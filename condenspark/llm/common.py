@@ -32,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or if df has such a column, a longer one that it hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read back, so a lost executor costs a re-read and not a re-run."""
     return Scratch(df.sparkSession).keep(df, label)

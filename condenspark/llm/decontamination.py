@@ -4,6 +4,8 @@ A window is ``window`` consecutive words of a benchmark item (a shorter item is
 window is hit. Items are cut into blocks of half a window; whatever 13 consecutive words of an item occur, one of its blocks occurs whole.
 The blocks are the patterns of one automaton, so it grows with the text of the benchmark and not with its windows. A document is
 normalised and scanned once; each block that is found is extended word by word along its item, and a stretch as long as a window is a hit.
+In an item that repeats itself (a block occurs more than OFTEN times) the windows around a found block are looked up among the item's
+windows instead, so that a text of one phrase over and over costs no more than any other.
 Word numbers are mapped back to character offsets of the original.
 
 Words are runs of digits, letters and non-ASCII characters; A-Z count as a-z. Null text and text of separators have no words and
@@ -25,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from condenspark.llm.common import ALNUM, bound_batches, give_back, materialise
+from condenspark.llm.common import ALNUM, bound_batches, give_back, materialise, unused
 
+OFTEN = 4
 _SPAN = StructType([StructField(k, LongType()) for k in ("first", "last", "begin", "end")])
 FOUND = StructType([StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("spans", ArrayType(_SPAN)), StructField("items", ArrayType(StringType())), StructField("contaminated", BooleanType())])
 ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "last", "begin", "end")]))), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())])
@@ -44,12 +47,19 @@ class Matcher:
 
         self.window, self.half, self.automaton = window, (window + 1) // 2, ahocorasick.Automaton()
         self.items: list[tuple[str | None, list[bytes]]] = []
+        self.windows: dict[bytes, list[str | None]] = {}  # of items that repeat themselves
         at: dict[str, list[tuple[int, int]]] = {}
         for name, text in items:
             words = normal_words(text)
             n = self.half if len(words) >= window else len(words)
+            own: dict[str, list[int]] = {}
             for p in range(0, len(words) - n + 1 if n else 0, max(1, n)):
-                at.setdefault(f" {b' '.join(words[p : p + n]).decode('latin-1')} ", []).append((len(self.items), p))  # a byte is a character
+                own.setdefault(f" {b' '.join(words[p : p + n]).decode('latin-1')} ", []).append(p)  # a byte is a character
+            repeats = max(map(len, own.values()), default=0) > OFTEN
+            for block, places in own.items():
+                at.setdefault(block, []).extend([(-1, 0)] if repeats else [(len(self.items), p) for p in places])
+            for w in {b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)} if repeats else ():
+                self.windows.setdefault(w, []).append(name)
             self.items.append((name, words))
         for block, places in at.items():
             self.automaton.add_word(block, (block.count(" ") - 1, places))
@@ -65,10 +75,17 @@ class Matcher:
         if not hits:
             return [], []
         ends = np.searchsorted(np.flatnonzero(np.frombuffer(hay, np.uint8) == 32), [e for e, _ in hits]) - 1
-        found, items, reached = [], set(), {}
+        found, items, reached, upto = [], set(), {}, -1
         for last, (_, (n, places)) in zip(ends.tolist(), hits, strict=True):
             first = last - n + 1
             for item, p in places:
+                if item < 0:
+                    for b in range(max(0, upto + 1, last - self.window + 1), min(first, len(words) - self.window) + 1):
+                        upto = b
+                        if own := self.windows.get(b" ".join(words[b : b + self.window])):
+                            found.append((b, b + self.window - 1))
+                            items.update(name for name in own if name is not None)
+                    continue
                 name, own = self.items[item]
                 line = item, first - p  # where the item's first word would be: its stretches there are disjoint
                 if reached.get(line, -1) >= last:
@@ -136,8 +153,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     first, second = next(found := iter(found)), next(found, None)
     if second is None:
         return _scan(docs, first, window, share, text)
-    keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
-    short = keyed.select("__row", F.col(text).alias("text"))
+    row = unused(docs, "__row")
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    short = keyed.select(F.col(row).alias("__row"), F.col(text).alias("text"))
     hits = None
     for items in (first, second, *found):
         own = _scan(short, items, window, share, "text").where("contamination.n_words > 0" if hits is None else "contamination.n_hit > 0")
@@ -150,4 +168,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     merged = merged.withColumn("spans", spans).withColumn("n_hit", F.expr("aggregate(spans, 0L, (k, s) -> k + s.last - s.first + 1)"))
     merged = merged.select("__row", F.struct("n_words", "n_hit", "spans", "items", F.expr(f"n_hit > 0 and n_hit * {share} >= n_words").alias("contaminated")).alias("contamination"))
     none = F.struct(F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr(start).alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(False).alias("contaminated"))
-    return keyed.join(merged, "__row", "left").withColumn("contamination", F.coalesce("contamination", none)).drop("__row")
+    return keyed.join(merged.withColumnRenamed("__row", row), row, "left").withColumn("contamination", F.coalesce("contamination", none)).drop(row)

@@ -250,11 +250,12 @@ class Scanner:
                         pairs = sorted(common(window[b:e], template, 0, e - b, 0, len(template)))
                     first, end = lo + b + pairs[0][0], b + pairs[-1][0] + 1
                     found.append((name, len(pairs) / len(template), len(pairs), spans[first][0], spans[lo + end - 1][1]))
-        kept: list[tuple[str, float, int, int, int]] = []
+        kept: list[tuple[int, tuple[str, float, int, int, int]]] = []  # by their places, which are disjoint
         for f in sorted(found, key=lambda f: (-f[2], -f[1], f[3], f[0])):
-            if all(f[4] <= k[3] or f[3] >= k[4] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f[3])
+            i = bisect_left(kept, (f[3],))
+            if (not i or kept[i - 1][1][4] <= f[3]) and (i == len(kept) or kept[i][0] >= f[4]):
+                kept.insert(i, (f[3], f))
+        return [f for _, f in kept]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.85) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from condenspark.llm.common import bound_batches, give_back
 
+ROW_BYTES = 16
 PIECES = "doc_id {id}, start long, length long, doc_tokens long, ids binary, salt long"
 PACKED = "doc_id {id}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
@@ -191,12 +192,12 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return where, offset, n
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, group_docs: int = 1024, group_bytes: int = 4 << 20, cache_bytes: int = 48 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, group_bytes: int = 1 << 20, cache_bytes: int = 48 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian 32-bit), sequence_id, offset.
-    A group has about group_docs documents and group_bytes of text at most, so its ids fit in a task: a token is at least one byte."""
+    A group has about group_bytes of text (a document counts ROW_BYTES more), so its ids fit in a task: a token is at least one byte."""
     bound_batches(docs.sparkSession)
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    n_groups = max(1, -(-size["n"] // group_docs) + (size["bytes"] or 0) // group_bytes)
+    n_groups = max(1, ((size["bytes"] or 0) + ROW_BYTES * size["n"]) // group_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     group = F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids"), "salt"), F.lit(n_groups))
 

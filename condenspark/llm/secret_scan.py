@@ -2,7 +2,8 @@
 
 Candidates are runs of 12 or more characters of keys and hashes that aren't plain words, and, at any length and of any characters, the
 values that follow a secret word and = or : or stand in a URL's credentials. The forest reads each candidate's length,
-character classes and transitions, dictionary coverage, the path (or source) and the neighbouring words. It is trained from labelled
+character classes and transitions, dictionary coverage, the path (or source) and the neighbouring words (in the 60 characters before it and
+eight behind). A value without quotes ends at a blank or where the next secret word with a value begins. The forest is trained from labelled
 findings: pass your own, or use ``labelled_findings``, which writes them by rule from a seed.
 
 Texts are scanned whole; a longer run is one candidate. Candidates may overlap: a value and a run inside it are both judged. Null and
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,8 +41,9 @@ DICTIONARY = frozenset(
 )
 TRAINED_ON = 3000
 _WORDS = "|".join(sorted(SECRET_WORDS - {"api", "aws"}, key=len, reverse=True))
-#: A secret word (also the last part of a longer name) and its value, in quotes or up to a blank; and the credentials of a URL.
-ASSIGNED = re.compile(rf"(?:(?<![A-Za-z])(?i:{_WORDS})|(?<=[a-z])(?:Key|Token|Secret|Password|Passwd|Passphrase|Pwd))[\"'`\])]{{0,2}}[ \t]{{0,8}}(?::=|=>|==?|:)[ \t]{{0,8}}(?:(?i:bearer|basic)[ \t]+)?(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|[\"'`]*([^\s\"'`]\S*))")
+#: A secret word (also the last part of a longer name) and its value in quotes, or the first character of one without; and a URL's credentials.
+ASSIGNED = re.compile(rf"(?:(?<![A-Za-z])(?i:{_WORDS})|(?<=[a-z])(?:Key|Token|Secret|Password|Passwd|Passphrase|Pwd))[\"'`\])]{{0,2}}[ \t]{{0,8}}(?::=|=>|==?|:)[ \t]{{0,8}}(?:(?i:bearer|basic)[ \t]+)?(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|[\"'`]*([^\s\"'`]))")
+BLANK = re.compile(r"\s")
 IN_URL = re.compile(r"://[^\s:/@\"'<>]*:([^\s/\"'<>]+)@")
 PASS_WORDS = frozenset("passphrase passwd password pwd secret".split())
 #: What stands where a secret would.
@@ -97,14 +100,19 @@ def candidates(text: str | None, path: str | None) -> list[tuple[int, int, list[
         if s.isalpha() and (s.islower() or s[1:].islower() or (s.isupper() and len(s) < 20)):
             continue  # a plain word
         spans.add(m.span())
-    at = 0
-    while m := ASSIGNED.search(text, at):
+    at, m, blanks = 0, ASSIGNED.search(text), None
+    while m:
         begin, end = m.span(m.lastindex)
-        at = begin  # what stands in a value may be a secret word with its own value
-        if m.lastindex == 4:
+        bare, at = m.lastindex == 4, begin  # what stands in a value may be a secret word with its own value
+        m = ASSIGNED.search(text, at)
+        if bare:  # up to a blank, or to the next such word
+            if blanks is None:
+                blanks = [b.start() for b in BLANK.finditer(text)]
+            k = bisect_left(blanks, begin)
+            end = min(blanks[k] if k < len(blanks) else len(text), m.start() if m else len(text))
             if more := re.search(r"&(?=\w+=)|[\"'`](?=[,;)\]}>]|$)", text[begin:end]):
                 end = begin + more.start()
-            end = begin + len(text[begin:end].rstrip(".,;)]}>")) or end
+            end = begin + (len(text[begin:end].rstrip(".,;)]}>")) or end - begin)
         if end > begin:
             spans.add((begin, end))
     spans.update(m.span(1) for m in IN_URL.finditer(text))
@@ -268,8 +276,9 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5
                                 spans[-1][1] = max(spans[-1][1], end)
                             else:
                                 spans.append([begin, end])
-                    for begin, end in reversed(spans):
-                        texts[row] = texts[row][:begin] + mark + texts[row][end:]
+                    if spans:
+                        ends = [0, *(end for _, end in spans)]
+                        texts[row] = mark.join(texts[row][a:b] for a, b in zip(ends, [*(begin for begin, _ in spans), len(texts[row])], strict=True))
                 k = part.schema.get_field_index("text")
                 yield part.set_column(k, part.schema.field(k), pa.array(texts, part.schema.field(k).type))
             give_back()

@@ -9,7 +9,8 @@ A query first searches the range it lies in; its k-th score there is a floor. Th
 the floors before any vector moves, and a query goes only to ranges whose bound reaches its floor. Queries go in chunks: a task joins one
 chunk with one range, so neither is ever whole in a task, and only k rows a query leave it.
 
-Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id. Vectors of unlike length are
+Vectors that are null or hold null, non-finite or huge components (HUGE and more, whose scores could overflow) take no part, nor do rows with
+a null id. Vectors of unlike length are
 filled up with zeros. Every row counts: repeated rows are candidates each, and each row whose id is divisible by ``every`` is a query of
 its own, for which all other rows are candidates, also those of its own id. Ties go to the smaller id. Extra columns are not read.
 """
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 from condenspark.llm.common import Scratch
 
 NONE = -(2**62)
+HUGE = 1 << 19  # components from here on take no part: scores of up to 512 of them fit in 64 bits
 
 
 def usable(vector: str) -> Column:
-    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < HUGE))
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -6,8 +6,8 @@ lazily, state by state, so most words end in the dead state after a few letters.
 quotation marks or after a word of reporting it counts less, beside direct address more. A logistic model over the summed context
 scores gives the document's score.
 
-The model learns from about ``max_rows`` labelled documents at most, chosen by hash of doc_id; words of four letters or more can become
-terms, however many or long. What a task works out about words is kept within a bound and forgotten after it. Without labelled rows of both kinds, the seed list and default weights are
+The model learns from about ``max_rows`` labelled documents at most, chosen by hash of doc_id; words of two letters or more can become
+terms, and stems of four to seven, however many or long. What a task works out about words is kept within a bound and forgotten after it. Without labelled rows of both kinds, the seed list and default weights are
 used. Null and empty texts have no match and get the score of such texts. Every row gets a row; repeated rows alike. Only the text is read; a column
 named toxicity or toxic is replaced.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -160,10 +161,8 @@ def features(text: str | None, trie: FuzzyTrie) -> tuple[float, float, float, fl
         near = {x for _, x in spans[max(0, i - WINDOW) : i + WINDOW + 1]}
         inside = False
         if marks:
-            line = lines[int(np.searchsorted(lines, at)) - 1]
-            before = int(np.searchsorted(marks, at))
-            end = lower.find("\n", at)
-            inside = (before - int(np.searchsorted(marks, line))) % 2 == 1 and before < len(marks) and (end < 0 or marks[before] < end)
+            row, before = bisect_left(lines, at), bisect_left(marks, at)
+            inside = (before - bisect_left(marks, lines[row - 1])) % 2 == 1 and before < len(marks) and (row == len(lines) or marks[before] < lines[row])
         report = bool(REPORTING & {x for _, x in spans[max(0, i - WINDOW) : i]})
         score = (0.3 if inside else 1.0) * (0.6 if report else 1.0) * (1.25 if ADDRESS & near else 1.0)
         quoted += inside or report
@@ -175,7 +174,7 @@ def features(text: str | None, trie: FuzzyTrie) -> tuple[float, float, float, fl
 
 
 def terms_of(text: str | None) -> set[tuple[str, bool]]:
-    words = {w for w in WORD.findall((text or "").lower()) if not w.isdigit() and len(w) >= 4}
+    words = {w for w in WORD.findall((text or "").lower()) if not w.isdigit() and len(w) >= 2}
     return {(w, False) for w in words} | {(w[:k], True) for w in words for k in range(4, min(8, len(w)))}
 
 

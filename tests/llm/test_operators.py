@@ -75,7 +75,7 @@ def test_packing(spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = [None, "", "It's a <|endoftext|> été, straße!", "word " * 9000] + ["the small text number %d" % i for i in range(60)]
-    rows = packing.pack(docs(spark, texts), path, window=256, group_docs=16).collect()
+    rows = packing.pack(docs(spark, texts), path, window=256, group_bytes=4000).collect()
     by = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append(r)
