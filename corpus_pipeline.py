@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condenspark.llm.common import materialise, table
+from condenspark.llm.common import materialise, table, unused
 from condenspark.llm.decontamination import decontaminate
 from condenspark.llm.jaccard_join import jaccard_components
 from condenspark.llm.packing import pack
@@ -31,12 +31,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
         found = jaccard_components(docs, width=5, percent=80)
         return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
-    found = jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text"), width=5, percent=80)
-    rows = keyed.select("__row", F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), F.substring("text", 1, 256).alias("__head"))
-    least = F.struct(F.col("__id").isNull(), "__id", "__head", "__hash", "__row")
-    kept = found.select(F.col("doc_id").alias("__row"), "component_id").join(rows, "__row").groupBy("component_id").agg(F.min_by("__row", least).alias("__row"))
-    return keyed.join(kept, "__row", "left_semi").select(*docs.columns)
+    row = unused(docs, "__row")
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = jaccard_components(keyed.select(F.col(row).alias("doc_id"), "text"), width=5, percent=80)
+    rows = keyed.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), "text")
+    least = F.struct(F.col("id").isNull(), "id", "text", "row")
+    kept = found.select(F.col("doc_id").alias("row"), "component_id").join(rows, "row").groupBy("component_id").agg(F.min_by("row", least).alias(row))
+    return keyed.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
