@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 _left: list[tuple[SparkSession, str]] = []
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df from a Parquet table in spark.checkpoint.dir. A lost executor costs a re-read. Only a local session may lack that folder."""
-    spark = df.sparkSession
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in spark.checkpoint.dir, which goes when the application ends. Only a local session may lack that folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,8 +23,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     _left.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df from a Parquet table in the shared folder. A lost executor costs a re-read."""
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(rows: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:

@@ -68,6 +68,8 @@ SELECT k AS user_id, count(*) AS accesses, count(*) FILTER (p IS NULL OR others
     "lineitem_patterns": "SELECT l_returnflag AS severity, l_linestatus AS template, count(*) AS total_count, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY ALL",
 }
 _LINES = "l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, regexp_replace(string_split(text, chr(10))[i], '\\r$', '') AS raw FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+ORACLES["bounded_lines"] = f"""WITH {_LINES}, k AS (SELECT raw, octet_length(encode(raw)) > 48 AS truncated, list_max(list_filter(range(0, 49), lambda k: octet_length(encode(substr(raw, 1, CAST(k AS BIGINT)))) <= 48)) AS k FROM l WHERE raw IS NOT NULL)
+SELECT CASE WHEN truncated THEN substr(raw, 1, CAST(k AS BIGINT)) || ' ...[truncated]' ELSE raw END AS raw, truncated, count(*) AS n FROM k GROUP BY ALL"""
 ORACLES["norm_documents"] = ORACLES["norm_documents"].replace("{LINES}", _LINES)
 ORACLES |= {f"norm_{name}": f"WITH l AS (SELECT event_id, {shapes.SHAPED} AS raw FROM events) SELECT event_id, regexp_replace(raw, '{pattern}', '{mark}', 'g') AS line FROM l WHERE regexp_matches(raw, '{pattern}')" for name, pattern, mark in CLASSES}
 _FP = "p AS (SELECT DISTINCT severity, level, template, printf('%02x', severity) || '00' || lower(hex(encode(template))) AS x FROM e), i AS (SELECT *, lower(lpad(hex(CAST({fnv} AS UBIGINT)), 16, '0')) AS fingerprint FROM p)".replace("{fnv}", _FNV)

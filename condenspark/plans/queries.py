@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from condenspark.functions import fingerprint as fp
 from condenspark.functions import normalize, severity
 from condenspark.operators import anomaly, lru, multiline, patterns, sinks
+from condenspark.operators.scratch import place
 from condenspark.plans import shapes
 from condenspark.plans.condense import condense
 from condenspark.plans.config import Config
+from condenspark.sources import bounded
 from condenspark.sources.lines import row_key, split_column
 
 #: The level that each event type is logged with.
@@ -173,6 +175,14 @@ def spikes(spark, sf_dir):
     return found.select("event_no", "template", F.round("baseline_per_min", 6).alias("baseline_per_min"), F.round("current_per_min", 6).alias("current_per_min"), "bootstrap")
 
 
+def bounded_lines(spark, sf_dir):
+    """The documents as text files, read with a small cap, in small ranges."""
+    path = place(spark, "text")
+    _spread(_table(spark, sf_dir, "documents")).where("text is not null").select("text").write.text(path)
+    found = bounded.bounded_lines(spark, path, max_bytes=48, range_bytes=1 << 20)
+    return found.groupBy("raw", "truncated").agg(F.count("*").alias("n"))
+
+
 def multiline_blocks(spark, sf_dir):
     found = multiline.events(patterns.parse(document_lines(spark, sf_dir)))
     return found.select(F.col("source.doc_id").alias("doc_id"), "event_no", "n_lines")
@@ -220,7 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         dominant_shapes, severity_detect, prefix_strip, norm_documents, template_full, template_documents, fingerprints, pattern_counts, pattern_example, novelty, decisions_constant_clock,
-        repeat_summaries, suppression_report, ndjson_records, text_output, decisions_event_clock, timed_repeat_summaries, text_output_event_clock, stats, bucket_counts, rolling_rate, ewma_baseline, spikes, multiline_blocks, multiline_condense, conversation_novelty,
+        repeat_summaries, suppression_report, ndjson_records, text_output, decisions_event_clock, timed_repeat_summaries, text_output_event_clock, stats, bucket_counts, rolling_rate, ewma_baseline, spikes, bounded_lines, multiline_blocks, multiline_condense, conversation_novelty,
         lru_novelty, retention, order_patterns, lineitem_patterns,
     )
 } | {f"norm_{name}": _norm(name) for name, _, _ in normalize.CLASSES}
