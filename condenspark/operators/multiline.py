@@ -194,12 +194,12 @@ def _cuts(group: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)] if len(group) else np.zeros(1, np.int64)
 
 
-def events(lines: DataFrame, chunk: int = 1 << 16, cap: int = MAX_LINES, keep: tuple[str, ...] = ()) -> DataFrame:
+def events(lines: DataFrame, chunk: int = 1 << 16, cap: int = MAX_LINES, keep: tuple[str, ...] = (), last: tuple[str, ...] = ()) -> DataFrame:
     """source, event_no (its first line's line_no), severity (of the first line), lines, contents, n_lines, truncated (how many of its lines were
-    cut), and the columns ``keep`` of the first line. lines: source, line_no (from any number on), raw, content, severity, and truncated or not."""
+    cut), the columns ``keep`` of the first line, and those of ``last`` of the last line, as last_<name>. lines: source, line_no (from any number on), raw, content, severity, and truncated or not."""
     carry = written(carried(chunk_effects(lines, chunk, cap), chunk, cap), "carry")
     rows = lines if "truncated" in lines.columns else lines.withColumn("truncated", F.lit(False))
-    rows = rows.select("source", "line_no", "raw", "content", "severity", "truncated", *keep, line_code(F.col("raw"), F.col("content")).alias("code"), F.floor(F.col("line_no") / chunk).alias("chunk"))
+    rows = rows.select("source", "line_no", "raw", "content", "severity", "truncated", *dict.fromkeys([*keep, *last]), line_code(F.col("raw"), F.col("content")).alias("code"), F.floor(F.col("line_no") / chunk).alias("chunk"))
     carry = carry.select(F.col("source").alias("of"), F.col("chunk").alias("in_chunk"), "until", "home")
     rows = rows.join(carry, F.col("source").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("in_chunk")), "left")
     inside = F.col("home").isNotNull() & (F.col("until").isNull() | (F.col("line_no") < F.col("until")))
@@ -227,9 +227,11 @@ def events(lines: DataFrame, chunk: int = 1 << 16, cap: int = MAX_LINES, keep: t
         lists = [pa.ListArray.from_arrays(offsets, _one(whole.column(c))) for c in ("raw", "content")]
         cut = np.add.reduceat(np.append(_one(whole.column("truncated")).fill_null(False).to_numpy(zero_copy_only=False), False).astype(np.int32), (cuts - cuts[0])[:-1]) if len(cuts) > 1 else np.zeros(0, np.int32)
         first = [_one(heads.column(c)) for c in ("source", "line_no", "severity", *keep)]
-        return pa.RecordBatch.from_arrays([*first[:3], *lists, pa.array(np.diff(cuts), pa.int32()), pa.array(cut, pa.int32()), *first[3:]], names=[f.name for f in out])
+        tails = rows.take(cuts[1:] - 1) if last else heads
+        ends = [_one(tails.column(c)) for c in last]
+        return pa.RecordBatch.from_arrays([*first[:3], *lists, pa.array(np.diff(cuts), pa.int32()), pa.array(cut, pa.int32()), *first[3:], *ends], names=[f.name for f in out])
 
     text = ArrayType(kinds["raw"])
     out = [StructField("source", kinds["source"]), StructField("event_no", kinds["line_no"]), StructField("severity", kinds["severity"]), StructField("lines", text), StructField("contents", text)]
-    out += [StructField("n_lines", IntegerType()), StructField("truncated", IntegerType()), *(StructField(c, kinds[c]) for c in keep)]
+    out += [StructField("n_lines", IntegerType()), StructField("truncated", IntegerType()), *(StructField(c, kinds[c]) for c in keep), *(StructField(f"last_{c}", kinds[c]) for c in last)]
     return rows.mapInArrow(run, StructType(out))

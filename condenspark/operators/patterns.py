@@ -43,21 +43,22 @@ def with_fingerprints(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("fingerprint", fp.fingerprint(F.col("severity"), F.col("template")))
 
 
-def keyed(events: DataFrame, order: tuple[str, ...], time: str | None = None) -> DataFrame:
-    """order, severity, pattern (64 bits of severity and template) and us (the time) of all events, written once: what decisions are made
-    from, without the templates."""
+def keyed(events: DataFrame, order: tuple[str, ...], time: str | None = None, by_source: bool = False) -> DataFrame:
+    """order, severity, store, pattern (64 bits of severity and template) and us (the time) of all events, written once: what decisions are made
+    from, without the templates. All events share one store of patterns, or each source has its own."""
     us = [F.unix_micros(F.col(time).cast("timestamp")).alias("us")] if time else []
-    return written(events.select(*order, "severity", F.xxhash64(*KEY).alias("pattern"), *us), "keys")
+    store = F.xxhash64("source") if by_source else F.lit(0).cast("long")
+    return written(events.select(*order, "severity", store.alias("store"), F.xxhash64(*KEY, *(["source"] if by_source else [])).alias("pattern"), *us), "keys")
 
 
 def tracked(keys: DataFrame, order: tuple[str, ...], bound: int, block_rows: int = 1 << 16) -> DataFrame:
-    """keys with generation: how often the event's pattern has been new up to it. At most bound patterns are tracked; one that comes back after
-    the least recently used went is new again. Up to bound patterns all are of generation 1, and the order doesn't matter. Beyond, novelty is
-    counted in blocks of events and carried from block to block, so a common pattern spreads over tasks."""
-    if keys.select("pattern").distinct().limit(bound + 1).count() <= bound:
+    """keys with generation: how often the event's pattern has been new up to it. A store tracks at most bound patterns; one that comes back after
+    the least recently used went is new again. If no store has more than bound patterns all are of generation 1, and the order doesn't matter.
+    Else novelty is counted in blocks of events and carried from block to block, so a common pattern spreads over tasks."""
+    if not keys.select("store", "pattern").distinct().groupBy("store").count().where(F.col("count") > bound).limit(1).count():
         return keys.withColumn("generation", F.lit(1).cast("long"))
     rows = numbered(keys, order, "at")
-    found = written(lru.novelty(rows.select("pattern", "at"), "pattern", "at", bound, block_rows), "novelty").withColumn("block", F.floor(F.col("at") / block_rows))
+    found = written(lru.novelty(rows.select("store", "pattern", "at"), "pattern", "at", bound, block_rows, group="store"), "novelty").withColumn("block", F.floor(F.col("at") / block_rows))
     by_block = Window.partitionBy("pattern").orderBy("block")
     carried = found.groupBy("pattern", "block").agg(F.count_if("novel").alias("n")).select("pattern", "block", (F.sum("n").over(by_block) - F.col("n")).alias("before"))
     own = F.sum(F.col("novel").cast("int")).over(Window.partitionBy("pattern", "block").orderBy("at"))
@@ -78,26 +79,26 @@ def _met(events: DataFrame, found: DataFrame, order: tuple[str, ...], columns: l
     return events.join(written(told, "decisions"), same, "left").drop(*(f"__of_{c}" for c in order))
 
 
-def decide(events: DataFrame, config: Config, order: tuple[str, ...] = ("source", "event_no"), block_rows: int = 1 << 16) -> DataFrame:
+def decide(events: DataFrame, config: Config, order: tuple[str, ...] = ("source", "event_no"), block_rows: int = 1 << 16, by_source: bool = False) -> DataFrame:
     """decision: anomaly, event (a pattern's first) or repeat, as if all events came at one time. Then a protected pattern alerts once, at
     the occurrence that reaches every limit, and nothing else does. Of more patterns than max_patterns the least recently used
-    goes, and is new when it comes back.
+    goes, and is new when it comes back. by_source: each source for itself, all at once.
 
     Events are read twice: once for their keys, which are written and from which all is decided, and once to meet the decisions."""
     at = max(config.min_bootstrap_events, config.min_window_events, -(-int(config.assumed_per_minute * config.protect_multiplier * config.window_seconds) // 60))
-    found = marks(tracked(keyed(events, order), order, config.max_patterns, block_rows), order, at)
+    found = marks(tracked(keyed(events, order, by_source=by_source), order, config.max_patterns, block_rows), order, at)
     out = _met(events, found, order, [F.max(F.col("nth") == 1).alias("is_new"), F.max(F.col("nth") == at).alias("is_spike")])
     spike = F.coalesce("is_spike", F.lit(False)) & (severity.rank(F.col("severity")) >= config.protect_rank)
     out = out.withColumns({"is_spike": spike, "is_new": F.coalesce("is_new", F.lit(False))})
     return out.withColumn("decision", F.when(F.col("is_spike"), "anomaly").when(F.col("is_new"), "event").otherwise("repeat"))
 
 
-def decide_by_clock(events: DataFrame, config: Config, time: str = "ts", order: tuple[str, ...] = ("source", "event_no"), block_rows: int = 1 << 16) -> DataFrame:
+def decide_by_clock(events: DataFrame, config: Config, time: str = "ts", order: tuple[str, ...] = ("source", "event_no"), block_rows: int = 1 << 16, by_source: bool = False) -> DataFrame:
     """The same by the events' own times: anomalies as anomaly.alerts() finds them, with baseline_per_min, current_per_min and bootstrap.
     New patterns are as in decide(). One that comes back after eviction begins a new history of rates and may alert at once."""
     from condenspark.operators.anomaly import alerts
 
-    keys = tracked(keyed(events, order, time), order, config.max_patterns, block_rows)
+    keys = tracked(keyed(events, order, time, by_source), order, config.max_patterns, block_rows)
     told = ["baseline_per_min", "current_per_min", "bootstrap"]
     rated = keys.select(*order, "severity", F.xxhash64("pattern", "generation").alias("template"), F.timestamp_micros("us").alias("at"))
     found = alerts(rated, config, "at", order).select(*order, F.lit(False).alias("is_new"), *told)
@@ -179,22 +180,22 @@ def timed_summaries(decided: DataFrame, time: str = "ts", chunk: int = 1 << 16)
     return waits.select(*KEY, "count", "source", "emit_no", shifted.cast("long").alias("seq"))
 
 
-def report(decided: DataFrame, config: Config = Config()) -> DataFrame:
-    """One row of counters: logical events, raw lines, bytes and lines that were cut, patterns tracked at the end and evicted, warnings, errors and suppression
+def report(decided: DataFrame, config: Config = Config(), by: tuple[str, ...] = ()) -> DataFrame:
+    """One row of counters, or one for each value of the columns ``by``: logical events, raw lines, bytes and lines that were cut, patterns tracked at the end and evicted, warnings, errors and suppression
     percentages. An event that is new and not its pattern's only one follows an eviction."""
     shown = F.col("decision") != "repeat"
     n, rank = F.col("n_lines"), severity.rank(F.col("severity"))
     size = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 1) if "lines" in decided.columns else F.lit(0).cast("long")
     cut = F.coalesce(F.sum("truncated"), F.lit(0)).cast("long") if "truncated" in decided.columns else F.lit(0).cast("long")
-    total = decided.groupBy(*KEY).agg(
+    total = decided.groupBy(*by, *KEY).agg(
         F.sum(n).cast("long").alias("raw_lines"), F.sum(size).alias("raw_bytes"), F.count_if(shown).alias("displayed_events"), F.count_if(~shown).alias("suppressed_events"),
         F.sum(F.when(shown, n).otherwise(0)).cast("long").alias("displayed_raw_lines"), F.sum(F.when(shown, 0).otherwise(n)).cast("long").alias("suppressed_raw_lines"),
         F.count_if(F.col("severity") == 5).alias("warning_events"), F.count_if(rank >= 6).alias("error_events"), F.count_if(F.col("decision") == "anomaly").alias("anomaly_events"),
         F.count_if("is_new").alias("generations"), cut.alias("truncated_lines"),
     )
-    names = [c for c in total.columns if c not in (*KEY, "generations")]
+    names = [c for c in total.columns if c not in (*by, *KEY, "generations")]
     tracked = F.least(F.count("*"), F.lit(config.max_patterns).cast("long"))
-    one = total.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names), tracked.alias("structural_patterns"), (F.coalesce(F.sum("generations"), F.lit(0)) - tracked).alias("patterns_evicted"))
+    one = total.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names), tracked.alias("structural_patterns"), (F.coalesce(F.sum("generations"), F.lit(0)) - tracked).alias("patterns_evicted"))
     events = F.col("displayed_events") + F.col("suppressed_events")
     return one.withColumns({"logical_event_suppression_percentage": fp.percent(F.col("suppressed_events"), events), "raw_line_suppression_percentage": fp.percent(F.col("suppressed_raw_lines"), F.col("raw_lines"))})
 

@@ -6,21 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from condenspark.operators import patterns
+from condenspark.operators.scratch import written
 from condenspark.plans.condense import condense
 from condenspark.plans.config import Config
 
+REPORTED = ("displayed_events", "suppressed_events", "logical_event_suppression_percentage", "raw_line_suppression_percentage", "structural_patterns", "anomaly_events")
 
-def correctness(lines: DataFrame, manifests: DataFrame, config: Config = Config()) -> DataFrame:
-    """One row for each manifest (scenario, known_important_substrings; lines of the scenario have its name as source), by name: input lines,
-    what is shown and suppressed, patterns, and how many of the important substrings are in the shown lines, and which are missed.
-    Scenarios are condensed each for itself; a manifest is small, and so is their number."""
-    spark, rows = lines.sparkSession, []
-    for m in sorted(manifests.select("scenario", "known_important_substrings").collect(), key=lambda m: m["scenario"]):
-        decided = condense(lines.where(F.col("source") == m["scenario"]), config)
-        r = patterns.report(decided, config).first()
-        wanted = list(m["known_important_substrings"] or [])
-        text = F.array_join("contents", "\n")
-        found = decided.where("decision <> 'repeat'").agg(*(F.max(F.contains(text, F.lit(x))).alias(f"k{k}") for k, x in enumerate(wanted)), F.lit(1).alias("one")).first()
-        missed = [x for k, x in enumerate(wanted) if not found[f"k{k}"]]
-        rows.append((m["scenario"], r.raw_lines, r.displayed_events, r.suppressed_events, r.logical_event_suppression_percentage, r.raw_line_suppression_percentage, r.structural_patterns, r.anomaly_events, len(wanted), len(wanted) - len(missed), missed or None))
-    return spark.createDataFrame(rows, "scenario string, input_lines long, displayed_events long, suppressed_events long, logical_event_suppression_percentage double, raw_line_suppression_percentage double, structural_patterns long, anomaly_events long, known_important_total int, known_important_retained int, missed array<string>")
+
+def correctness(lines: DataFrame, manifests: DataFrame, config: Config = Config(), multi_line: bool = True) -> DataFrame:
+    """One row for each manifest (scenario, known_important_substrings; lines of the scenario have its name as source): input lines,
+    what is shown and suppressed, patterns, and how many of the important substrings are in the shown lines, and which are missed
+    (null if none). All scenarios are condensed at once, each with a store of patterns of its own, and their substrings are looked for in
+    the shown events of their scenario only. A manifest without lines gets zeros and misses all it names; lines without a manifest are
+    left out."""
+    none = F.array().cast("array<string>")
+    wanted = manifests.select("scenario", F.coalesce("known_important_substrings", none).alias("wanted"))
+    own = lines.join(wanted.select(F.col("scenario").alias("source")).distinct(), "source", "left_semi")
+    decided = condense(own, config, multi_line=multi_line, by_source=True)
+    told = patterns.report(decided, config, ("source",))
+    shown = written(decided.where("decision <> 'repeat'").select("source", F.array_join("contents", "\n").alias("text")), "shown")
+    needles = wanted.select("scenario", F.explode("wanted").alias("needle")).distinct()
+    found = needles.join(shown, (F.col("scenario") == F.col("source")) & F.contains(F.col("text"), F.col("needle"))).select("scenario", "needle").distinct()
+    kept = found.groupBy("scenario").agg(F.collect_set("needle").alias("kept"))  # at most what the manifest names
+    missed = F.filter("wanted", lambda x: ~F.array_contains(F.coalesce("kept", none), x))
+    zero = {c: F.coalesce(c, F.lit(0)).cast(told.schema[c].dataType) for c in ("raw_lines", *REPORTED)}
+    rows = wanted.join(kept, "scenario", "left").join(told.withColumnRenamed("source", "scenario"), "scenario", "left").withColumns({**zero, "missed": missed})
+    return rows.select("scenario", F.col("raw_lines").alias("input_lines"), *REPORTED, F.size("wanted").alias("known_important_total"), (F.size("wanted") - F.size("missed")).alias("known_important_retained"), F.when(F.size("missed") > 0, F.col("missed")).alias("missed"))

@@ -68,6 +68,12 @@ SELECT k AS user_id, count(*) AS accesses, count(*) FILTER (p IS NULL OR others
     "lineitem_patterns": "SELECT l_returnflag AS severity, l_linestatus AS template, count(*) AS total_count, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY ALL",
 }
 _LINES = "l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, regexp_replace(string_split(text, chr(10))[i], '\\r$', '') AS raw FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+ORACLES["correctness_report"] = f"""WITH {_D}, m AS (SELECT level, ['user ' || arg_min(regexp_extract(content, '^user (\\d+) ', 1), event_no) || ' ', 'user ' || arg_max(regexp_extract(content, '^user (\\d+) ', 1), event_no) || ' ', 'user nobody'] AS wanted FROM d GROUP BY level),
+k AS (SELECT level, wanted, list_filter(wanted, lambda w: len(list_filter(shown, lambda s: contains(s, w))) = 0) AS missed FROM m JOIN (SELECT level, list(content) AS shown FROM d WHERE decision <> 'repeat' GROUP BY level) USING (level)),
+t AS (SELECT level, count(*) AS n, count(*) FILTER (decision <> 'repeat') AS shown, count(DISTINCT (severity, template)) AS patterns, count(*) FILTER (decision = 'anomaly') AS anomalies FROM d GROUP BY level)
+SELECT CASE level WHEN 'ERROR' THEN 'error' WHEN 'NOTICE' THEN 'signup' WHEN 'WARN' THEN 'purchase' WHEN 'INFO' THEN 'click' ELSE 'view' END AS scenario, n AS input_lines, shown AS displayed_events, n - shown AS suppressed_events,
+round(100.0::DOUBLE * (n - shown) / n, 2) AS logical_event_suppression_percentage, round(100.0::DOUBLE * (n - shown) / n, 2) AS raw_line_suppression_percentage, patterns AS structural_patterns, anomalies AS anomaly_events,
+CAST(len(wanted) AS INTEGER) AS known_important_total, CAST(len(wanted) - len(missed) AS INTEGER) AS known_important_retained, array_to_string(missed, ',') AS missed FROM t JOIN k USING (level)"""
 ORACLES["bounded_lines"] = f"""WITH {_LINES}, k AS (SELECT raw, octet_length(encode(raw)) > 48 AS truncated, list_max(list_filter(range(0, 49), lambda k: octet_length(encode(substr(raw, 1, CAST(k AS BIGINT)))) <= 48)) AS k FROM l WHERE raw IS NOT NULL)
 SELECT CASE WHEN truncated THEN substr(raw, 1, CAST(k AS BIGINT)) || ' ...[truncated]' ELSE raw END AS raw, truncated, count(*) AS n FROM k GROUP BY ALL"""
 ORACLES["norm_documents"] = ORACLES["norm_documents"].replace("{LINES}", _LINES)

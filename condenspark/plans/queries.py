@@ -14,6 +14,7 @@ from condenspark.operators.scratch import place
 from condenspark.plans import shapes
 from condenspark.plans.condense import condense
 from condenspark.plans.config import Config
+from condenspark.plans.correctness import correctness
 from condenspark.sources import bounded
 from condenspark.sources.lines import row_key, split_column
 
@@ -175,6 +176,15 @@ def spikes(spark, sf_dir):
     return found.select("event_no", "template", F.round("baseline_per_min", 6).alias("baseline_per_min"), F.round("current_per_min", 6).alias("current_per_min"), "bootstrap")
 
 
+def correctness_report(spark, sf_dir):
+    """The events as five logs, a manifest each: its first user, its last one, and one that never was."""
+    lines = event_lines(spark, sf_dir).withColumn("source", F.col("event_type"))
+    user = lambda pick: F.concat(F.lit("user "), pick("user_id", "line_no").cast("string"), F.lit(" "))
+    manifests = lines.groupBy(F.col("source").alias("scenario")).agg(F.array(user(F.min_by), user(F.max_by), F.lit("user nobody")).alias("known_important_substrings"))
+    found = correctness(lines, manifests, multi_line=False)
+    return found.withColumn("missed", F.array_join("missed", ","))
+
+
 def bounded_lines(spark, sf_dir):
     """The documents as text files, read with a small cap, in small ranges."""
     path = place(spark, "text")
@@ -230,7 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         dominant_shapes, severity_detect, prefix_strip, norm_documents, template_full, template_documents, fingerprints, pattern_counts, pattern_example, novelty, decisions_constant_clock,
-        repeat_summaries, suppression_report, ndjson_records, text_output, decisions_event_clock, timed_repeat_summaries, text_output_event_clock, stats, bucket_counts, rolling_rate, ewma_baseline, spikes, bounded_lines, multiline_blocks, multiline_condense, conversation_novelty,
+        repeat_summaries, suppression_report, ndjson_records, text_output, decisions_event_clock, timed_repeat_summaries, text_output_event_clock, stats, bucket_counts, rolling_rate, ewma_baseline, spikes, correctness_report, bounded_lines, multiline_blocks, multiline_condense, conversation_novelty,
         lru_novelty, retention, order_patterns, lineitem_patterns,
     )
 } | {f"norm_{name}": _norm(name) for name, _, _ in normalize.CLASSES}

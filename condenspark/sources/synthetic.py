@@ -18,10 +18,10 @@ def log(spark: SparkSession, n: int, profile: str = "mixed") -> DataFrame:
     """source, line_no, raw. profile: repetitive (one shape a service), mixed (one line in ten of other shapes), or diverse (each line its own)."""
     i, pick = F.col("id"), lambda xs, k: F.get(F.array(*(F.lit(x) for x in xs)), (k % len(xs)).cast("int"))
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_780_000_000) + F.floor(i / PER_SECOND)), "yyyy-MM-dd HH:mm:ss")
-    usual = F.concat(pick(SERVICES, i), F.lit(": connection pool active, "), (40 + i % 5).cast("string"), F.lit(" connections open"))
-    other = F.format_string("%s: %s id=%d dur=%dms addr=10.%d.%d.%d", pick(SERVICES, i), pick(VERBS, F.floor(i / 10)), i, i % 997, i % 251, F.floor(i / 7) % 251, F.floor(i / 13) % 251)
-    unique = F.concat(other, F.lit(" operation-"), letters(i))
+    usual = F.concat(pick(SERVICES, i), F.lit(": "), (40 + i % 5).cast("string"), F.lit(" links of the pool are in use"))
+    other = F.format_string("%s: %s parcel %d in %dms for 10.%d.%d.%d", pick(SERVICES, i), pick(VERBS, F.floor(i / 10)), i, i % 997, i % 251, F.floor(i / 7) % 251, F.floor(i / 13) % 251)
+    unique = F.concat(other, F.lit(" as "), letters(i))
     body = {"repetitive": usual, "mixed": F.when(i % 10 == 9, other).otherwise(usual), "diverse": unique}[profile]
     error = (i % ERROR_EVERY) == ERROR_EVERY - 1
-    raw = F.concat(stamp, F.when(error, F.lit(" [ERROR] ")).otherwise(F.lit(" [INFO] ")), F.when(error, F.lit("database connection refused")).otherwise(body))
+    raw = F.concat(stamp, F.when(error, F.lit(" [ERROR] ")).otherwise(F.lit(" [INFO] ")), F.when(error, F.lit("the store does not answer")).otherwise(body))
     return spark.range(n).select(F.lit(profile).alias("source"), i.alias("line_no"), raw.alias("raw"))

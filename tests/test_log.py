@@ -128,6 +128,16 @@ def test_lru_keys_are_exact(spark):
         assert [(r.k, r.novel) for r in lru.novelty(rows, "k", "at", bound, block).orderBy("at").collect()] == list(zip(keys, lru.replay(keys, [], bound), strict=True))
 
 
+def test_groups_have_a_bound_each(spark):
+    rng = random.Random(14)
+    rows = [(i, rng.randrange(3), rng.randrange(12)) for i in range(900)]
+    for bound, block in ((4, 32), (5, 1 << 16)):
+        got = {r.at: r.novel for r in lru.novelty(spark.createDataFrame(rows, "at long, g int, k long"), "k", "at", bound, block, fan=2, group="g").collect()}
+        for g in range(3):
+            own = [(at, k) for at, h, k in rows if h == g]
+            assert [got[at] for at, _ in own] == lru.replay([k for _, k in own], [], bound)
+
+
 def test_rates_begin_anew_after_eviction(spark):
     """By the events' clock, against a replay of histories in a bounded store."""
     rng, rows, at = random.Random(8), [], 1_780_000_000.0
@@ -230,6 +240,19 @@ def test_scenarios(spark):
     assert found == GOLDEN and all(r.missed is None for r in got)
 
 
+def test_scenarios_have_stores_of_their_own(spark):
+    """Against a run for each: also with a bound that some exceed, a manifest without lines and lines without a manifest."""
+    names = ["go-panic", "build-failure", "sign-in-burst"]
+    lines = scenarios.lines(spark, names)
+    for bound in (3, 10_000):
+        config = Config(max_patterns=bound)
+        got = {r.scenario: r for r in correctness(lines, scenarios.manifests(spark, names[:2]).union(spark.createDataFrame([("absent", True, 0, ["x"], "")], "a string, b boolean, c long, d array<string>, e string")), config).collect()}
+        assert set(got) == {"go-panic", "build-failure", "absent"} and (got["absent"].input_lines, got["absent"].missed, got["absent"].displayed_events) == (0, ["x"], 0)
+        for name in names[:2]:
+            alone = patterns.report(condense(lines.where(F.col("source") == name), config), config).first()
+            assert (got[name].input_lines, got[name].displayed_events, got[name].suppressed_events, got[name].structural_patterns) == (alone.raw_lines, alone.displayed_events, alone.suppressed_events, alone.structural_patterns)
+
+
 def test_templates_keep_every_text_and_span_no_line_end(spark):
     rows = [("[5:0:_K", "[[IPV6]_K"), ("202412.5abc50%", "202412.5abc[PCT]%"), ("took 12ms\n5 GB of 10.1.1.1\n3", "took [DURATION]\n[SIZE] of [IP]\n[NUM]"), ("2026-01-02\n03:04:05", "[DATE]\n[TIME]"), ("x" * 70_000 + " 5", "x" * 70_000 + " [NUM]"), (None, None)]
     got = spark.createDataFrame(rows, "m string, want string").select(normalize.template(F.col("m")), "want").collect()
@@ -269,7 +292,7 @@ def test_lru_merges_blocks_in_a_tree(spark):
     for bound in (25,):
         found = lru.novelty(rows, "k", "at", bound, 16, fan=3)
         assert [r.novel for r in found.orderBy("at").collect()] == lru.replay(keys, [], bound)
-    last = lru.latest(rows.select((F.col("at") / 16).cast("long").alias("block"), F.col("k").alias("key"), F.col("at").alias("last")), 25)
+    last = lru.latest(rows.select(F.lit(0).cast("long").alias("group"), (F.col("at") / 16).cast("long").alias("block"), F.col("k").alias("key"), F.col("at").alias("last")), 25)
     groups = lru.latest(last.withColumn("block", F.floor(F.col("block") / 3)), 25)
     assert groups.count() < last.count() and groups.groupBy("block").count().agg(F.max("count")).first()[0] <= 25
 
@@ -332,11 +355,8 @@ def test_settings(bad):
     assert Config().buckets == 3 and Config(window=1).buckets == 1 and Config(severity_protect=" warning ").protect_rank == 5
 
 
-def test_stream(spark, tmp_path):
-    from condenspark.streaming.condense import decide_stream
-
-    spark.createDataFrame([(f"[ERROR] t {i}",) for i in range(12)], "value string").coalesce(1).write.text(str(tmp_path / "in"))
-    lines = spark.readStream.text(str(tmp_path / "in")).select(F.col("value").alias("raw"), F.timestamp_seconds(F.lit(1000)).alias("arrival_ts"))
-    q = decide_stream(lines).writeStream.format("memory").queryName("decided").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(90)
-    assert {(r.type, r["count"]) for r in spark.table("decided").collect()} == {("event", 1), ("repeat_summary", 8), ("anomaly", 1), ("repeat_summary", 2)}
+def test_an_event_has_the_time_of_the_line_that_closes_it(spark):
+    rows = [("s", 0, "[INFO] a", 10), ("s", 1, "  more", 11), ("s", 2, "[INFO] b", 20), ("t", 0, "[INFO] a", 30), ("t", 1, "  more", 31), (None, 5, "[INFO] c", 40), (None, 6, "[INFO] c", 41)] + [("u", i, "  deep", 100 + i) for i in range(501)]
+    lines = spark.createDataFrame(rows, "source string, line_no long, raw string, at long").withColumn("ts", F.timestamp_seconds("at"))
+    got = {(r.source, r.event_no): r.at for r in condense(lines, clock="event").select("source", "event_no", F.unix_seconds("ts").alias("at")).collect()}
+    assert got == {("s", 0): 20, ("s", 2): 20, ("t", 0): 31, (None, 5): 41, (None, 6): 41, ("u", 0): 599, ("u", 500): 600}
