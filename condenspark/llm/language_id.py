@@ -118,24 +118,23 @@ def scaled(x: np.ndarray) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and constant of the least squared hinge loss, both sides weighing the same. Newton's method with conjugate gradients."""
-    x = np.column_stack([x, np.ones(len(x), np.float32)])
+    """Weights and constant of the least squared hinge loss, both sides weighing the same. Newton's method with conjugate gradients. x: the last
+    column is all ones."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = np.zeros(x.shape[1], np.float32)
     loss = lambda w: ridge / 2 * float(w @ w) + float(share @ np.maximum(0, 1 - y * (x @ w)) ** 2)
     best = loss(w)
     for _ in range(rounds):
         short = np.maximum(0, 1 - y * (x @ w))
-        active = x[short > 0]
-        weight = share[short > 0]
-        slope = ridge * w - 2 * active.T @ (weight * (y * short)[short > 0])
+        weight = np.where(short > 0, share, np.float32(0))  # rows without loss don't count, but aren't copied out
+        slope = ridge * w - 2 * x.T @ (weight * y * short)
         step, left = np.zeros_like(w), -slope
         way, size = left.copy(), float(left @ left)
         start = size
         for _ in range(40):
             if size <= 1e-4 * start or size < 1e-14:
                 break
-            bent = ridge * way + 2 * active.T @ (weight * (active @ way))
+            bent = ridge * way + 2 * x.T @ (weight * (x @ way))
             k = size / float(way @ bent)
             step += k * way
             left -= k * bent
@@ -162,7 +161,7 @@ class Machine:
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray) -> Machine:
         w, b = fit_svm(x, y.astype(np.float32))
-        c = fit_logistic((x @ w + b)[:, None].astype(float), (y > 0).astype(float), ridge=1e-2)
+        c = fit_logistic((x[:, :-1] @ w + b)[:, None].astype(float), (y > 0).astype(float), ridge=1e-2)
         return Machine(w, b, (float(c[0]), float(c[1])))
 
 
@@ -227,19 +226,24 @@ def train(docs: DataFrame, max_rows: int = 4000, max_languages: int = 100) -> La
         for batch in batches:
             texts, ranks = batch.column("text").to_pylist(), batch.column("rank").to_pylist()
             both = [t for text, rank in zip(texts, ranks, strict=True) for t in (text, piece(text or "", rank & (1 << 40) - 1))]
-            x = counts(both).astype(np.uint32)
-            cells = [row.tobytes() for row in x.reshape(len(texts), 2, DIM)]
+            cells = [row.tobytes() for row in scaled(counts(both)).reshape(len(texts), 2, DIM)]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("rank"), pa.array(cells, pa.binary())], names=["lang", "rank", "cells"])
         give_back()
 
     rows = sample.mapInArrow(describe, "lang string, rank long, cells binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["rank"]))
-    x = np.concatenate([np.frombuffer(r["cells"], np.uint32).reshape(2, DIM) for r in rows]).astype(np.float32) if rows else np.zeros((0, DIM), np.float32)
-    lang = np.repeat(np.array([r["lang"] for r in rows], object), 2)
-    return fit(scaled(x)[x.any(axis=1)], lang[x.any(axis=1)])
+    rows.sort(key=lambda r: (r["lang"], r["rank"]), reverse=True)
+    x, lang = np.ones((2 * len(rows), DIM + 1), np.float32), []
+    while rows:  # one copy at a time
+        row, at = rows.pop(), len(lang)
+        own = np.frombuffer(row["cells"], np.float32).reshape(2, DIM)
+        own = own[own.any(axis=1)]
+        x[at : at + len(own), :-1] = own
+        lang += [row["lang"]] * len(own)
+    return fit(x[: len(lang)], np.array(lang, object))
 
 
 def fit(x: np.ndarray, lang: np.ndarray) -> Languages:
+    """x: scaled counts and a column of ones."""
     by_family: dict[str, list[str]] = {}
     for code in sorted(set(lang)):
         by_family.setdefault(family(code), []).append(code)

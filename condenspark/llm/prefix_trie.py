@@ -119,7 +119,7 @@ def rolled_up(tree: DataFrame, scratch: Scratch) -> DataFrame:
     """tree (node, pointer: its parent, conv_id, depth, leaves, saved, ...) with leaves and saved summed over subtrees, and parent_conv_id."""
     found = tree.agg(F.max("depth").alias("depth"), F.count("*").alias("n")).first()
     state, k = tree.withColumn("parent_conv_id", F.lit(None).cast(tree.schema["conv_id"].dataType)), 0
-    while not k or 1 << k <= found["depth"]:
+    while not k or 1 << k <= (found["depth"] or 0):
         sent = state.where("pointer is not null").groupBy(F.col("pointer").alias("node")).agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"), F.count("*").alias("pointing"))
         sent = scratch.keep(sent, "sent")
         ahead = followed(state, sent, found["n"])
