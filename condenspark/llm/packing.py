@@ -192,7 +192,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return where, offset, n
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, group_bytes: int = 1 << 20, cache_bytes: int = 48 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, group_bytes: int = 1 << 20, cache_bytes: int = 96 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian 32-bit), sequence_id, offset.
     A group has about group_bytes of text (a document counts ROW_BYTES more), so its ids fit in a task: a token is at least one byte."""
     bound_batches(docs.sparkSession)
