@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +26,25 @@ def with_cap(lines: DataFrame, column: str = "raw", max_bytes: int = MAX_BYTES)
 
 def read_lines(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Lines of text files. line_no rises in file order, with gaps; a file's blocks follow each other."""
-    text = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("at"))
-    numbered = text.select("source", (F.col("at") * 65536 + F.monotonically_increasing_id() % (1 << 33)).alias("line_no"), F.col("value").alias("raw"))
-    return with_cap(numbered, max_bytes=max_bytes)
+    at = F.col("_metadata.file_block_start") * 65536 + F.monotonically_increasing_id() % (1 << 33)
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("source"), at.alias("line_no"), F.col("value").alias("raw"))
+    return with_cap(text, max_bytes=max_bytes)
 
 
 def stream_lines(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The same for files that arrive in a folder; arrival_ts is the time of the micro-batch."""
-    text = spark.readStream.option("lineSep", "\n").text(path)
-    return with_cap(text.select(F.col("_metadata.file_path").alias("source"), F.current_timestamp().alias("arrival_ts"), F.col("value").alias("raw")), max_bytes=max_bytes)
+    """The same for files that arrive in a folder, each whole in one micro-batch; arrival_ts is its time. For streaming.condense_stream()."""
+    text = spark.readStream.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("line_no"), F.col("value").alias("raw"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, n = None, 0
+        for batch in batches:
+            out = []
+            for own in zip(batch.column("source").to_pylist(), batch.column("line_no").to_pylist(), strict=True):
+                block, n = own, n + 1 if own == block else 0
+                out.append(own[1] * 65536 + n)
+            yield batch.set_column(1, "line_no", pa.array(out, pa.int64()))
+
+    return with_cap(text.mapInArrow(number, text.schema).withColumn("arrival_ts", F.current_timestamp()), max_bytes=max_bytes)
 
 
 def row_key(table: DataFrame, key: str, name: str = "row_key") -> DataFrame:

@@ -105,3 +105,23 @@ def test_an_idle_source_ends_by_its_timer(spark, tmp_path):
     rows = [("s", i, "[INFO] again and again", 1_780_000_000_000_000 + i) for i in range(6)] + [("s", 6, "[ERROR] odd", 1_780_000_000_000_007), ("s", 7, "  with more", 1_780_000_000_000_008)]
     got = streamed(spark, tmp_path, [rows], Config(), "idle", idle_ms=3_000).orderBy("n").collect()
     assert [(r.type, r["count"], r.n_lines) for r in got] == [("event", 1, 1), ("event", 1, 2), ("repeat_summary", 5, None)]
+
+
+def test_files_that_arrive_are_condensed(spark, tmp_path):
+    from condenspark.sources.lines import read_lines, stream_lines
+
+    for name, text in (("a.log", "[INFO] tick 1\r\n[INFO] tick 2\n[ERROR] odd\n  more\n  still more\n"), ("b.log", "[INFO] tick 3\n[INFO] tick 4\n")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    query = condense_stream(stream_lines(spark, str(tmp_path / "in")), idle_ms=3_000).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").start()
+    try:
+        until = time.time() + 120
+        while time.time() < until and query.isActive and spark.table("arrived").where("event_no is null").count() < 2:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    got = {}
+    for r in spark.table("arrived").orderBy("n").collect():
+        got.setdefault(r.source[-5:], []).append((r.type, r["count"], r.lines))
+    assert got == {"a.log": [("event", 1, ["tick 1"]), ("event", 1, ["odd", "  more", "  still more"]), ("repeat_summary", 1, None)], "b.log": [("event", 1, ["tick 3"]), ("repeat_summary", 1, None)]}
+    assert [r.raw for r in read_lines(spark, str(tmp_path / "in" / "a.log")).orderBy("line_no").collect()] == ["[INFO] tick 1", "[INFO] tick 2", "[ERROR] odd", "  more", "  still more"]
