@@ -126,40 +126,52 @@ def timed_summaries(decided: DataFrame, time: str = "ts", chunk: int = 1 << 16)
     first event of the source, of any pattern, that comes an interval later lets them out, after itself; so does an anomaly of
     the pattern, before itself; what is left waits for the end (emit_no null). Each source has a clock of its own.
 
-    Which event lets a wait out is found by windows, in two levels, for each event as if the wait began with it; a streamed fold over a
-    pattern's repeats then takes the waits that do begin."""
+    Which event lets a wait out is found by windows, for each time of the clock as if a wait began at it: the clock doesn't go back, so of the
+    events at one time only the first counts. A time's next one is looked for in its second, then in the seconds of its era, then in later
+    eras, each by a window that runs from behind. A streamed fold over a pattern's repeats then takes the waits that do begin; patterns go as
+    64 bits there, and many events at one time go by chunks."""
     us = F.unix_micros(F.col(time).cast("timestamp"))
-    wait = F.when(severity.rank(F.col("severity")) >= 6, FLUSH_ERROR_MS).otherwise(FLUSH_MS) * 1000
-    rows = written(decided.select("source", "event_no", *KEY, "decision", us.alias("us")), "decided")
+    rows = written(decided.select("source", "event_no", *KEY, F.xxhash64(*KEY).alias("pattern"), "decision", us.alias("us"), F.floor(F.col("event_no") / chunk).alias("chunk")), "decided")
+    names = rows.select("pattern", *KEY).distinct()
     # the clock of a source doesn't go back: the running maximum, by chunks of numbers
-    rows = rows.withColumn("chunk", F.floor(F.col("event_no") / chunk))
     tops = rows.groupBy("source", "chunk").agg(F.max("us").alias("top"))
     tops = tops.select(F.col("source").alias("of"), F.col("chunk").alias("in_chunk"), F.max("top").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
     same = F.col("source").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("in_chunk"))
-    inner = Window.partitionBy("source", "chunk").orderBy("event_no")
-    clock = rows.withColumn("own", F.max("us").over(inner)).join(tops, same).withColumn("now", F.greatest("own", F.coalesce("earlier", "own"))).select("source", "event_no", *KEY, "decision", "now")
-    # the first event at or after a time: of the times and events of a source in order, the next event; by seconds first, then inside
-    marks = clock.select("source", F.col("now").alias("at"), "event_no", F.lit(1).alias("tick"), *(F.lit(None).cast(clock.schema[c].dataType).alias(c) for c in KEY), F.lit(None).cast("string").alias("decision"))
-    asked = clock.where("decision <> 'event'").select("source", (F.col("now") + wait).alias("at"), "event_no", F.lit(0).alias("tick"), *KEY, "decision")
-    every = marks.union(asked).withColumn("second", F.floor(F.col("at") / 1_000_000))
-    firsts = every.groupBy("source", "second").agg(F.min(F.when(F.col("tick") == 1, F.col("event_no"))).alias("first"))
-    later = firsts.select(F.col("source").alias("of"), F.col("second").alias("in_second"), F.min("first").over(Window.partitionBy("source").orderBy("second").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("second") == F.col("in_second"))
-    ahead = Window.partitionBy("source", "second").orderBy("at", "tick", "event_no").rowsBetween(0, Window.unboundedFollowing)
-    out_at = F.min(F.when(F.col("tick") == 1, F.col("event_no"))).over(ahead)
-    due = every.withColumn("out", out_at).where("tick = 0").join(later, same).select("source", *KEY, "event_no", "decision", F.coalesce("out", "later").alias("out"))
-    dealt = due.repartition("source", *KEY).sortWithinPartitions("source", *KEY, "event_no")
+    inner = Window.partitionBy("source", "chunk").orderBy("event_no").rowsBetween(Window.unboundedPreceding, 0)
+    clock = rows.withColumn("own", F.max("us").over(inner)).join(tops, same).withColumn("now", F.greatest("own", F.coalesce("earlier", "own")))
+    slow = ~F.coalesce(severity.rank(F.col("severity")) >= 6, F.lit(False))
+    clock = written(clock.select("source", "chunk", "event_no", "pattern", slow.alias("slow"), "decision", "now"), "clock")
+    # the first event at or after a time: the clock's times (tick) and those that are asked for, in order
+    times = written(clock.groupBy("source", "chunk", "now").agg(F.min("event_no").alias("first")), "times")
+    ticks = times.groupBy("source", "now").agg(F.min("first").alias("first"))
+    waits = F.array(F.lit(FLUSH_ERROR_MS * 1000), F.lit(FLUSH_MS * 1000))
+    asked = ticks.select("source", "now", F.posexplode(waits).alias("slow", "wait")).select("source", (F.col("now") + F.col("wait")).alias("at"), F.lit(None).cast("long").alias("first"), "now", F.col("slow").cast("boolean").alias("slow"))
+    every = ticks.select("source", F.col("now").alias("at"), "first", F.lit(None).cast("long").alias("now"), F.lit(None).cast("boolean").alias("slow")).union(asked)
+    every = every.where("at is not null").withColumn("second", F.floor(F.col("at") / 1_000_000))
+    seconds = every.groupBy("source", "second").agg(F.min("first").alias("first")).withColumn("era", F.shiftright("second", 12))
+    behind = lambda *of: Window.partitionBy(*of[:-1]).orderBy(F.desc(of[-1])).rowsBetween(Window.unboundedPreceding, -1)
+    eras = seconds.groupBy("source", "era").agg(F.min("first").alias("first"))
+    eras = eras.select(F.col("source").alias("of"), F.col("era").alias("in_era"), F.min("first").over(behind("source", "era")).alias("later"))
+    seconds = seconds.withColumn("next", F.min("first").over(behind("source", "era", "second")))
+    seconds = seconds.join(eras, F.col("source").eqNullSafe(F.col("of")) & (F.col("era") == F.col("in_era"))).select("of", F.col("second").alias("in_second"), F.coalesce("next", "later").alias("later"))
+    ahead = Window.partitionBy("source", "second").orderBy(F.desc("at"), F.desc_nulls_last("first")).rowsBetween(Window.unboundedPreceding, 0)
+    found = every.withColumn("out", F.min("first").over(ahead)).where("slow is not null").join(seconds, F.col("source").eqNullSafe(F.col("of")) & (F.col("second") == F.col("in_second")))
+    found = found.withColumn("out", F.coalesce("out", "later")).groupBy("of", "now").agg(F.max(F.when(F.col("slow"), F.col("out"))).alias("slow_out"), F.max(F.when(~F.col("slow"), F.col("out"))).alias("fast_out"))
+    told = times.join(found.withColumnRenamed("now", "at"), F.col("source").eqNullSafe(F.col("of")) & (F.col("now") == F.col("at"))).select("of", F.col("chunk").alias("in_chunk"), "at", "slow_out", "fast_out")
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("in_chunk")) & (F.col("now") == F.col("at"))
+    due = clock.where("decision <> 'event'").join(told, same, "left").select("source", "pattern", "event_no", "decision", F.when(F.col("slow"), F.col("slow_out")).otherwise(F.col("fast_out")).alias("out"))
+    dealt = due.repartition("source", "pattern").sortWithinPartitions("source", "pattern", "event_no")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, out, first = None, 0, None, None
         for batch in batches:
             done = []
-            for i, (source, level, template, at, decision, until) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", *KEY, "event_no", "decision", "out")), strict=True)):
-                if n and (key != (source, level, template) or decision == "anomaly" or (out is not None and at > out)):
-                    before = decision == "anomaly" and key == (source, level, template) and (out is None or at <= out)
+            for source, pattern, at, decision, until in zip(*(batch.column(c).to_pylist() for c in ("source", "pattern", "event_no", "decision", "out")), strict=True):
+                if n and (key != (source, pattern) or decision == "anomaly" or (out is not None and at > out)):
+                    before = decision == "anomaly" and key == (source, pattern) and (out is None or at <= out)
                     done.append((*key, n, at if before else out, first, -1 if before else 1))
                     n = 0
-                key = source, level, template
+                key = source, pattern
                 if decision == "repeat":
                     if not n:
                         out, first = until, at
@@ -169,15 +181,15 @@ def timed_summaries(decided: DataFrame, time: str = "ts", chunk: int = 1 << 16)
             yield table([(*key, n, out, first, 1)], batch.schema)
 
     def table(done: list, schema: pa.Schema) -> pa.RecordBatch:
-        columns = list(zip(*done, strict=True)) or [()] * 7
-        kinds = [schema.field(c).type for c in ("source", *KEY)] + [pa.int64()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["source", *KEY, "count", "emit_no", "first", "side"])
+        columns = list(zip(*done, strict=True)) or [()] * 6
+        kinds = [schema.field("source").type] + [pa.int64()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["source", "pattern", "count", "emit_no", "first", "side"])
 
-    kinds = ", ".join(f"{c} {due.schema[c].dataType.simpleString()}" for c in ("source", *KEY))
-    waits = dealt.mapInArrow(fold, f"{kinds}, count long, emit_no long, first long, side long")
+    ended = dealt.mapInArrow(fold, f"source {due.schema['source'].dataType.simpleString()}, pattern long, count long, emit_no long, first long, side long")
     seq = F.row_number().over(Window.partitionBy("source", "emit_no", "side").orderBy("first")) * F.col("side")
     shifted = F.when(F.col("side") < 0, seq - (1 << 32)).otherwise(seq)
-    return waits.select(*KEY, "count", "source", "emit_no", shifted.cast("long").alias("seq"))
+    placed = ended.select("pattern", "count", "source", "emit_no", shifted.cast("long").alias("seq"))
+    return placed.join(names, "pattern").select(*KEY, "count", "source", "emit_no", "seq")
 
 
 def report(decided: DataFrame, config: Config = Config(), by: tuple[str, ...] = ()) -> DataFrame:
