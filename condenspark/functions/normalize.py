@@ -88,6 +88,17 @@ def _spans() -> str:
     return r"(?=[0-9A-Fa-f\[])(?:" + "|".join(parts) + ")"
 
 
+def has_any(text: Column) -> Column:
+    """Has the text a part of any class? One pass."""
+    return text.rlike(_spans())
+
+
+def has_class(text: Column, name: str) -> Column:
+    """Has the text a part of one class? One that begins at a word edge begins with a hexadecimal digit, which is soon looked for."""
+    pattern = next(p for n, p, _ in CLASSES if n == name)
+    return text.rlike(f"(?=[0-9A-Fa-f])(?<!{W})" + java(pattern.removeprefix(r"\b")) if pattern.startswith(r"\b") else java(pattern))
+
+
 def _named(text: Column, begin: str, marks: list[str]) -> Column:
     """text with each mark in place of what was found for it. The expression names text once: it isn't to be worked out again."""
     k = 0

@@ -16,7 +16,7 @@ from condenspark.plans.condense import condense
 from condenspark.plans.config import Config
 from condenspark.plans.correctness import correctness
 from condenspark.sources import bounded
-from condenspark.sources.lines import row_key, split_column
+from condenspark.sources.lines import split_column
 
 #: The level that each event type is logged with.
 LEVEL_OF = {"error": "ERROR", "signup": "NOTICE", "purchase": "WARN", "click": "INFO", "view": "DEBUG"}
@@ -26,10 +26,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """A table of few splits, as a small file is, goes over all cores; a table of many stays as it is. rows: a scan without a shuffle."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+#: Rows of a table that go to one task.
+PER_TASK = {"events": 250_000, "documents": 10_000}
+
+
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with its rows dealt evenly over tasks (column dealt: a number of the row in its file), whose number grows with the rows and is
+    that of the cores at least. A scan's own tasks are cut by bytes, but a row group goes to one of them whole, and a file may be one group."""
+    rows = _table(spark, sf_dir, name)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // PER_TASK[name]))  # counted from the files' footers
+    return rows.select("*", F.col("_metadata.file_path").alias("dealt_file"), F.col("_metadata.row_index").alias("dealt")).repartition(tasks, "dealt")
+
+
+def _once(rows: DataFrame, column: str) -> DataFrame:
+    """rows with a column that is worked out once, however often it is used and whatever is filtered by it: optimizers put a projected
+    expression in the place of each use, and move filters by it below an exchange, into the few tasks of a scan; what is generated stays."""
+    return rows.select(*(c for c in rows.columns if c != column), F.explode(F.array(column)).alias(column))
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +50,13 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.abs(F.col("value")) * 100).cast("long")
     value = F.concat(F.when(F.col("value") < 0, "-").otherwise(""), (F.floor(cents / 100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
     raw = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" ["), level, F.lit("] user "), F.col("user_id").cast("string"), F.lit(" "), F.col("event_type"), F.lit(" value="), value, F.lit(" props="), F.col("props"))
-    return _spread(_table(spark, sf_dir, "events")).select(F.lit("events").alias("source"), F.col("event_id").alias("line_no"), "ts", "event_type", "user_id", raw.alias("raw"))
+    return _spread(spark, sf_dir, "events").select(F.lit("events").alias("source"), F.col("event_id").alias("line_no"), "ts", "event_type", "user_id", raw.alias("raw"))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as logs, one source a row."""
-    keyed = row_key(_table(spark, sf_dir, "documents"), "doc_id").select("row_key", "text")
-    return split_column(_spread(keyed), "row_key", "text")
+    keyed = _spread(spark, sf_dir, "documents").select(F.struct("doc_id", F.col("dealt_file").alias("file_path"), F.col("dealt").alias("row_index")).alias("row_key"), "text")
+    return split_column(keyed, "row_key", "text")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +66,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def level_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line for each event, with every alias of a level in brackets, bare, after level=, behind a host, and in a path."""
-    return _spread(_table(spark, sf_dir, "events")).select(F.col("event_id").alias("line_no"), F.expr(f"{shapes.PREFIX} || {shapes.MESSAGE}").alias("raw"))
+    return _spread(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.expr(f"{shapes.PREFIX} || {shapes.MESSAGE}").alias("raw"))
 
 
 def severity_detect(spark, sf_dir):
@@ -70,18 +82,19 @@ def prefix_strip(spark, sf_dir):
 
 def _norm(name: str):
     def query(spark, sf_dir):
-        lines = _spread(_table(spark, sf_dir, "events")).select("event_id", F.expr(shapes.SHAPED).alias("raw"))
-        out = normalize.replace_class(F.col("raw"), name)
-        return lines.select("event_id", out.alias("line")).where(F.col("raw") != F.col("line"))
+        lines = _once(_spread(spark, sf_dir, "events").select("event_id", F.expr(shapes.SHAPED).alias("raw")), "raw")
+        found = _once(lines.withColumn("line", normalize.replace_class(F.col("raw"), name)), "line")
+        return found.where(F.col("raw") != F.col("line")).select("event_id", "line")
 
     return query
 
 
 def norm_documents(spark, sf_dir):
     """Every class in the lines of documents: how many lines have it."""
-    lines = document_lines(spark, sf_dir)
-    found = F.array(*(F.struct(F.lit(name).alias("class"), F.lit(pattern).alias("pattern")) for name, pattern, _ in ((n, normalize.java(p), m) for n, p, m in normalize.CLASSES)))
-    return lines.select("raw", F.inline(found)).where(F.expr("raw rlike pattern")).groupBy("class").agg(F.count("*").alias("lines"))
+    lines = document_lines(spark, sf_dir).where(normalize.has_any(F.col("raw")))  # few have any
+    found = lines.agg(*(F.count_if(normalize.has_class(F.col("raw"), name)).alias(name) for name, _, _ in normalize.CLASSES))
+    listed = F.array(*(F.struct(F.lit(name).alias("class"), F.col(name).alias("lines")) for name, _, _ in normalize.CLASSES))
+    return found.select(F.inline(listed)).where("lines > 0")
 
 
 def template_full(spark, sf_dir):
@@ -188,7 +201,7 @@ def correctness_report(spark, sf_dir):
 def bounded_lines(spark, sf_dir):
     """The documents as text files, read with a small cap, in small ranges."""
     path = place(spark, "text")
-    _spread(_table(spark, sf_dir, "documents")).where("text is not null").select("text").write.text(path)
+    _spread(spark, sf_dir, "documents").where("text is not null").select("text").write.text(path)
     found = bounded.bounded_lines(spark, path, max_bytes=48, range_bytes=1 << 20)
     return found.groupBy("raw", "truncated").agg(F.count("*").alias("n"))
 
