@@ -1,6 +1,6 @@
 """The whole plan: lines -> events -> templates -> decisions.
 
-The lines are read twice, whatever the options: events of several lines are assembled and written, and decided from there; events of one line
+The lines are read twice, whatever the options (once if single-line events are held): events of several lines are assembled and written, and decided from there; events of one line
 are read once for the keys by which they are decided and once to meet the decisions."""
 
 from __future__ import annotations
@@ -8,14 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from condenspark.functions import severity
 from condenspark.operators import multiline, patterns, sinks
 from condenspark.operators.scratch import numbered, written
 from condenspark.plans.config import Config
 
 
-def condense(lines: DataFrame, config: Config = Config(), multi_line: bool = True, clock: str = "constant", time: str = "ts", by_source: bool = False) -> DataFrame:
+def condense(lines: DataFrame, config: Config = Config(), multi_line: bool = True, clock: str = "constant", time: str = "ts", by_source: bool = False, hold: bool = False) -> DataFrame:
     """by_source: patterns are counted for each source by itself, as if it had a run of its own. lines: source, line_no, raw; and a time for clock="event". Decided events. clock: "constant" takes all lines as of one time, as
-    when a file is read at once; "event" goes by the lines' own times (an event's is that of the line that closes it, as closed() says)."""
+    when a file is read at once; "event" goes by the lines' own times (an event's is that of the line that closes it, as closed() says). hold: events of one line are written with their
+    templates, as those of several are, and lines are read once: for results that look at the events more than once."""
     if clock not in ("constant", "event"):
         raise ValueError(f"clock must be constant or event, not {clock!r}")
     parsed = patterns.parse(lines)
@@ -25,8 +27,11 @@ def condense(lines: DataFrame, config: Config = Config(), multi_line: bool = Tru
         events = closed(events, time) if timed else events
     else:
         cut = F.coalesce(F.col("truncated"), F.lit(False)).cast("int") if "truncated" in lines.columns else F.lit(0)
-        one = parsed.select("source", F.col("line_no").alias("event_no"), "severity", F.array("raw").alias("lines"), F.array("content").alias("contents"), "content", F.lit(1).alias("n_lines"), cut.alias("truncated"), *timed)
-        events = patterns.with_templates(one).drop("content")
+        one = patterns.with_templates(parsed.select("source", F.col("line_no").alias("event_no"), "severity", "raw", "content", cut.alias("truncated"), *timed))
+        if hold:  # without the content, which is soon found again
+            one = written(one.drop("content"), "events")
+            one = one.withColumn("content", severity.content(F.col("raw")))
+        events = one.select("source", "event_no", "severity", F.array("raw").alias("lines"), F.array("content").alias("contents"), F.lit(1).alias("n_lines"), "truncated", *timed, "template")
     return patterns.decide_by_clock(events, config, time, by_source=by_source) if timed else patterns.decide(events, config, by_source=by_source)
 
 

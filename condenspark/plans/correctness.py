@@ -22,7 +22,7 @@ def correctness(lines: DataFrame, manifests: DataFrame, config: Config = Config(
     none = F.array().cast("array<string>")
     wanted = manifests.select("scenario", F.coalesce("known_important_substrings", none).alias("wanted"))
     own = lines.join(wanted.select(F.col("scenario").alias("source")).distinct(), "source", "left_semi")
-    decided = condense(own, config, multi_line=multi_line, by_source=True)
+    decided = condense(own, config, multi_line=multi_line, by_source=True, hold=True)
     told = patterns.report(decided, config, ("source",))
     shown = written(decided.where("decision <> 'repeat'").select("source", F.array_join("contents", "\n").alias("text")), "shown")
     needles = wanted.select("scenario", F.explode("wanted").alias("needle")).distinct()

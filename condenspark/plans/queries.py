@@ -120,16 +120,16 @@ def pattern_example(spark, sf_dir):
     return found.select(F.col("severity").cast("int").alias("severity"), "template", "example")
 
 
-def _decided(spark, sf_dir):
-    return condense(event_lines(spark, sf_dir), multi_line=False)
+def _decided(spark, sf_dir, hold=True):
+    return condense(event_lines(spark, sf_dir), multi_line=False, hold=hold)
 
 
 def novelty(spark, sf_dir):
-    return _decided(spark, sf_dir).select("event_no", "is_new").where("is_new")
+    return _decided(spark, sf_dir, hold=False).select("event_no", "is_new").where("is_new")
 
 
 def decisions_constant_clock(spark, sf_dir):
-    return _decided(spark, sf_dir).select("event_no", "decision")
+    return _decided(spark, sf_dir, hold=False).select("event_no", "decision")
 
 
 def repeat_summaries(spark, sf_dir):
@@ -148,13 +148,13 @@ def text_output(spark, sf_dir):
     return sinks.to_text(sinks.records(_decided(spark, sf_dir), Config()))
 
 
-def _clocked(spark, sf_dir):
+def _clocked(spark, sf_dir, hold=True):
     config = Config(bucket_seconds=3600, window=3 * 3600, cooldown=12 * 3600, spike_multiplier=1.5, protect_multiplier=1.2)
-    return condense(event_lines(spark, sf_dir), config, multi_line=False, clock="event"), config
+    return condense(event_lines(spark, sf_dir), config, multi_line=False, clock="event", hold=hold), config
 
 
 def decisions_event_clock(spark, sf_dir):
-    return _clocked(spark, sf_dir)[0].select("event_no", "decision", F.round("baseline_per_min", 6).alias("baseline_per_min"), F.round("current_per_min", 6).alias("current_per_min"))
+    return _clocked(spark, sf_dir, hold=False)[0].select("event_no", "decision", F.round("baseline_per_min", 6).alias("baseline_per_min"), F.round("current_per_min", 6).alias("current_per_min"))
 
 
 def timed_repeat_summaries(spark, sf_dir):

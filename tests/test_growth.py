@@ -68,6 +68,25 @@ def test_classes_of_documents_are_counted_in_one_row_a_line(spark, tmp_path):
     assert plan.count("Generate") == 2 and plan.rindex("Generate") > plan.index("Aggregate")
 
 
+def test_held_events_are_scanned_once(spark):
+    """Records, reports and summaries look at the events several times, but lines are read and their templates found once."""
+    lines = spark.createDataFrame([("s", i, f"[ERROR] try {i} of x", float(i)) for i in range(50)], "source string, line_no long, raw string, at double").withColumn("ts", F.timestamp_seconds("at"))
+    for clock in ("constant", "event"):
+        seen = spark.sparkContext.accumulator(0)
+
+        def scan(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        decided = condense(lines.mapInArrow(scan, lines.schema), multi_line=False, clock=clock, hold=True)
+        got = sinks.to_text(sinks.records(decided, queries.Config())).collect()
+        assert patterns.report(decided).first().raw_lines == 50 and seen.value == 50, seen.value
+        want = condense(lines, multi_line=False, clock=clock)
+        assert sorted(r.value for r in got) == sorted(r.value for r in sinks.to_text(sinks.records(want, queries.Config())).collect())
+        assert sorted(decided.columns) == sorted(want.columns)
+
+
 def test_any_class_and_each_class_alone(spark):
     """The quick forms against the patterns as they are written."""
     parts = ["10.0.0.1", "x10.0.0.1", "10.0.0.1:80", "2026-01-02", "a2026-01-02", "2026-01-02T03:04:05Z", "1/2/2026", "5%", "a5%", "0xdead", "fe80:1:2", "fe80::", "::1", "00:1a:2b:3c:4d:5e", "deadbeefcafe", "0123abcd-0123-0123-0123-0123456789ab", "gdeadbeefcafe", "é10.0.0.1", "[01/Oct/2026:01:02:03 +0000]", "12:13:14", "word", "", "ab\n1.2.3.4"]
