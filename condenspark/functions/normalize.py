@@ -110,9 +110,10 @@ def _named(text: Column, begin: str, marks: list[str]) -> Column:
 
 
 def template(message: Column) -> Column:
-    """The template of a message of one or more lines."""
+    """The template of a message of one or more lines. One without a digit and without a class is its own: every token has a digit."""
     clean = F.translate(message, ON + OFF + SEP + HERE, "")
     spans = F.regexp_replace(clean, _spans(), ON + SEP.join(f"${k + 1}" for k in range(len(CLASSES))) + OFF)
     found = F.regexp_replace(spans, TOKENS, f"{_STAY}{HERE}{SEP.join(f'${k}' for k in range(2, len(FOUND) + 2))}{OFF}")
     found = F.replace(found, F.lit(HERE + SEP * (len(FOUND) - 1) + OFF), F.lit(""))
-    return _named(_named(found, HERE, [m for m, _ in FOUND]), ON, [m for _, _, m in CLASSES])
+    named = _named(_named(found, HERE, [m for m, _ in FOUND]), ON, [m for _, _, m in CLASSES])
+    return F.when(clean.rlike("[0-9]|" + _spans()), named).otherwise(clean)

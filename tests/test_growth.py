@@ -96,3 +96,11 @@ def test_any_class_and_each_class_alone(spark):
     rows = texts.select(F.array(*quick).alias("quick"), F.array(*plain).alias("plain"), normalize.has_any(F.col("t")).alias("any")).collect()
     assert all(r.quick == r.plain and r.any == (None if None in r.plain else any(r.plain)) for r in rows)
     assert all(any(r.plain[k] for r in rows) for k in range(len(normalize.CLASSES)))
+
+
+def test_texts_without_digits_or_classes_are_their_own_templates(spark):
+    """They skip the passes of tokens; letters alone can still be a class."""
+    rows = [("plain words, é_x-y\nmore", "plain words, é_x-y\nmore"), ("deadbeefcafe x", "[HASH] x"), ("aa:bb:cc:dd:ee:ff", "[MAC]"), ("ab:cd:ef x", "[IPV6] x"), ("a" + normalize.ON + "b" + normalize.SEP, "ab"), ("", ""), (None, None), ("try 5", "try [NUM]")]
+    found = spark.createDataFrame(rows, "t string, want string").select("t", "want", normalize.template(F.col("t")).alias("got"))
+    assert [r.got for r in found.collect()] == [want for _, want in rows]
+    assert "CASE WHEN" in plan_of(found)
